@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import bpe, chat, mixing, topk
 
 QUERIES = {
+    "op2_chat": chat.op2_chat,
     "op6_mixing": mixing.op6_mixing,
+    "op9_topk": topk.op9_topk,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 SQL = {
+    "op2_chat": chat.OP2_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op9_topk": topk.OP9_SQL,
 }
