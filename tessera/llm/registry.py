@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, mixing, topk
+from . import bpe, chat, mixing, quality, secrets, topk
 
 QUERIES = {
     "op2_chat": chat.op2_chat,
+    "op4_quality": quality.op4_quality,
     "op6_mixing": mixing.op6_mixing,
+    "op8_secrets": secrets.op8_secrets,
     "op9_topk": topk.op9_topk,
     "op10_bpe": bpe.op10_bpe,
 }
