@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, mixing, quality, secrets, topk
+from . import bpe, chat, mixing, quality, secrets, substring, topk
 
 QUERIES = {
+    "op1_substring": substring.op1_substring,
     "op2_chat": chat.op2_chat,
     "op4_quality": quality.op4_quality,
     "op6_mixing": mixing.op6_mixing,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_substring": substring.OP1_SQL,
     "op2_chat": chat.OP2_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op9_topk": topk.OP9_SQL,
