@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, mixing, quality, secrets, substring, topk
+from . import bpe, chat, lm, mixing, quality, secrets, substring, topk
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
     "op2_chat": chat.op2_chat,
     "op4_quality": quality.op4_quality,
     "op6_mixing": mixing.op6_mixing,
+    "op7_lm": lm.op7_lm,
     "op8_secrets": secrets.op8_secrets,
     "op9_topk": topk.op9_topk,
     "op10_bpe": bpe.op10_bpe,
@@ -18,5 +19,6 @@ SQL = {
     "op1_substring": substring.OP1_SQL,
     "op2_chat": chat.OP2_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op7_lm": lm.OP7_SQL,
     "op9_topk": topk.OP9_SQL,
 }
