@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lm, mixing, quality, secrets, substring, topk
+from . import bpe, chat, jaccard, lm, mixing, quality, secrets, substring, topk
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
     "op2_chat": chat.op2_chat,
+    "op3_jaccard": jaccard.op3_jaccard,
     "op4_quality": quality.op4_quality,
     "op6_mixing": mixing.op6_mixing,
     "op7_lm": lm.op7_lm,
@@ -18,6 +19,7 @@ QUERIES = {
 SQL = {
     "op1_substring": substring.OP1_SQL,
     "op2_chat": chat.OP2_SQL,
+    "op3_jaccard": jaccard.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op7_lm": lm.OP7_SQL,
     "op9_topk": topk.OP9_SQL,
