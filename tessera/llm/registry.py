@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, lm, mixing, quality, secrets, substring, topk
+from . import bpe, chat, jaccard, lm, mixing, neardup, quality, secrets, substring, topk
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
     "op2_chat": chat.op2_chat,
     "op3_jaccard": jaccard.op3_jaccard,
     "op4_quality": quality.op4_quality,
+    "op5_neardup": neardup.op5_neardup,
     "op6_mixing": mixing.op6_mixing,
     "op7_lm": lm.op7_lm,
     "op8_secrets": secrets.op8_secrets,
@@ -20,6 +21,7 @@ SQL = {
     "op1_substring": substring.OP1_SQL,
     "op2_chat": chat.OP2_SQL,
     "op3_jaccard": jaccard.OP3_SQL,
+    "op5_neardup": neardup.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op7_lm": lm.OP7_SQL,
     "op9_topk": topk.OP9_SQL,
