@@ -23,16 +23,14 @@ HASH_BITS, SHIFTS = 60, (48, 24, 0)
 TOP = 1 << HASH_BITS
 
 
-def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, skey (source with a place for null), h (60-bit hash of the id)."""
+def keyed(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """docs with size (words), skey (source with a place for null) and h (60-bit hash of the id)."""
     digest = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")), 256)
-    return docs.select(
-        "doc_id",
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("a"), "source")).alias("skey"),
-        F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("h"),
-    )
+    return docs.withColumns({
+        "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
+        "skey": F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("a"), "source")),
+        "h": F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"),
+    })
 
 
 def targets(base: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -79,27 +77,47 @@ def threshold(rows: DataFrame, budgets: DataFrame, n: int) -> DataFrame:
     return cut(out.select("skey", F.coalesce("at", F.lit(TOP)).alias("thr"), F.coalesce("left", F.col("budget") - F.coalesce("all", F.lit(0))).alias("left")))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, rounds: int = 3, seed: str = "mix") -> DataFrame:
-    """docs: doc_id, source, text. Returns doc_id, source, size, source_size, target, taken (size times repeats)."""
-    base = cut(sized(docs, seed))
+def budgets(base: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, rounds: int = 3) -> tuple[DataFrame, int]:
+    """base: skey, size, h of all rows. Returns a row per source (target, whole repeats, thresholds) and their number."""
     goal = cut(targets(base, weights, most))
     n = goal.count()
     whole = F.when(F.col("target") >= F.col("source_size") * most, most).when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = goal.withColumn("whole", whole).withColumn("budget", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     step = plan.select("skey", "budget")
-    part, took = plan, F.lit(False)
     for k in range(rounds):
         rows = base.filter("size > 0").select("skey", "h", "size")
         if k:
             prev = last.select("skey", F.col("thr").alias("from"), F.col("left").alias("fits"))
             rows = lookup(rows, prev, ["skey"], n).filter("h >= `from` and size <= fits").select("skey", "h", "size")
         last = threshold(rows, step, n)
-        part = part.join(last.select("skey", F.col("thr").alias(f"thr{k}"), F.col("left").alias(f"left{k}")), "skey", "left")
+        plan = plan.join(last.select("skey", F.col("thr").alias(f"thr{k}"), F.col("left").alias(f"left{k}")), "skey", "left")
         step = last.select("skey", F.col("left").alias("budget"))
-        new = F.col("h") < F.col(f"thr{k}")
-        took = took | (new & (F.col("size") <= F.col(f"left{k - 1}")) if k else new)
-    out = lookup(base, cut(part), ["skey"], n)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.when(took & (F.col("size") > 0), 1).otherwise(0))).alias("taken"))
+    took = [(F.col("thr0"), F.lit(TOP))] + [(F.col(f"thr{k}"), F.col(f"left{k - 1}")) for k in range(1, rounds)]
+    return cut(plan.select("skey", "source_size", "target", "whole", F.array(*(F.struct(t.alias("thr"), m.cast("long").alias("fits")) for t, m in took)).alias("steps"))), n
+
+
+def take(rows: DataFrame, plan: DataFrame, n: int) -> DataFrame:
+    """rows (skey, size, h and any others) with source_size, target and repeats: how often the mix takes the row."""
+    extra = F.exists("steps", lambda s: (F.col("h") < s["thr"]) & (F.col("size") <= s["fits"]))
+    times = F.when(F.col("size") > 0, F.col("whole") + F.when(extra, 1).otherwise(0)).otherwise(0)
+    return lookup(rows, plan, ["skey"], n).withColumn("repeats", times.cast("long")).drop("whole", "steps")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, rounds: int = 3, seed: str = "mix") -> DataFrame:
+    """docs: doc_id, source, text. Returns doc_id, source, size, source_size, target, taken (size times repeats)."""
+    base = cut(keyed(docs.select("doc_id", "source", "text"), seed).drop("text"))
+    plan, n = budgets(base, weights, most, rounds)
+    return take(base, plan, n).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, rounds: int = 3, seed: str = "mix") -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it takes them, with docs' columns."""
+    names = docs.columns
+    docs = docs.select(*(F.col(c) for c in names)).drop("size", "skey", "h", "repeats", "source_size", "target", "whole", "steps")
+    rows = keyed(docs, seed)
+    plan, n = budgets(cut(rows.select("skey", "size", "h")), weights, most, rounds)
+    taken = take(rows, plan, n).filter("repeats > 0")
+    return taken.withColumn("repeats", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*(c for c in names if c in docs.columns))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
