@@ -40,7 +40,8 @@ from .words import WordHash, grams, mix64, texts
 SHORT = 6
 #: What scanning an entry of an inverted list costs, in enumerated subsets.
 SCAN_COST = 8
-SKETCH_BITS = 512
+#: Least and most bits of a parity sketch; in between two to four per member, so that unlike sets of any size differ in it.
+SKETCH_BITS = (256, 1 << 16)
 TRIES = 8
 _HASHES = WordHash()
 
@@ -82,11 +83,12 @@ class Join:
 
     @cached_property
     def parts(self) -> np.ndarray:
-        """Per class: parts (one more than linked sets can differ in, and the slack), and the empty parts allowed."""
+        """Per class: parts (one more than linked sets can differ in, and the slack), and the empty parts allowed. The slack
+        suits the smallest sets that enter, those of the class before."""
         rows = []
-        for low, high in zip(self.edges, self.edges[1:]):
+        for i, (low, high) in enumerate(zip(self.edges, self.edges[1:])):
             k = self.differ(2 * (int(high) - 1)) + 1
-            lam = k * exp(-int(low) / k)
+            lam = k * exp(-int(self.edges[i - 1] if i else low) / k)
             slack = int(lam + 3 * sqrt(lam) + 1)
             rows.append((k + slack, slack))
         return np.array(rows)
@@ -101,7 +103,17 @@ def shingles(text: bytes, n: int) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((mix64(s) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+    """Parities of the members' places modulo a power of two."""
+    bits = min(max(1 << (2 * len(s)).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    return np.packbits(np.bincount((mix64(s) % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of fewer 64-bit words: halves are added modulo 2, which gives the sketch of that size."""
+    while x.shape[-1] > words:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
 
 
 def signatures(sets: list[np.ndarray], join: Join) -> tuple[np.ndarray, np.ndarray]:
@@ -145,9 +157,9 @@ def _linked(a: np.ndarray, n: int, b: np.ndarray, m: int, join: Join) -> bool:
 
 
 def _near(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, join: Join) -> np.ndarray:
-    """Whether sketches allow a link."""
+    """Whether sizes and sketches (of one length) allow a link."""
     bits = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
-    return bits <= (join.den - join.num) * (n + m) // (join.den + join.num)
+    return (bits <= (join.den - join.num) * (n + m) // (join.den + join.num)) & (join.den * np.minimum(n, m) >= join.num * np.maximum(n, m))
 
 
 def _pairs(bucket: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -218,7 +230,8 @@ def groups(docs: DataFrame, join: Join = Join(), chunk_bytes: int = CHUNK_BYTES)
         """Pairs of a list's sets that are of different groups and whose sketches allow a link."""
         rows = rows.combine_chunks().sort_by("rep")
         rep, root, n = (rows[c].to_numpy() for c in ("rep", "root", "n"))
-        x = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(rep), -1)
+        sketches = [np.frombuffer(r, np.uint64) for r in rows["sketch"].to_pylist()]
+        x = np.stack([folded(r, min(map(len, sketches))) for r in sketches])
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for i in range(len(rep) - 1):
             far = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
@@ -229,9 +242,12 @@ def groups(docs: DataFrame, join: Join = Join(), chunk_bytes: int = CHUNK_BYTES)
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("xa", "xb"))
-            near = _near(x, batch["na"].to_numpy(), y, batch["nb"].to_numpy(), join)
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            near = []
+            for a, n, b, m in zip(*(batch[c].to_pylist() for c in ("xa", "na", "xb", "nb"))):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                words = min(len(x), len(y))
+                near.append(bool(_near(folded(x, words), n, folded(y, words), m, join)))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,7 +27,7 @@ from .words import WordHash, grams, mix64, texts
 #: Weights: 2^18, of which the last is the bias.
 DIMENSIONS = 1 << 18
 #: The bound of the training sample (rows). It doesn't grow with the input.
-SAMPLE_ROWS = 5_000
+SAMPLE_ROWS = 4_000
 
 
 def _shape(word: bytes) -> int:
@@ -85,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
 
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(run, "doc_id long, y int, at binary, v binary")
     got = rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "y", "at").limit(sample_rows).collect()
-    return ftrl([(r.y, np.frombuffer(r.at, np.int32).astype(np.int64), np.frombuffer(r.v, np.float32).astype(float)) for r in got])
+    return ftrl([(r.y, np.frombuffer(r.at, np.int32), np.frombuffer(r.v, np.float32)) for r in got])
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
