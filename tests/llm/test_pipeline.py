@@ -1,0 +1,39 @@
+"""Each stage against its operator's own definition, on the small tables."""
+
+from __future__ import annotations
+
+from conftest import SF
+from pyspark.sql import functions as F
+
+import corpus_pipeline as c
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sf, columns, n = SF, docs.columns, docs.count()
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for name, stage in c.STAGES[:3]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+        assert docs.columns == columns
+        assert docs.count() <= n
+        n = docs.count()
+        if name == "near_duplicates":
+            sets = {r["doc_id"]: shingles(r["text"]) for r in docs.collect()}
+            ids = sorted(sets)
+            for i, a in enumerate(ids):
+                for b in ids[i + 1 :]:
+                    x, y = sets[a], sets[b]
+                    if x and y and 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)):
+                        assert 5 * len(x & y) < 4 * len(x | y), (a, b)
+    kept = docs.collect()
+    assert kept and all(r["n_chars"] == len(r["text"] or "") for r in kept)
+    assert any(before[r["doc_id"]] != r["text"] for r in kept)  # secrets are gone
+    tokens = c.tokens_stage(spark, docs, sf)
+    assert tokens.filter(F.col("n_tokens") < 0).count() == 0 and tokens.count() == len(kept)
+
+
+def shingles(text):
+    import re
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
