@@ -28,8 +28,8 @@ from .common import read
 
 #: Vocabulary files larger than this are refused, because they are broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Pre-tokens remembered per Python worker.
-REMEMBERED = 300_000
+#: Pre-tokens remembered per Python worker, some 200 bytes each.
+REMEMBERED = 800_000
 _M64, _A, _B = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
