@@ -102,7 +102,7 @@ def cascade(listings: DataFrame, products: DataFrame, fuzzy: bool = True) -> Dat
 
     Stages: canonical, stripped, component of a combination, fuzzy. A stage ends the search of a listing only if it gave a
     match that form and route allow. The exact stages are three equi joins; only listings that none of them matched meet
-    the product table in the fuzzy one, by shared first letters or shared words, which a ratio of 92 makes necessary."""
+    the product table in the fuzzy one."""
     products = products.select("product_id", "name", F.col("route").alias("_route"), F.col("dosage_form").alias("_form"))
     keys = _keys(products)
     kinds = [
@@ -126,19 +126,46 @@ def cascade(listings: DataFrame, products: DataFrame, fuzzy: bool = True) -> Dat
     out = first.select("listing_id", "product_id", "confidence", "rationale")
     if not fuzzy:
         return out
-    rest = listings.join(first.select("listing_id").distinct(), "listing_id", "left_anti").withColumn("_own", names.stripped_name(F.col("name"))).filter("_own <> ''")
-    ratio = sequential.udfs()["token_sort_ratio"]
-    # a ratio of 92 needs sorted texts of nearly one length that share most characters: pairs meet on a sorted word's
-    # leading or trailing trigram, of which edits of under a tenth of the text leave one in place
-    grams = lambda c: F.array_distinct(F.flatten(F.transform(F.filter(F.split(c, " "), lambda w: w != ""), lambda w: F.array(F.concat(F.lit("^"), F.substring(w, 1, 3)), F.concat(F.lit("$"), F.substring(w, -3, 3))))))
-    left = rest.select("listing_id", "route", "dosage_form", "_own", F.explode(grams(F.col("_own"))).alias("gram"))
-    right = keys.select("product_id", "key", F.explode(grams(F.col("key"))).alias("gram"))
-    near = left.join(right, "gram").filter(F.abs(F.length("_own") - F.length("key")) * 100 <= 8 * (F.length("_own") + F.length("key"))).drop("gram").distinct()
-    scored = near.withColumn("ratio", ratio("_own", "key")).filter(F.col("ratio") >= FUZZY_FLOOR)
+    rest = listings.join(first.select("listing_id").distinct(), "listing_id", "left_anti").withColumn("_own", names.stripped_name(F.col("name"))).filter("_own <> ''").select("listing_id", "route", "dosage_form", "_own")
+    near = similar(rest.select(F.col("_own").alias("text")), keys.select(F.col("key").alias("text")))
+    scored = rest.join(near, F.col("_own") == F.col("left")).join(keys, F.col("right") == F.col("key"))
     best = scored.groupBy("listing_id", "product_id", "route", "dosage_form").agg(F.max("ratio").alias("ratio"))
     return out.unionByName(fits(best).select("listing_id", "product_id", (F.col("ratio") / 100).alias("confidence"), F.lit("fuzzy").alias("rationale")))
 
 
+def similar(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left, right: text. The distinct pairs left, right of texts whose token_sort_ratio is FUZZY_FLOOR or more, with ratio.
+
+    The candidates are complete. Of texts of a and b characters (words sorted) with a common subsequence of 0.46 (a + b) or
+    more, at most x = 4/27 a characters of the first are lost and y of the other are new; a lost one ends at most 3 of the
+    first text's a + 2 padded trigrams, a new one at most 2. 3 x + 2 y is at most 4/9 a, so the 4/9 a + 1 rarest trigrams of
+    both texts (repeated ones numbered) share one."""
+    ratio = sequential.udfs()["token_sort_ratio"]
+
+    def texts(df: DataFrame) -> DataFrame:
+        # the white space of Python's split()
+        words = F.filter(F.split("text", r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+        padded = F.concat(F.lit("\x01\x01"), F.array_join(F.array_sort(words), " "), F.lit("\x02\x02"))
+        cuts = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
+        numbered = F.transform("cuts", lambda g, i: F.concat(g, F.size(F.filter(F.slice("cuts", 1, i), lambda x: x == g)).cast("string")))
+        return df.filter("text <> ''").distinct().select("text", (F.length(padded) - 4).alias("n"), cuts.alias("cuts")).filter("n > 0").select("text", "n", numbered.alias("grams"))
+
+    a, b = texts(left), texts(right)
+    seen = b.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("seen"))
+
+    def rarest(df: DataFrame, side: str) -> DataFrame:
+        each = df.select("text", "n", "grams", F.explode("grams").alias("gram")).join(seen, "gram", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+        place = F.row_number().over(Window.partitionBy("text").orderBy("seen", "gram"))
+        return each.withColumn("_p", place).filter("_p <= 4 * n div 9 + 1").select("gram", *(F.col(c).alias(f"{side}_{c}") for c in ("text", "n", "grams")))
+
+    met = rarest(a, "l").join(rarest(b, "r"), "gram").filter("184 * greatest(l_n, r_n) <= 216 * least(l_n, r_n)")
+    # of the trigrams of each, so many are left
+    left_over = lambda m, n: F.expr(f"{m} + 2 - 3 * ({m} - (46 * (l_n + r_n) + 99) div 100) - 2 * ({n} - (46 * (l_n + r_n) + 99) div 100)")
+    met = met.filter(F.size(F.array_intersect("l_grams", "r_grams")) >= F.greatest(left_over("l_n", "r_n"), left_over("r_n", "l_n")))
+    pairs = met.select(F.col("l_text").alias("left"), F.col("r_text").alias("right")).distinct()
+    return pairs.withColumn("ratio", ratio("left", "right")).filter(F.col("ratio") >= FUZZY_FLOOR)
+
+
 def primary_tokens(name: Column) -> Column:
     """The first salt-free word of each ingredient, distinct, none empty."""
     return F.filter(F.array_distinct(F.transform(names.ingredients(name), lambda i: F.element_at(F.split(names.stripped_name(i), " "), 1))), lambda t: t != "")

@@ -277,13 +277,36 @@ def unpivot_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact stages: salted listings against the plain products of the same words."""
+    """Salted listings against the plain products of the same words."""
     part = read(spark, sf_dir, "part")
     none = F.lit(None).cast("string")
     products = part.select(F.col("p_name").alias("name")).distinct().select(F.col("name").alias("product_id"), "name", none.alias("route"), none.alias("dosage_form"))
     salt = F.element_at(F.array(*map(F.lit, SALT_OF)), (F.col("p_partkey") % 3 + 1).cast("int"))
     asked = part.select(F.col("p_partkey").alias("listing_id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" "), salt)).alias("name"), none.alias("route"), none.alias("dosage_form"))
-    return joins.cascade(asked, products, fuzzy=False)
+    return joins.cascade(asked, products)
+
+
+def misspelt_catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Listings and products of parts, whose routes and forms may differ. Listings carry a salt, an unknown ingredient besides, or
+    a name (of two words or, for products of combinations, more) that lacks or repeats a letter at any place."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), "p_type", "p_brand")
+    pick = lambda k, n: F.when(k % n == 0, None).when(k % n == 1, "oral").otherwise("oral solution")
+    form = lambda k, n: F.when(k % n == 0, None).otherwise(F.lower("p_type"))
+    each = part.groupBy("name").agg(F.min("k").alias("k"), F.min("p_type").alias("p_type"), F.min("p_brand").alias("p_brand"))
+    long = each.withColumn("name", F.concat("name", F.lit("; "), F.lower("p_type"), F.lit(" "), F.lower("p_brand")))
+    products = each.unionByName(long).select(F.col("name").alias("product_id"), "name", pick(F.col("k"), 4).alias("route"), form(F.col("k"), 3).alias("dosage_form"))
+    base = F.when(F.col("k") % 2 == 0, F.col("name")).otherwise(F.concat("name", F.lit("; "), F.lower("p_type"), F.lit(" "), F.lower("p_brand")))
+    at = (F.col("k") % F.length("base") + 1).cast("int")
+    head, tail = F.substring(F.col("base"), F.lit(1), at - 1), F.substring(F.col("base"), at, F.length("base"))
+    asked = F.when(F.col("k") % 5 == 0, F.concat("base", F.lit(" sodium"))).when(F.col("k") % 5 == 1, F.concat("base", F.lit(" and zzz"))).when(F.col("k") % 5 == 2, F.concat(head, F.substring(tail, 2, 1000)))
+    asked = asked.when(F.col("k") % 5 == 3, F.concat(head, F.substring(tail, 1, 1), tail)).otherwise(F.substring(F.col("base"), 2, 1000))
+    listings = part.withColumn("base", base).select(F.col("k").alias("listing_id"), asked.alias("name"), pick(F.col("k"), 7).alias("route"), form(F.col("k"), 2).alias("dosage_form"))
+    return listings, products
+
+
+def entity_cascade_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, gated by route and form."""
+    return joins.cascade(*misspelt_catalogue(spark, sf_dir)).withColumn("confidence", _r("confidence"))
 
 
 CASCADE_SQL = """select p_partkey as listing_id, p_name as product_id, case when p_partkey % 2 = 0 then 1.0 else 0.92 end::double as confidence,
@@ -367,7 +390,7 @@ QUERIES = {
         vector_topk_exact, vector_topk_filtered, vector_topk_batch, mmr_select, retrieval_scorecard, coverage_by_group, coverage_total, group_counts, pending_page, active_reconcile,
         latest_version, customer_orders, dedup_losers, change_kind, shard_rollup, corpus_digest, metrics_counters, named_counters, latency_percentiles, score_distribution, value_histogram,
         threshold_curve, threshold_recommend, confusion_matrix, recent_turns, display_title, graph_follows, sentence_stats, canonical_names, stripped_names, app_numbers, unpivot_fields,
-        entity_cascade, redundancy_max, chunk_documents, repeated_lines, html_visible_text, content_hashes, limit_oracle, rate_limit_window, rate_limit_exact, tumbling_counts, session_counts,
+        entity_cascade, entity_cascade_fuzzy, redundancy_max, chunk_documents, repeated_lines, html_visible_text, content_hashes, limit_oracle, rate_limit_window, rate_limit_exact, tumbling_counts, session_counts,
     )
 }
 
