@@ -5,9 +5,10 @@ vector with its own code. For another vector q, <code(o), q> / f is an unbiased
 pair at the threshold t has a standard deviation of at most sqrt((1 - f^2)(1 - t^2) / (D - 1)) / f. Pairs whose estimate
 is within Z deviations of t (or above) are recomputed exactly, in doubles; only they can link.
 
-Which pairs are estimated: vectors are dealt to bands of random hyperplanes (all pairs of equal band keys meet, counted in
-the first band they share); bits and bands follow from a cost model and a target recall at the threshold. For up to some
-100,000 vectors the model chooses no bits at all: every pair is estimated. Buckets are cut into blocks, and pairs of blocks
+Every pair is estimated, at every size: the work grows with the square of the distinct vectors. A caller that can do with
+less asks for bands by shape: vectors are dealt to bands of random hyperplanes, all pairs of equal band keys meet, counted
+in the first band they share, and pairs that share none are lost; plan() has bits and bands by a cost model and a target
+recall at the threshold. Buckets are cut into blocks, and pairs of blocks
 are the tasks, so a hot bucket is spread. Equal vectors are collapsed first. A task returns link counts and a
 forest of its links, not the links.
 
@@ -100,13 +101,13 @@ def links_between(a: Block, b: Block, threshold: float, band: int, same: bool) -
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, shape: tuple[int, int] | None = None) -> DataFrame:
-    """vectors: vec_id, embedding -> vec_id, n_links, component_id, kept. shape: bits and bands, else by cost."""
+    """vectors: vec_id, embedding -> vec_id, n_links, component_id, kept. shape: bits and bands, which lose links; else all pairs."""
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     usable = F.col("vec_id").isNotNull() & finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
     able = vectors.filter(usable)
     reps = cut(able.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("dim", F.size("embedding")))
     n = reps.count()
-    bits, bands = shape or plan(n, threshold)
+    bits, bands = shape or (0, 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
