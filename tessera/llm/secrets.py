@@ -1,7 +1,7 @@
 """Secret scans with a randomness test battery; DataFrame and SQL functions only.
 
 Base rules find assigned credentials, access keys and hex runs. Besides, every long run of encoding characters is a
-candidate. Its encoding (hex, base32, base36, base62, base64) is inferred from its alphabet, and it is tested under
+candidate, without the parts that base rules found. Its encoding (hex, base32, base36, base62, base64) is inferred from its alphabet, and it is tested under
 that encoding: chi-squared uniformity of the alphabet, Wald-Wolfowitz runs about the alphabet's middle, and lag-1
 serial correlation. A candidate counts as random if none of the three rejects randomness (Bonferroni). The tests have
 little power against short strings, so that isn't enough: the candidate must also be a discovery against the
@@ -28,8 +28,8 @@ RULES = (
 )
 #: Cheap conditions that texts with a match fulfil.
 HINTS = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": "AKIA[A-Z0-9]", "hex": "[0-9a-f]{32}"}
-#: Candidates of the method, and what each must hold.
-CANDIDATE, NEEDS = r"[A-Za-z0-9+/_=-]{20,}", "[0-9]"
+#: Candidates of the method, and the least length of one.
+CANDIDATE, LEAST = r"[A-Za-z0-9+/_=-]{20,}", 20
 #: Encodings by alphabet, the narrowest first.
 ENCODINGS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
@@ -74,6 +74,20 @@ def _base(text: Column) -> Column:
     return F.transform(F.array_sort(F.concat(*found)), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
 
 
+def _outside(m: Column) -> Column:
+    """array<struct<start, stop, hit>>: what base spans leave of a match, without parts that are too short."""
+    kind = "array<struct<start:bigint,stop:bigint,hit:string>>"
+    over = F.filter("base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))
+
+    def part(a: Column, stop: Column) -> Column:
+        hit = F.substring(m["hit"], (a["at"] - m["start"] + 1).cast("int"), (stop - a["at"]).cast("int"))
+        one = F.array(F.struct(a["at"].alias("start"), stop.alias("stop"), hit.alias("hit")))
+        return F.when(stop - a["at"] >= LEAST, F.concat(a["out"], one)).otherwise(a["out"]).cast(kind)
+
+    step = lambda a, b: F.struct(F.greatest(a["at"], b["stop"]).alias("at"), part(a, b["start"]).alias("out"))
+    return F.aggregate(over, F.struct(m["start"].alias("at"), F.expr(f"cast(array() as {kind})").alias("out")), step, lambda a: part(a, m["stop"]))
+
+
 def _upper_tail(z: Column) -> Column:
     """P(Z > z) of the normal distribution: rational approximation times the density, good in relative terms far out."""
     x = F.abs(z)
@@ -144,8 +158,7 @@ def scan(docs: DataFrame) -> DataFrame:
     docs = docs.drop("base", "spans", "candidates")
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.withColumn("base", _base(text))
-    outside = lambda m: ~F.exists("base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))
-    some = F.filter(_matches(text, CANDIDATE, 0), lambda m: m["hit"].rlike(NEEDS) & outside(m))
+    some = F.flatten(F.transform(_matches(text, CANDIDATE, 0), _outside))
     tested = F.transform(some, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), battery(m["hit"]).alias("t")))
     flat = F.transform(tested, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["t"]["n"].alias("n"), m["t"]["p_text"].alias("p_text"), (F.least(m["t"]["p_uniform"], m["t"]["p_runs"], m["t"]["p_serial"]) * 3 >= ALPHA).alias("random")))
     none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint,n:int,p_text:double,random:boolean>>)")
