@@ -5,8 +5,8 @@ candidate, without the parts that base rules found. Its encoding (hex, base32, b
 that encoding: chi-squared uniformity of the alphabet, Wald-Wolfowitz runs about the alphabet's middle, and lag-1
 serial correlation. A candidate counts as random if none of the three rejects randomness (Bonferroni). The tests have
 little power against short strings, so that isn't enough: the candidate must also be a discovery against the
-hypothesis "text", under which the class of characters (lower, upper, digit, other) seldom changes. False discoveries
-are controlled (Benjamini-Hochberg) within each class of length, from a histogram of p-values over all candidates.
+hypothesis "text", under which the class of characters (lower, upper, digit, other) seldom changes; the three tests don't
+enter that p-value, so random strings of one class are never found. False discoveries are controlled (Benjamini-Hochberg) within each class of length, from a histogram of p-values over all candidates.
 
 Defined results: null texts are empty and have no spans; positions are code points, ends exclusive; equal spans of
 several kinds are all listed; repeated rows are scanned each (and count in the histogram each); an empty table gives
