@@ -52,8 +52,8 @@ def registry(raw: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("smiles").isNotNull(), "resolved").when(F.col("cid").isNotNull(), "partial").otherwise("not_found"))
 
 
-def pdf_pages(artifacts: DataFrame, most_pages: int = 2000) -> DataFrame:
-    """artifacts: path, content -> path, page, text. Needs pypdf where it runs; without it this raises when executed."""
+def pdf_pages(artifacts: DataFrame, most_pages: int = 3000) -> DataFrame:
+    """artifacts: path, content -> path, page, text. A document of more pages is an error, never a part of it. Needs pypdf where it runs; without it this raises when executed."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -61,7 +61,12 @@ def pdf_pages(artifacts: DataFrame, most_pages: int = 2000) -> DataFrame:
         from pypdf import PdfReader
 
         for f in frames:
-            rows = [(p, n, x.extract_text() or "") for p, c in zip(f["path"], f["content"]) for n, x in enumerate(PdfReader(io.BytesIO(c)).pages[:most_pages], 1)]
+            rows = []
+            for p, c in zip(f["path"], f["content"]):
+                pages = PdfReader(io.BytesIO(c)).pages
+                if len(pages) > most_pages:
+                    raise ValueError(f"{p}: PDF has {len(pages)} pages, exceeds {most_pages}")
+                rows += [(p, n, x.extract_text() or "") for n, x in enumerate(pages, 1)]
             yield pd.DataFrame(rows, columns=["path", "page", "text"])
 
     return artifacts.select("path", "content").mapInPandas(run, "path string, page int, text string")
