@@ -6,6 +6,7 @@ from . import bpe, chat, jaccard, lm, mixing, neardup, quality, secrets, substri
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
+    "op1_substring_batches": substring.op1_substring_batches,
     "op2_chat": chat.op2_chat,
     "op3_jaccard": jaccard.op3_jaccard,
     "op4_quality": quality.op4_quality,
@@ -19,6 +20,7 @@ QUERIES = {
 
 SQL = {
     "op1_substring": substring.OP1_SQL,
+    "op1_substring_batches": substring.OP1_SQL,
     "op2_chat": chat.OP2_SQL,
     "op3_jaccard": jaccard.OP3_SQL,
     "op5_neardup": neardup.OP5_SQL,

@@ -5,8 +5,9 @@ check bytes of all windows of one or more earlier batches. A batch of documents
 each chunk is a run of its own: its windows' distinct fingerprints, sorted, in one block per bucket. A bucket
 merge-joins the historical runs and the chunks' runs in order; an entry found in an earlier run is a repeat if its
 check, computed from the same words by independent multipliers, agrees too. The answers (a bit per entry) return to
-the chunks, which mark covered words. The merged bucket is the batch's new run; when FANOUT runs have gathered,
-they are compacted into one. Fingerprints of the default width agree by chance with a probability near 2^-72 a pair.
+the chunks, which mark covered words. What the merged bucket has beyond the earlier runs is the batch's new run; when
+FANOUT runs have gathered, the merged bucket is written as their compaction. Its inputs stay until the next compaction,
+so that batches since the one before can be repeated. Fingerprints of the default width agree by chance with a probability near 2^-72 a pair.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+; null texts have none; texts shorter than a window lose nothing; rows of
 one doc_id don't make each other's words repeats; null ids come last and never own a window against each other; empty
@@ -15,6 +16,7 @@ tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import compress
 
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import ensure_checkpoint_dir, read
 from .packed import CHUNK_BYTES, get, ids_out, in_order, pack, put, split_by_bucket, unpack
 from .words import WordHash, grams, mix64
 
@@ -88,8 +90,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, index: str | None = None, batch
     """docs: doc_id, text -> doc_id, n_words, n_removed, kept (the words left, joined by a space).
 
     index: a shared folder of runs of earlier batches, all of whose windows count as earlier; batch: the number of this
-    batch, whose run is added (writing it again replaces it). Without index, only the batch itself is compared."""
+    batch, whose run is added. Batches come in order of their numbers. The last can be written again, which replaces it; one
+    before it only unchanged, which leaves the index as it is. One that is too late, or whose history is already compacted
+    with it, is an error. Without index, only the batch itself is compared."""
     spark = docs.sparkSession
+    if index is not None:
+        _check_turn(spark, index, batch)
     chunk_of, _, total = in_order(docs, chunk_bytes)
     buckets = _buckets(spark, index, total, chunk_bytes)
     packed = pack(docs, chunk_of)
@@ -131,8 +137,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, index: str | None = None, batch
         blocks = blocks.unionByName(_runs(spark, index, batch))
     merged = blocks.groupBy("bucket").applyInArrow(join, block)
     if index is not None:
-        merged.write.mode("overwrite").parquet(f"{index}/new")
-        merged = spark.read.schema(block).parquet(f"{index}/new")
+        answered = f"{index}/answers/{batch:08d}-{uuid.uuid4()}"  # the result reads it later
+        merged.write.parquet(answered)
+        merged = spark.read.schema(block).parquet(answered)
         _settle(spark, index, batch, merged.filter("chunk < 0"), buckets)
     answers = merged.filter("chunk >= 0").select("chunk", "bucket", "keys")
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(mark, "doc_id long, n_words long, n_removed long, kept string")
@@ -157,27 +164,45 @@ def _buckets(spark: SparkSession, index: str | None, total: int, chunk_bytes: in
     return int(have[0].split("-")[-1]) if have else max(16, -(-total // chunk_bytes))
 
 
+def _span(name: str) -> tuple[int, int]:
+    return tuple(int(x) for x in name.split("-")[:2])
+
+
+def _check_turn(spark: SparkSession, index: str, batch: int) -> None:
+    spans = [_span(n) for n in _names(spark, index)]
+    if any(to > batch for _, to in spans) and (batch, batch) not in spans:
+        raise ValueError(f"batch {batch} comes after later ones, and its history is not kept apart from them")
+
+
+def _history(spark: SparkSession, index: str, batch: int) -> list[str]:
+    """The runs of batches before this one, without those that a compaction among them holds."""
+    older = [n for n in _names(spark, index) if _span(n)[1] < batch]
+    within = lambda a, b: a != b and b[0] <= a[0] and a[1] <= b[1]
+    return [n for n in older if not any(within(_span(n), _span(m)) for m in older)]
+
+
 def _runs(spark: SparkSession, index: str, batch: int) -> DataFrame:
     """Blocks of the runs of batches before this one, numbered below 0 from the oldest."""
     block = "bucket int, chunk int, keys binary, checks binary"
     out = spark.createDataFrame([], block)
-    older = [n for n in _names(spark, index) if int(n.split("-")[1]) < batch]
+    older = _history(spark, index, batch)
     for k, name in enumerate(older):
         out = out.unionByName(spark.read.schema(block).parquet(f"{index}/runs/{name}").withColumn("chunk", F.lit(k - len(older))))
     return out
 
 
 def _settle(spark: SparkSession, index: str, batch: int, merged: DataFrame, buckets: int) -> None:
-    """Adds the batch's run, named batches from-to; the merge holds all older runs too, so FANOUT runs become one by
-    keeping only the merged one. Otherwise only what the older runs lack is written."""
-    older = [n for n in _names(spark, index) if int(n.split("-")[1]) < batch]
+    """Adds the batch's run, named batches from-to: what the older runs lack. The merge holds all older runs too, so FANOUT
+    runs are compacted by writing it as well; then the inputs of the compaction before go."""
+    have, older = _names(spark, index), _history(spark, index, batch)
+    if any(_span(n)[1] > batch for n in have):
+        return
     fs, _ = _fs(spark, index)
     if len(older) + 1 >= FANOUT:
-        name = f"{older[0].split('-')[0]}-{batch:08d}-{buckets}"
-        merged.write.mode("overwrite").parquet(f"{index}/runs/{name}")
-        for n in older:
-            fs.delete(_fs(spark, f"{index}/runs/{n}")[1], True)
-        return
+        merged.write.mode("overwrite").parquet(f"{index}/runs/{_span(older[0])[0]:08d}-{batch:08d}-{buckets}")
+        for n in have:
+            if _span(n)[1] < batch and n not in older:
+                fs.delete(_fs(spark, f"{index}/runs/{n}")[1], True)
 
     def less(key: tuple, bucket: pa.Table) -> pa.Table:
         rows = bucket.to_pylist()
@@ -198,6 +223,20 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op1_substring_batches(spark: SparkSession, sf_dir: str, batches: int = 6) -> DataFrame:
+    """op1_substring's rows by way of an index: ranges of doc_id (null ids last) are the batches."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    index = f"{ensure_checkpoint_dir(spark)}/substring-{uuid.uuid4()}"
+    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    width = -(-((hi or 0) - (lo or 0) + 1) // batches)
+    of = F.coalesce(F.floor((F.col("doc_id") - (lo or 0)) / width).cast("int"), F.lit(batches - 1))
+    out = None
+    for k in range(batches):
+        part = dedup(docs.filter(of == k), index=index, batch=k)
+        out = part if out is None else out.unionByName(part)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP1_SQL = """
 WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
