@@ -14,6 +14,8 @@ from .streaming import queries as streams
 from .tables import read
 
 K = 8
+#: The wide net that diverse passages are picked from, and the least score of one.
+NET, FLOOR = 50, 0.30
 #: Fixed value: the name words that the name queries add salts to, so that salt rules show.
 SALT_OF = ("sodium", "hydrochloride", "sulfate")
 
@@ -42,10 +44,10 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_k(v, _asked(v), K, where, "vec_id").select("vec_id", "label", _r("score").alias("score"))
 
 
-def _batch(spark: SparkSession, sf_dir: str, least: int = 50) -> DataFrame:
+def _batch(spark: SparkSession, sf_dir: str, least: int = 50, k: int = K) -> DataFrame:
     v = read(spark, sf_dir, "embeddings")
     asked = v.filter(F.col("vec_id") % least == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return ranking.top_k_each(v, asked, K, "vec_id")
+    return ranking.top_k_each(v, asked, k, "vec_id")
 
 
 def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +62,10 @@ select query_id, vec_id, rank::int as rank, round(greatest(least(1 - distance /
 
 
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The passages of each query's pool, picked for diversity; a vector's text is that of the document of its id."""
+    """Up to K passages of each query's wide net above the floor, picked for diversity; a vector's text is that of the document of its id."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pool = _batch(spark, sf_dir).join(docs, "vec_id").select("query_id", F.col("rank").alias("position"), "vec_id", "score", "text")
-    return ranking.diverse(pool, 4).select("query_id", "pick", "vec_id")
+    pool = _batch(spark, sf_dir, k=NET).join(docs, "vec_id").select("query_id", F.col("rank").alias("position"), "vec_id", "score", "text")
+    return ranking.trimmed(pool, K, FLOOR, True).select("query_id", "pick", "vec_id")
 
 
 def retrieval_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
