@@ -14,7 +14,7 @@ differ in members: nothing is lost), then counted exactly. Equal sets are collap
 Defined results: words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text of fewer words than n makes one n-gram of
 them all; texts that are null or without words have empty sets and link with nothing; a null id links with nothing and
 has no component; rows of one id are texts of one document; an empty table gives an empty result; other columns are
-ignored. n-grams are told apart by 64-bit hashes, and by 40 bits of them within a pair.
+ignored. n-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -252,7 +252,7 @@ def groups(docs: DataFrame, join: Join = Join(), chunk_bytes: int = CHUNK_BYTES)
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, join.words) for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([put(np.unique(s >> np.uint64(24))) for s in sets], pa.binary())], names=["doc_id", "n", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([put(s) for s in sets], pa.binary())], names=["doc_id", "n", "members"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
