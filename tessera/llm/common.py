@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: A table joined by broadcast has at most so many rows; beyond that the join is shuffled.
 BROADCAST_ROWS = 100_000
+#: The same for tables of an id and at most another number and a flag: some 30 MB.
+NARROW_ROWS = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,9 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup(rows: DataFrame, small: DataFrame, on: list[str], small_rows: int, how: str = "inner") -> DataFrame:
-    """rows joined with a table of known size: broadcast up to BROADCAST_ROWS rows, shuffled beyond (AQE splits hot keys)."""
-    return rows.join(F.broadcast(small) if small_rows <= BROADCAST_ROWS else small, on, how)
+def lookup(rows: DataFrame, small: DataFrame, on: list[str], small_rows: int, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows joined with a table of known size: broadcast up to most rows, shuffled beyond (AQE splits hot keys)."""
+    return rows.join(F.broadcast(small) if small_rows <= most else small, on, how)
+
+
+def shielded(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but own under names that no operator uses, and the function that names a result's columns again."""
+    names = {c: c if c in own else f"_shielded_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), lambda out: out.select(*(F.col(b).alias(a) for a, b in names.items()))
 
 
 def input_bytes(df: DataFrame) -> int:

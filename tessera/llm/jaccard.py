@@ -6,15 +6,17 @@ lists: linked sets of sizes n and m differ in at most (n + m)(1 - t)/(1 + t) mem
 some part of theirs is the same, so each set enters the list of each of its parts. Parts are made per class of size, and
 a set enters those of its own class and the next. The boundary is where enumerating costs more than scanning.
 
-Lists are short unless sets are alike. A short list gives all its pairs, a long one the pairs with its first member;
-what those leave apart is compared in later rounds, in the lists whose members are still of several groups, until no
-pair of a list is untested. Pairs are first held against parity sketches (they differ in no more bits than the sets
-differ in members: nothing is lost), then counted exactly. Equal sets are collapsed before, so copies make no pairs.
+Equal sets are collapsed first, so copies make no pairs. The FEW smallest signatures of every set find most links: the
+sets of such a signature are held against its first one. What these groups leave is found by the whole lists: a short list
+gives its pairs of different groups, a long one those with its first member; what is still apart is compared in later
+rounds, in the lists whose members are of several groups, a pair of blocks of a list a task, until no pair of a list is
+untested. Pairs are first held against parity sketches (they differ in no more bits than the sets differ in members:
+nothing is lost), then counted exactly.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text of fewer words than n makes one n-gram of
 them all; texts that are null or without words have empty sets and link with nothing; a null id links with nothing and
-has no component; rows of one id are texts of one document; an empty table gives an empty result; other columns are
-ignored. n-grams are told apart by 64-bit hashes.
+has no component; rows of one id are texts of one document, which links what any of them links; repeated rows give a row
+each; an empty table gives an empty result; other columns are ignored. n-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, read
+from .common import NARROW_ROWS, cut, lookup, read
 from .components import components
 from .packed import CHUNK_BYTES, get, get_small, put, put_small, split_by_bucket, text_bytes
 from .words import WordHash, grams, mix64, texts
 
-#: Lists of up to so many sets give all pairs at once.
-SHORT = 6
+#: Lists of up to so many sets give all pairs at once; of a longer one, so many sets are a block.
+SHORT, BLOCK = 6, 2048
+#: Signatures of a set that are looked at before the whole lists.
+FEW = 8
 #: What scanning an entry of an inverted list costs, in enumerated subsets.
 SCAN_COST = 8
 #: Least and most bits of a parity sketch; in between two to four per member, so that unlike sets of any size differ in it.
@@ -116,19 +120,19 @@ def folded(x: np.ndarray, words: int) -> np.ndarray:
     return x
 
 
-def signatures(sets: list[np.ndarray], join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, position of its set), for non-empty sets."""
+def signatures(sets: list[np.ndarray], join: Join, alike: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, position of its set), for non-empty sets. alike: only those that sets of about the same size share."""
     sig, who = [], []
     size = np.array([len(s) for s in sets], np.int64)
     for i in np.flatnonzero((size > 0) & (size <= join.light)).tolist():
         member = mix64(sets[i] + np.uint64(0x51ED27))
-        for t in join.subset_sizes(len(member)):
+        for t in [join.overlap(len(member), len(member))] if alike else join.subset_sizes(len(member)):
             gone = np.array(list(combinations(range(len(member)), len(member) - t)), np.int64)
             total = member.sum() - (member[gone].sum(axis=1) if gone.size else np.zeros(1, np.uint64))
             sig.append(mix64(total * np.uint64(2) + np.uint64(t)))
             who.append(np.full(len(total), i))
     heavy = np.flatnonzero(size >= join.edges[0])
-    for step in (0, 1):
+    for step in (0,) if alike else (0, 1):
         left = heavy
         for attempt in range(TRIES + 1):
             if not len(left):
@@ -163,57 +167,95 @@ def _near(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, join: Join
 
 
 def _pairs(bucket: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Pairs of the lists of a bucket, and the members of its long lists."""
-    sig = np.concatenate([get(r) for r in bucket["keys"].to_pylist()])
-    who = np.concatenate([get_small(i, int.from_bytes(k[:4], "little")) for i, k in zip(bucket["ids"].to_pylist(), bucket["keys"].to_pylist())]).astype(np.int64)
+    """Pairs of sets of different groups in the lists of a bucket, and the members of its long lists."""
+    blocks = list(zip(*(bucket[c].to_pylist() for c in ("keys", "ids", "roots"))))
+    sig = np.concatenate([get(k) for k, _, _ in blocks])
+    who = np.concatenate([get_small(i, int.from_bytes(k[:4], "little")) for k, i, _ in blocks]).astype(np.int64)
+    root = np.concatenate([_roots_in(r, get_small(i, int.from_bytes(k[:4], "little")).astype(np.int64)) for k, i, r in blocks])
     order = np.argsort(sig, kind="stable")
-    sig, who = sig[order], who[order]
+    sig, who, root = sig[order], who[order], root[order]
     start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     size = np.diff(np.append(start, len(sig)))
     a, b, long = [], [], []
     for n in range(2, SHORT + 1):
-        rows = who[start[size == n][:, None] + np.arange(n)]
+        at = start[size == n][:, None] + np.arange(n)
+        rows, of = who[at], root[at]
         for i, j in combinations(range(n), 2):
-            a.append(rows[:, i])
-            b.append(rows[:, j])
+            apart = of[:, i] != of[:, j]
+            a.append(rows[apart, i])
+            b.append(rows[apart, j])
     seen = set()
     for s, n in zip(start[size > SHORT].tolist(), size[size > SHORT].tolist()):
-        ids = np.unique(who[s : s + n])
+        ids, at = np.unique(who[s : s + n], return_index=True)
+        of = root[s : s + n][at]
+        far = of != of[0]
+        if not far.any():
+            continue
         raw = ids.tobytes()
         h = xxhash.xxh3_128_digest(raw)
         if h not in seen:
             seen.add(h)
             long.append(raw)
-            a.append(np.full(len(ids) - 1, ids[0]))
-            b.append(ids[1:])
+            a.append(np.full(int(far.sum()), ids[0]))
+            b.append(ids[far])
     a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
     pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
     pair = pair[pair[:, 0] != pair[:, 1]]
     return pair[:, 0], pair[:, 1], long
 
 
-def groups(docs: DataFrame, join: Join = Join(), chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def _roots_out(ids: np.ndarray, roots: np.ndarray) -> bytes:
+    """Groups of ids: a bit where it isn't the id itself, then those groups."""
+    other = ids != roots
+    return np.packbits(other).tobytes() + put_small(roots[other].astype(np.uint64)) if other.any() else b""
+
+
+def _roots_in(raw: bytes, ids: np.ndarray) -> np.ndarray:
+    out = ids.copy()
+    if raw:
+        n = -(-len(ids) // 8)
+        other = np.unpackbits(np.frombuffer(raw, np.uint8, n), count=len(ids)).astype(bool)
+        out[other] = get_small(raw[n:], int(other.sum())).astype(np.int64)
+    return out
+
+
+def _few(sig: np.ndarray, who: np.ndarray, n: int) -> list[bytes]:
+    """Of each of n sets the FEW smallest signatures."""
+    order = np.lexsort((sig, who))
+    sig, who = sig[order], who[order]
+    start = np.searchsorted(who, np.arange(n))
+    place = np.arange(len(who)) - start[who]
+    keep = place < FEW
+    edges = np.searchsorted(who[keep], np.arange(n + 1))
+    kept = sig[keep].view(np.int64)
+    return [kept[s:e] for s, e in zip(edges[:-1], edges[1:])]
+
+
+def groups(docs: DataFrame, join: Join = Join(), chunk_bytes: int = CHUNK_BYTES, block: int = BLOCK) -> DataFrame:
     """docs: doc_id, text -> doc_id, n_shingles, component_id (the smallest id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = max(16, -(-text_bytes(docs)[1] // chunk_bytes))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t, join.words) for t in texts(batch.column(1))]
-            digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())], names=["doc_id", "n", "digest", "sketch"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                sets = [shingles(t, join.words) for t in texts(batch.column(1))]
+                digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                few = _few(*signatures(sets, join, alike=True), len(sets))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(few, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "sketch", "few"])
 
     def list_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, roots = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             sets = [shingles(t, join.words) for t in texts(batch.column(1))]
             for at in range(0, len(ids), 4096):
                 sig, who = signatures(sets[at : at + 4096], join)
                 order = np.argsort(sig)
-                sig, who = sig[order], ids[at + who[order]]
-                rows = [(b, put(sig[s:e]), put_small(who[s:e].astype(np.uint64))) for b, s, e in split_by_bucket(sig, buckets)]
-                cols = list(zip(*rows)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "keys", "ids"])
+                sig, who = sig[order], at + who[order]
+                rows = [(b, put(sig[s:e]), put_small(ids[who[s:e]].astype(np.uint64)), _roots_out(ids[who[s:e]], roots[who[s:e]])) for b, s, e in split_by_bucket(sig, buckets)]
+                cols = list(zip(*rows)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.binary()] * 3))], names=["bucket", "keys", "ids", "roots"])
 
     def scan(key: tuple, bucket: pa.Table) -> pa.Table:
         a, b, long = _pairs(bucket)
@@ -224,20 +266,22 @@ def groups(docs: DataFrame, join: Join = Join(), chunk_bytes: int = CHUNK_BYTES)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 ids = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(raw)] * len(ids), pa.binary()), pa.array(ids, pa.int64())], names=["list", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(raw)] * len(ids), pa.binary()), pa.array(ids, pa.int64())], names=["list", "rep"])
 
     def between(key: tuple, rows: pa.Table) -> pa.Table:
-        """Pairs of a list's sets that are of different groups and whose sketches allow a link."""
-        rows = rows.combine_chunks().sort_by("rep")
-        rep, root, n = (rows[c].to_numpy() for c in ("rep", "root", "n"))
+        """Pairs of sets of two blocks of a list (or of one) that are of different groups and whose sketches allow a link."""
+        rows = rows.combine_chunks().sort_by([("block", "ascending"), ("rep", "ascending")])
+        rep, root, n, part = (rows[c].to_numpy() for c in ("rep", "root", "n", "block"))
         sketches = [np.frombuffer(r, np.uint64) for r in rows["sketch"].to_pylist()]
         x = np.stack([folded(r, min(map(len, sketches))) for r in sketches])
+        first = np.searchsorted(part, key[2].as_py()) if key[1].as_py() != key[2].as_py() else 0
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in range(len(rep) - 1):
-            far = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        for i in range(first or len(rep) - 1):
+            begin = first or i + 1
+            far = np.flatnonzero(root[begin:] != root[i]) + begin
             far = far[_near(x[i], n[i], x[far], n[far], join)] if len(far) else far
-            a.append(np.full(len(far), rep[i]))
-            b.append(rep[far])
+            a.append(np.minimum(rep[i], rep[far]))
+            b.append(np.maximum(rep[i], rep[far]))
         return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,34 +303,49 @@ def groups(docs: DataFrame, join: Join = Join(), chunk_bytes: int = CHUNK_BYTES)
             good = [_linked(get(x), n, get(y), m, join) for x, n, y, m in zip(*(batch[c].to_pylist() for c in ("sa", "na", "sb", "nb")))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    told = cut(docs.mapInArrow(describe, "doc_id long, n long, digest binary, sketch binary"))
-    first = cut(told.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    known = cut(told.join(first, "digest", "left").select("doc_id", "n", "sketch", "rep"))
-    lists = cut(docs.filter("doc_id is not null").mapInArrow(list_up, "bucket int, keys binary, ids binary").groupBy("bucket").applyInArrow(scan, "a long, b long, members binary"))
-    to_rep = known.filter("rep is not null").select("doc_id", "rep").distinct()
-    of_rep = known.filter("rep = doc_id").select("rep", "n", "sketch").dropDuplicates(["rep"])
-    pairs = lists.filter("a is not null").select("a", "b").distinct()
-    pairs = pairs.join(to_rep.toDF("a", "ra"), "a").join(to_rep.toDF("b", "rb"), "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-    pairs = pairs.join(of_rep.toDF("a", "na", "xa"), "a").join(of_rep.toDF("b", "nb", "xb"), "b").mapInArrow(sieve, "a long, b long")
-    pairs = cut(pairs)
-    held = cut(lists.filter("members is not null").select("members").mapInArrow(members, "list binary, doc_id long").join(to_rep, "doc_id").select("list", "rep").distinct())
-    links, tested = None, pairs
-    while True:
+    told = cut(docs.mapInArrow(describe, "doc_id long, n long, digest binary, sketch binary, few array<long>"))
+    first = told.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    known = cut(told.join(first, "digest", "left").select("doc_id", "n", "sketch", "few", "rep"))
+    of_rep = known.filter("rep = doc_id").select("rep", "n", "sketch", "few").dropDuplicates(["rep"])
+    sketched = of_rep.drop("few")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        return cut(pairs.join(sketched.toDF("a", "na", "xa"), "a").join(sketched.toDF("b", "nb", "xb"), "b").mapInArrow(sieve, "a long, b long"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
         asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        sets = cut(lookup(docs, asked, ["doc_id"], asked.count()).mapInArrow(collect_sets, "doc_id long, n long, members binary"))
-        more = pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b").mapInArrow(verify, "a long, b long")
-        links = cut(more if links is None else links.union(more))
+        sets = cut(lookup(docs, asked, ["doc_id"], asked.count(), most=NARROW_ROWS).mapInArrow(collect_sets, "doc_id long, n long, members binary"))
+        return pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b").mapInArrow(verify, "a long, b long").distinct()
+
+    # texts of one id belong together
+    several = known.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z")
+    links = several.join(known, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))
+    # few signatures find most links; whole lists then only have to find what is still apart
+    few = of_rep.select(F.explode("few").alias("sig"), "rep")
+    shared = few.groupBy("sig").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("sig", "a")
+    tested = possible(few.join(shared, "sig").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    links = cut(links.union(linked(tested)))
+    roots = cut(components(links))
+    moved = known.filter("rep is not null").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    moved = moved.groupBy("doc_id").agg(F.bool_or(F.col("rep") == F.col("doc_id")).alias("own"), F.min(F.coalesce("component", "rep")).alias("root")).filter("not own or root <> doc_id")
+    moved = cut(moved)
+    each = lookup(docs.filter("doc_id is not null"), moved, ["doc_id"], moved.count(), "left", most=NARROW_ROWS).filter("coalesce(own, true)")
+    each = each.select("doc_id", "text", F.coalesce("root", "doc_id").alias("root"))
+    lists = cut(each.mapInArrow(list_up, "bucket int, keys binary, ids binary, roots binary").groupBy("bucket").applyInArrow(scan, "a long, b long, members binary"))
+    pairs = possible(lists.filter("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+    held = cut(lists.filter("members is not null").select("members").mapInArrow(members, "list binary, rep long").distinct())
+    while not pairs.isEmpty():
+        links, tested = cut(links.union(linked(pairs))), tested.union(pairs)
         roots = cut(components(links))
         open_ = held.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("list", "rep", F.coalesce("component", "rep").alias("root"))
-        several = open_.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("list")
-        held = cut(open_.join(several, "list").select("list", "rep", "root"))
+        size = open_.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / block).alias("blocks")).filter("lo <> hi")
+        held = cut(open_.join(size.select("list", "blocks"), "list"))
         if held.isEmpty():
             break
-        new = held.join(of_rep, "rep").groupBy("list").applyInArrow(between, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = cut(new)
-        if pairs.isEmpty():
-            break
-        held, tested = held.select("list", "rep"), tested.union(pairs)
+        met = held.join(sketched, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        met = met.select("list", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "root", "n", "sketch")
+        pairs = cut(met.groupBy("list", "lo", "hi").applyInArrow(between, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
+        held = held.select("list", "rep")
     roots = roots.withColumnRenamed("id", "rep")
     return known.join(roots, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
