@@ -29,7 +29,7 @@ from .common import read
 #: Vocabulary files larger than this are refused, because they are broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens remembered per Python worker, some 200 bytes each.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 _M64, _A, _B = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -171,34 +171,47 @@ def load(path: str, pattern: str) -> Bpe:
     return Bpe(read_ranks(path), pattern)
 
 
-def _map(df: DataFrame, bpe: Bpe, column: str, out: str, work: str) -> DataFrame:
-    """df's doc_id and column -> doc_id, column's packed ids and out; texts go row by row, batches stay small."""
+#: What a pass makes of a row, by name.
+_WORK = {
+    "encode": lambda bpe, v: (bpe.encode(v or ""),),
+    "decode": lambda bpe, v: (v, bpe.decode(v or b"")),
+    "both": lambda bpe, v: ((ids := bpe.encode(v or "")), bpe.decode(ids)),
+}
+
+
+def _map(df: DataFrame, bpe: Bpe, column: str, work: str, *out: str) -> DataFrame:
+    """df's doc_id and column -> doc_id and the columns out; texts go row by row, batches stay small."""
     shared = df.sparkSession.sparkContext.broadcast(bpe)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = getattr(shared.value, work)
+        f = _WORK[work]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                done = [f(v if v is not None else "") for v in part.column(1).to_pylist()]
-                keep = [part.column(0)] + ([part.column(1)] if work == "decode" else [])
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(done, pa.binary())], names=["doc_id", *(["ids"] if work == "decode" else []), out])
+                done = zip(*(f(shared.value, v) for v in part.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.binary()) for x in done)], names=["doc_id", *out])
 
-    return df.select(F.col("doc_id").cast("long"), column).mapInArrow(run, "doc_id long, " + ("ids binary, " if work == "decode" else "") + f"{out} binary")
+    return df.select(F.col("doc_id").cast("long"), column).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} binary" for c in out))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, ids (packed little-endian unsigned 32-bit integers)."""
-    return _map(docs, load(path, pattern), "text", "ids", "encode")
+    return _map(docs, load(path, pattern), "text", "encode", "ids")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """encoded: doc_id, ids. Returns doc_id, ids, decoded (bytes)."""
-    return _map(encoded, load(path, pattern), "ids", "decoded", "decode")
+    return _map(encoded, load(path, pattern), "ids", "decode", "ids", "decoded")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, ids, decoded (bytes, from the ids): encode and decode in one pass."""
+    return _map(docs, load(path, pattern), "text", "both", "ids", "decoded")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    back = decode(encode(docs, path, pattern), path, pattern)
+    """docs: doc_id, text. Returns doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    back = round_trip(docs, path, pattern)
     return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 #: Words remembered per Python worker before the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class WordHash(dict):
