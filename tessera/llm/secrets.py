@@ -4,9 +4,14 @@ Base rules find assigned credentials, access keys and hex runs. Besides, every l
 candidate, without the parts that base rules found. Its encoding (hex, base32, base36, base62, base64) is inferred from its alphabet, and it is tested under
 that encoding: chi-squared uniformity of the alphabet, Wald-Wolfowitz runs about the alphabet's middle, and lag-1
 serial correlation. A candidate counts as random if none of the three rejects randomness (Bonferroni). The tests have
-little power against short strings, so that isn't enough: the candidate must also be a discovery against the
-hypothesis "text", under which the class of characters (lower, upper, digit, other) seldom changes; the three tests don't
-enter that p-value, so random strings of one class are never found. False discoveries are controlled (Benjamini-Hochberg) within each class of length, from a histogram of p-values over all candidates.
+little power against short strings, so that isn't enough: the same three must also reject the hypothesis "text", under
+which symbols repeat as often as letters do (uniformity), the class of characters (lower, upper, digit) seldom changes
+(runs), and neighbours are mostly of one class (serial correlation); separators and the capitals of words aren't changes.
+Fisher's method combines the three p-values, and false discoveries are controlled over the combined one
+(Benjamini-Hochberg) within each class of length, from a histogram over all candidates.
+
+Limits: strings under LEAST characters (without padding) are no candidates; strings of one class are told from text by their repeats alone,
+which takes some 60 characters; random ids (UUIDs, digests) are random and are found as well.
 
 Defined results: null texts are empty and have no spans; positions are code points, ends exclusive; equal spans of
 several kinds are all listed; repeated rows are scanned each (and count in the histogram each); an empty table gives
@@ -15,6 +20,8 @@ an empty result; extra columns stay in scan() unless they are named like its res
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +48,10 @@ ENCODINGS = (
     ("base64url", "^[0-9A-Za-z_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
-#: Level of the battery, rate of false discoveries, and how often text changes its class of characters.
-ALPHA, FDR, TEXT_CHANGES = 1e-3, 1e-2, 0.1
+#: Level of the battery, and rate of false discoveries.
+ALPHA, FDR = 1e-3, 1e-2
+#: Text: how often two of its characters are the same one, how often its class changes, and the correlation of neighbours' classes.
+TEXT_REPEATS, TEXT_CHANGES, TEXT_SERIAL = 0.06, 0.1, 0.3
 #: p-values are counted in steps of 1/8 decade, down to 1e-40.
 STEPS, DEEPEST = 8, 320
 SPAN = "struct<start:bigint,stop:bigint,kind:string>"
@@ -88,13 +97,20 @@ def _outside(m: Column) -> Column:
     return F.aggregate(over, F.struct(m["start"].alias("at"), F.expr(f"cast(array() as {kind})").alias("out")), step, lambda a: part(a, m["stop"]))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value evaluated once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _upper_tail(z: Column) -> Column:
     """P(Z > z) of the normal distribution: rational approximation times the density, good in relative terms far out."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-x * x / 2) * 0.3989422804014327 * poly
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+    def tail(v: Column) -> Column:
+        poly = v["t"] * (0.319381530 + v["t"] * (-0.356563782 + v["t"] * (1.781477937 + v["t"] * (-1.821255978 + v["t"] * 1.330274429))))
+        one = F.exp(-v["z"] * v["z"] / 2) * 0.3989422804014327 * poly
+        return F.when(v["z"] >= 0, one).otherwise(1 - one)
+
+    return _let(z, lambda z: _let(F.struct(z.alias("z"), (1 / (1 + 0.2316419 * F.abs(z))).alias("t")), tail))
 
 
 def battery(token: Column) -> Column:
@@ -104,35 +120,47 @@ def battery(token: Column) -> Column:
         encoding = F.when(token.rlike(pattern), name).otherwise(encoding)
         alphabet = F.when(token.rlike(pattern), letters).otherwise(alphabet)
     body = F.rtrim(token, F.lit("="))
-    base = F.transform(F.array(F.struct(encoding.alias("e"), alphabet.alias("a"), body.alias("b"))), lambda r: F.struct(r["e"].alias("e"), F.length(r["a"]).cast("double").alias("k"), F.transform(F.split(r["b"], ""), lambda c: (F.instr(r["a"], c) - 1).cast("double")).alias("x"), F.transform(F.split(r["b"], ""), lambda c: F.when(c.rlike("[a-z]"), 1).when(c.rlike("[A-Z]"), 2).when(c.rlike("[0-9]"), 3).otherwise(4)).alias("c")))
+    # capitals of words count as lower case, separators not at all
+    cased = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "[^A-Za-z0-9]", ""), "[A-Z](?=[a-z])", "a"), "[a-z]", "a"), "[A-Z]", "b"), "[0-9]", "c")
+    base = F.transform(F.array(F.struct(encoding.alias("e"), alphabet.alias("a"), body.alias("b"), cased.alias("c"))), lambda r: F.struct(r["e"].alias("e"), F.length(r["a"]).cast("double").alias("k"), F.transform(F.split(r["b"], ""), lambda c: (F.instr(r["a"], c) - 1).cast("double")).alias("x"), F.transform(F.split(r["c"], ""), lambda c: F.instr(F.lit("abc"), c).cast("double")).alias("c")))
+    pairs = lambda a: F.zip_with(F.slice(a, 1, F.size(a) - 1), F.slice(a, 2, F.size(a) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+    def serial(x: Column) -> Column:
+        """Lag-1 correlation; null if all are equal."""
+        about = _let(F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x), lambda m: F.transform(x, lambda v: v - m))
+        sums = lambda y: F.struct(F.aggregate(pairs(y), F.lit(0.0), lambda a, v: a + v["p"] * v["q"]).alias("both"), F.aggregate(y, F.lit(0.0), lambda a, v: a + v * v).alias("own"))
+        return _let(_let(about, sums), lambda s: F.when(s["own"] > 1e-9, s["both"] / s["own"]))
+
+    def counts(r: Column) -> Column:
+        """What the tests need of a string: its symbols counted once."""
+        high = F.transform(r["x"], lambda v: v * 2 >= r["k"])
+        return F.struct(
+            r["e"].alias("e"), r["k"].alias("k"), F.size(r["x"]).cast("double").alias("n"),
+            F.aggregate(F.array_distinct(r["x"]), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(r["x"], lambda y: y == v)).cast("double"), 2)).alias("squares"),
+            _let(high, lambda h: F.struct(F.size(F.filter(h, lambda b: b)).cast("double").alias("n1"), (1 + F.size(F.filter(pairs(h), lambda v: v["p"] != v["q"]))).alias("runs"))).alias("high"),
+            serial(r["x"]).alias("serial"), F.size(r["c"]).cast("double").alias("m"), F.size(F.filter(pairs(r["c"]), lambda v: v["p"] != v["q"])).alias("changes"), serial(r["c"]).alias("classes"),
+        )
 
     def tests(r: Column) -> Column:
-        x, k = r["x"], r["k"]
-        n = F.size(x).cast("double")
-        squares = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(x, lambda y: y == v)).cast("double"), 2))
+        k, n, m, squares = r["k"], r["n"], r["m"], r["squares"]
         df = k - 1
         chi = F.greatest(k / n * squares - n, F.lit(1e-9))
         z_uniform = (F.pow(chi / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))  # Wilson-Hilferty
-        high = F.transform(x, lambda v: v * 2 >= k)
-        n1 = F.size(F.filter(high, lambda b: b)).cast("double")
-        n2 = n - n1
-        pairs = lambda a: F.zip_with(F.slice(a, 1, F.size(a) - 1), F.slice(a, 2, F.size(a) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-        runs = 1 + F.size(F.filter(pairs(high), lambda v: v["p"] != v["q"]))
-        mean = 1 + 2 * n1 * n2 / n
-        spread = F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
-        z_runs = F.abs(runs - mean) / spread
-        middle = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-        both = F.aggregate(pairs(x), F.lit(0.0), lambda a, v: a + (v["p"] - middle) * (v["q"] - middle))
-        own = F.greatest(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - middle) * (v - middle)), F.lit(1e-9))
-        z_serial = F.abs(both / own + 1 / n) * F.sqrt(n)
-        changes = F.size(F.filter(pairs(r["c"]), lambda v: v["p"] != v["q"]))
-        z_text = (changes - 0.5 - (n - 1) * TEXT_CHANGES) / F.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES))
+        mean = 1 + 2 * r["high"]["n1"] * (n - r["high"]["n1"]) / n
+        z_runs = _let(mean, lambda mean: F.abs(r["high"]["runs"] - mean) / F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))))
+        z_serial = F.abs(F.coalesce(r["serial"], F.lit(1.0)) + 1 / n) * F.sqrt(n)
+        # the same statistics under the hypothesis "text"
+        t_uniform = _upper_tail(2 * (F.sqrt(TEXT_REPEATS * n * (n - 1) / 2) - F.sqrt((squares - n) / 2 + 0.375)))  # Anscombe, lower tail
+        t_runs = F.when(m > 1, _upper_tail((r["changes"] - 0.5 - (m - 1) * TEXT_CHANGES) / F.sqrt((m - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES)))).otherwise(1.0)
+        t_serial = F.coalesce(_upper_tail((TEXT_SERIAL - r["classes"]) * F.sqrt(m)), F.lit(1.0))
+        log = lambda p: F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-300)))
+        fisher = _let(-(log(t_uniform) + log(t_runs) + log(t_serial)), lambda half: F.exp(-half) * (1 + half + half * half / 2))
         return F.struct(
             r["e"].alias("encoding"), n.cast("int").alias("n"), _upper_tail(z_uniform).alias("p_uniform"), (2 * _upper_tail(z_runs)).alias("p_runs"),
-            (2 * _upper_tail(z_serial)).alias("p_serial"), _upper_tail(z_text).alias("p_text"),
+            (2 * _upper_tail(z_serial)).alias("p_serial"), fisher.alias("p_text"),
         )
 
-    return F.element_at(F.transform(base, tests), 1)
+    return F.transform(F.transform(base, counts), tests)[0]
 
 
 def _length_class(n: Column) -> Column:
@@ -154,13 +182,16 @@ def _thresholds(scanned: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs with base and spans: array<struct<start, stop, kind>>, sorted; spans has those of the method too."""
-    docs = docs.drop("base", "spans", "candidates")
+    """docs with base and spans: array<struct<start, stop, kind>>, sorted; spans has those of the method too. Columns of
+    docs that are named base, spans, candidates or limits are replaced (shielded() keeps them apart)."""
+    docs = docs.drop("base", "spans", "candidates", "limits")
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.withColumn("base", _base(text))
     some = F.flatten(F.transform(_matches(text, CANDIDATE, 0), _outside))
+    some = F.filter(some, lambda m: F.length(F.rtrim(m["hit"], F.lit("="))) >= LEAST)
     tested = F.transform(some, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), battery(m["hit"]).alias("t")))
-    flat = F.transform(tested, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["t"]["n"].alias("n"), m["t"]["p_text"].alias("p_text"), (F.least(m["t"]["p_uniform"], m["t"]["p_runs"], m["t"]["p_serial"]) * 3 >= ALPHA).alias("random")))
+    random = lambda t: F.least(t["p_uniform"], t["p_runs"], t["p_serial"]) * 3 >= ALPHA
+    flat = F.transform(tested, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["t"]["n"].alias("n"), m["t"]["p_text"].alias("p_text"), random(m["t"]).alias("random")))
     none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint,n:int,p_text:double,random:boolean>>)")
     scanned = docs.withColumn("candidates", F.when(text.rlike(CANDIDATE), flat).otherwise(none))
     limits = cut(_thresholds(scanned.select("candidates")))  # a row per length class: 13 at most
