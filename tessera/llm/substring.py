@@ -7,7 +7,11 @@ merge-joins the historical runs and the chunks' runs in order; an entry found in
 check, computed from the same words by independent multipliers, agrees too. The answers (a bit per entry) return to
 the chunks, which mark covered words. What the merged bucket has beyond the earlier runs is the batch's new run; when
 FANOUT runs have gathered, the merged bucket is written as their compaction. Its inputs stay until the next compaction,
-so that batches since the one before can be repeated. Fingerprints of the default width agree by chance with a probability near 2^-72 a pair.
+so that batches since the one before can be repeated. Two different windows agree in fingerprint and check with a
+probability near 2^-72: of 10^13 windows some 10^4 pairs do.
+
+Every chunk sends a block to every bucket. Up to some 64 GB of text a block holds hundreds of entries; beyond that, ids are
+cut at CUT_POINTS places at most and chunks grow with the input, so raise chunk_bytes and the executors' memory with it.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+; null texts have none; texts shorter than a window lose nothing; rows of
 one doc_id don't make each other's words repeats; null ids come last and never own a window against each other; empty
@@ -27,9 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, read
 from .packed import CHUNK_BYTES, get, ids_out, in_order, pack, put, split_by_bucket, unpack
-from .words import WordHash, grams, mix64
+from .words import WordHash, grams
 
 WINDOW, CHECK_BYTES, FANOUT = 13, 1, 4
+#: Chunk numbers of a bucket's runs, and the columns of blocks.
+NEW_RUN, COMPACTED = -1, -2
+BLOCK = "bucket int, chunk int, keys binary, checks binary"
 
 
 class _Windows:
@@ -61,8 +68,9 @@ class _Windows:
         return same & (earlier[self.entry] | (self.ids[self.doc] > self.ids[self.doc[self.owner]][self.entry]))
 
 
-def _merge(bucket: pa.Table, keep_run: bool) -> tuple[list[tuple[int, bytes]], tuple[np.ndarray, np.ndarray]]:
-    """Answers per chunk of a bucket's blocks (chunks below 0 are historical runs), and the merged run."""
+def _merge(bucket: pa.Table, add: bool, compact: bool) -> list[tuple[int, bytes, bytes]]:
+    """Rows (chunk, keys, checks) of a bucket's blocks, historical runs (chunks below 0) first: the answers of each chunk, and
+    of the runs asked for NEW_RUN (what no earlier run has) and COMPACTED (all)."""
     blocks = sorted(zip(bucket["chunk"].to_pylist(), bucket["keys"].to_pylist(), bucket["checks"].to_pylist()), key=lambda b: b[0])
     keys = [get(k) for _, k, _ in blocks]
     key, check = np.concatenate(keys), np.concatenate([np.frombuffer(c, np.uint8) for *_, c in blocks])
@@ -78,24 +86,31 @@ def _merge(bucket: pa.Table, keep_run: bool) -> tuple[list[tuple[int, bytes]], t
         new[by] = np.concatenate([[True], (k[by][1:] != k[by][:-1]) | (c[by][1:] != c[by][:-1])])
     seen = np.empty(len(k), bool)
     seen[order] = ~new
-    out, at = [], 0
+    out, at, old = [], 0, 0
     for (chunk, *_), values in zip(blocks, keys):
         if chunk >= 0:
-            out.append((chunk, np.packbits(seen[at : at + len(values)]).tobytes()))
+            out.append((chunk, np.packbits(seen[at : at + len(values)]).tobytes(), b""))
+        else:
+            old += len(values)
         at += len(values)
-    return out, (k[new], c[new]) if keep_run else (k[:0], c[:0])
+    for wanted, run, which in ((add, NEW_RUN, new & (order >= old)), (compact, COMPACTED, new)):
+        if wanted:
+            out.append((run, put(k[which]), c[which].tobytes()))
+    return out
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, index: str | None = None, batch: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, index: str | None = None, batch: int = 0, chunk_bytes: int = CHUNK_BYTES, add: bool = True, fanout: int = FANOUT) -> DataFrame:
     """docs: doc_id, text -> doc_id, n_words, n_removed, kept (the words left, joined by a space).
 
     index: a shared folder of runs of earlier batches, all of whose windows count as earlier; batch: the number of this
-    batch, whose run is added. Batches come in order of their numbers. The last can be written again, which replaces it; one
-    before it only unchanged, which leaves the index as it is. One that is too late, or whose history is already compacted
-    with it, is an error. Without index, only the batch itself is compared."""
+    batch, whose run is added (unless add is false: the last batch of all). Batches come in order of their numbers. The last
+    can be written again, which replaces it; one before it only unchanged, which leaves the index as it is. One that is too
+    late, or whose history is already compacted with it, is an error; fanout: runs that are compacted. Without index, only the batch itself is compared."""
     spark = docs.sparkSession
+    add = add and index is not None
     if index is not None:
         _check_turn(spark, index, batch)
+    compact = add and len(_history(spark, index, batch)) + 1 >= fanout
     chunk_of, _, total = in_order(docs, chunk_bytes)
     buckets = _buckets(spark, index, total, chunk_bytes)
     packed = pack(docs, chunk_of)
@@ -107,10 +122,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, index: str | None = None, batch
         return pa.table({"bucket": pa.array(cols[0], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int32()), "keys": pa.array(cols[1], pa.binary()), "checks": pa.array(cols[2], pa.binary())})
 
     def join(key: tuple, bucket: pa.Table) -> pa.Table:
-        answers, (keys, checks) = _merge(bucket, index is not None)
-        rows = [(key[0].as_py(), c, a, b"") for c, a in answers]
-        if index is not None:
-            rows.append((key[0].as_py(), -1, put(keys), checks.tobytes()))
+        rows = [(key[0].as_py(), *r) for r in _merge(bucket, add, compact)]
         cols = list(zip(*rows)) or [()] * 4
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("bucket", "chunk", "keys", "checks"), cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))})
 
@@ -131,17 +143,17 @@ def dedup(docs: DataFrame, window: int = WINDOW, index: str | None = None, batch
             removed.append(gone)
         return pa.table({"doc_id": ids_out(w.ids), "n_words": pa.array(np.diff(w.first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    block = "bucket int, chunk int, keys binary, checks binary"
-    blocks = packed.groupBy("chunk").applyInArrow(spread, block)
+    blocks = packed.groupBy("chunk").applyInArrow(spread, BLOCK)
     if index is not None:
         blocks = blocks.unionByName(_runs(spark, index, batch))
-    merged = blocks.groupBy("bucket").applyInArrow(join, block)
-    if index is not None:
-        answered = f"{index}/answers/{batch:08d}-{uuid.uuid4()}"  # the result reads it later
-        merged.write.parquet(answered)
-        merged = spark.read.schema(block).parquet(answered)
-        _settle(spark, index, batch, merged.filter("chunk < 0"), buckets)
-    answers = merged.filter("chunk >= 0").select("chunk", "bucket", "keys")
+    merged = blocks.groupBy("bucket").applyInArrow(join, BLOCK)
+    if add:
+        made = f"{index}/batches/{batch:08d}-{uuid.uuid4()}"
+        kinds = F.when(F.col("chunk") == NEW_RUN, "new").when(F.col("chunk") == COMPACTED, "compacted").otherwise("answers")
+        merged.withColumn("kind", kinds).write.partitionBy("kind").parquet(made)
+        _settle(spark, index, batch, made, buckets, compact)
+        merged = _blocks(spark, f"{made}/kind=answers")  # the result reads it later
+    answers = merged.select("chunk", "bucket", "keys")
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(mark, "doc_id long, n_words long, n_removed long, kept string")
 
 
@@ -181,60 +193,75 @@ def _history(spark: SparkSession, index: str, batch: int) -> list[str]:
     return [n for n in older if not any(within(_span(n), _span(m)) for m in older)]
 
 
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks under a path; none if a batch had no windows and so wrote none."""
+    fs, p = _fs(spark, path)
+    return spark.read.schema(BLOCK).parquet(path) if fs.exists(p) else spark.createDataFrame([], BLOCK)
+
+
 def _runs(spark: SparkSession, index: str, batch: int) -> DataFrame:
     """Blocks of the runs of batches before this one, numbered below 0 from the oldest."""
-    block = "bucket int, chunk int, keys binary, checks binary"
-    out = spark.createDataFrame([], block)
+    out = spark.createDataFrame([], BLOCK)
     older = _history(spark, index, batch)
     for k, name in enumerate(older):
-        out = out.unionByName(spark.read.schema(block).parquet(f"{index}/runs/{name}").withColumn("chunk", F.lit(k - len(older))))
+        out = out.unionByName(_blocks(spark, f"{index}/runs/{name}").withColumn("chunk", F.lit(k - len(older))))
     return out
 
 
-def _settle(spark: SparkSession, index: str, batch: int, merged: DataFrame, buckets: int) -> None:
-    """Adds the batch's run, named batches from-to: what the older runs lack. The merge holds all older runs too, so FANOUT
-    runs are compacted by writing it as well; then the inputs of the compaction before go."""
+def _settle(spark: SparkSession, index: str, batch: int, made: str, buckets: int, compact: bool) -> None:
+    """Moves the batch's run, named batches from-to, and a compaction to the index; the inputs of the compaction
+    before go. Runs are moved whole, so a failed job leaves the index as it was."""
     have, older = _names(spark, index), _history(spark, index, batch)
     if any(_span(n)[1] > batch for n in have):
         return
-    fs, _ = _fs(spark, index)
-    if len(older) + 1 >= FANOUT:
-        merged.write.mode("overwrite").parquet(f"{index}/runs/{_span(older[0])[0]:08d}-{batch:08d}-{buckets}")
+    fs, home = _fs(spark, f"{index}/runs")
+    fs.mkdirs(home)
+
+    def move(kind: str, name: str) -> None:
+        _, source = _fs(spark, f"{made}/kind={kind}")
+        _, target = _fs(spark, f"{index}/runs/{name}")
+        fs.delete(target, True)
+        if fs.exists(source):
+            fs.rename(source, target)
+        else:
+            fs.mkdirs(target)
+
+    if compact:
+        move("compacted", f"{_span(older[0])[0]:08d}-{batch:08d}-{buckets}")
         for n in have:
             if _span(n)[1] < batch and n not in older:
                 fs.delete(_fs(spark, f"{index}/runs/{n}")[1], True)
+    move("new", f"{batch:08d}-{batch:08d}-{buckets}")
+
+
+def in_batches(docs: DataFrame, starts: tuple[float, ...], window: int = WINDOW, fanout: int = FANOUT) -> DataFrame:
+    """dedup() of docs that come in batches: ranges of doc_id that start at those shares of it (null ids come last). All but the
+    last are added to a new index in the shared folder."""
+    index = f"{ensure_checkpoint_dir(docs.sparkSession)}/substring-{uuid.uuid4()}"
+    lo, hi = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
+    lo, hi = lo or 0, hi or 0
+    cuts = [lo + int((hi - lo + 1) * s) for s in starts[1:]]
+    of = sum(((F.col("doc_id") >= c).cast("int") for c in cuts), F.lit(0))
+    of = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(of)
+    out = None
+    for k in range(len(starts)):
+        part = dedup(docs.filter(of == k), window, index, k, add=k < len(cuts), fanout=fanout)
+        out = part if out is None else out.unionByName(part)
+    return out
 
-    def less(key: tuple, bucket: pa.Table) -> pa.Table:
-        rows = bucket.to_pylist()
-        pairs = [np.stack([get(r["keys"]), np.frombuffer(r["checks"], np.uint8).astype(np.uint64)]) for r in sorted(rows, key=lambda r: r["chunk"])]
-        old, new = np.concatenate([np.empty((2, 0), np.uint64), *pairs[:-1]], axis=1), pairs[-1]
-        tag = lambda p: mix64(p[0] + p[1] * np.uint64(0x9E3779B97F4A7C15))
-        fresh = ~np.isin(tag(new), tag(old))
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([-1], pa.int32()), "keys": pa.array([put(new[0][fresh])], pa.binary()), "checks": pa.array([new[1][fresh].astype(np.uint8).tobytes()], pa.binary())})
 
-    block = "bucket int, chunk int, keys binary, checks binary"
-    if older:
-        both = _runs(spark, index, batch).unionByName(merged.withColumn("chunk", F.lit(0)))
-        merged = both.groupBy("bucket").applyInArrow(less, block)
-    merged.write.mode("overwrite").parquet(f"{index}/runs/{batch:08d}-{batch:08d}-{buckets}")
+def _digested(kept: DataFrame) -> DataFrame:
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    """Two batches that become history, compacted, then the batch of most documents."""
+    return _digested(in_batches(read(spark, sf_dir, "documents").select("doc_id", "text"), (0, 1 / 16, 1 / 8), fanout=2))
 
 
-def op1_substring_batches(spark: SparkSession, sf_dir: str, batches: int = 6) -> DataFrame:
-    """op1_substring's rows by way of an index: ranges of doc_id (null ids last) are the batches."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    index = f"{ensure_checkpoint_dir(spark)}/substring-{uuid.uuid4()}"
-    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = -(-((hi or 0) - (lo or 0) + 1) // batches)
-    of = F.coalesce(F.floor((F.col("doc_id") - (lo or 0)) / width).cast("int"), F.lit(batches - 1))
-    out = None
-    for k in range(batches):
-        part = dedup(docs.filter(of == k), index=index, batch=k)
-        out = part if out is None else out.unionByName(part)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+def op1_substring_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1_substring's rows by way of six equal batches."""
+    return _digested(in_batches(read(spark, sf_dir, "documents").select("doc_id", "text"), tuple(k / 6 for k in range(6))))
 
 
 OP1_SQL = """
