@@ -1,7 +1,7 @@
 """Embedding near-dedup with randomised-rotation binary codes.
 
-A unit vector o, rotated at random, is kept as its signs; the correction factor f is the inner product of the rotated
-vector with its own code. For another vector q, <code(o), q> / f is an unbiased estimate of <o, q>, whose error for a
+A unit vector o, rotated at random, is kept as its signs, a bit a dimension, with its correction factor f, the inner
+product of the rotated vector with its own code. For another vector q, <code(o), q> / f is an unbiased estimate of <o, q>, whose error for a
 pair at the threshold t has a standard deviation of at most sqrt((1 - f^2)(1 - t^2) / (D - 1)) / f. Pairs whose estimate
 is within Z deviations of t (or above) are recomputed exactly, in doubles; only they can link.
 
@@ -32,7 +32,7 @@ from .common import cut, lookup, read
 from .components import components, forest
 from .topk import finite
 
-BLOCK_ROWS, TILE = 8192, 1024
+BLOCK_ROWS, TILE = 16384, 512
 #: Deviations of the estimate that are still recomputed, and the recall aimed at for pairs at the threshold.
 Z, RECALL = 6.0, 0.999
 #: Seconds to estimate a pair of 64 dimensions, and to move a vector.
@@ -62,39 +62,44 @@ def band_keys(unit: np.ndarray, bits: int, bands: int) -> np.ndarray:
 
 
 class Block:
-    """Vectors of a bucket: exact values, code estimates and correction factors."""
+    """Vectors of a bucket: exact values, packed binary codes of the rotated unit vectors, and their correction factors."""
 
     def __init__(self, ids: np.ndarray, weight: np.ndarray, x: np.ndarray, keys: np.ndarray):
         self.ids, self.weight, self.x, self.keys = ids, weight, x, keys
+        turned = self.unit() @ rotation(x.shape[1])
+        self.code = np.packbits(turned >= 0, axis=1)
+        self.factor = np.abs(turned).sum(1) / np.sqrt(x.shape[1])
 
-    def ready(self, threshold: float) -> Block:
+    def unit(self) -> np.ndarray:
         wide = self.x.astype(np.float64)
-        self.norm = np.sqrt((wide * wide).sum(1))
-        scale = np.abs(wide).max(1)
-        self.norm = np.where(np.isfinite(self.norm) & (self.norm > 1e-150), self.norm, scale * np.sqrt(((wide / scale[:, None]) ** 2).sum(1)))
-        self.unit = wide / self.norm[:, None]
-        d = wide.shape[1]
-        turned = self.unit @ rotation(d)
-        code = np.where(turned >= 0, 1.0, -1.0) / np.sqrt(d)
-        f = (code * turned).sum(1)
-        self.turned, self.estimator = turned.astype(np.float32), (code / f[:, None]).astype(np.float32)
+        norm, scale = np.sqrt((wide * wide).sum(1)), np.abs(wide).max(1)
+        norm = np.where(np.isfinite(norm) & (norm > 1e-150), norm, scale * np.sqrt(((wide / scale[:, None]) ** 2).sum(1)))
+        return wide / norm[:, None]
+
+    def estimators(self, at: slice, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of some rows as vectors whose inner products with rotated vectors are the estimates, and the least
+        estimate of each that is still recomputed."""
+        d, f = self.x.shape[1], self.factor[at]
+        sign = np.unpackbits(self.code[at], axis=1, count=d).astype(np.float32) * 2 - 1
         spread = np.sqrt((1 - np.minimum(f * f, 1)) * (1 - threshold**2) / max(d - 1, 1)) / f
-        self.least = (threshold - Z * spread - 1e-4).astype(np.float32)
-        return self
+        return sign / (np.sqrt(d) * f)[:, None].astype(np.float32), (threshold - Z * spread - 1e-4).astype(np.float32)
 
 
 def links_between(a: Block, b: Block, threshold: float, band: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Positions in a and b of the linked pairs whose first common band this is."""
     out = [np.empty((2, 0), np.int64)]
+    ua, ub = a.unit(), b.unit()
+    turned = (ub @ rotation(ub.shape[1])).astype(np.float32).T
     for at in range(0, len(a.ids), TILE):
-        near = a.estimator[at : at + TILE] @ b.turned.T >= a.least[at : at + TILE, None]
-        i, j = np.nonzero(near)
-        i = i + at
+        estimator, least = a.estimators(slice(at, at + TILE), threshold)
+        first = at if same else 0  # a pair of one block is met once
+        i, j = np.nonzero(estimator @ turned[:, first:] >= least[:, None])
+        i, j = i + at, j + first
         if same:
             i, j = i[i < j], j[i < j]
         for k in range(0, len(i), 65536):
             p, q = i[k : k + 65536], j[k : k + 65536]
-            good = (a.unit[p] * b.unit[q]).sum(1) >= threshold
+            good = (ua[p] * ub[q]).sum(1) >= threshold
             good &= ~(a.keys[p, :band] == b.keys[q, :band]).any(1)
             out.append(np.stack([p[good], q[good]]))
     return tuple(np.concatenate(out, axis=1))
@@ -127,7 +132,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, shape: tuple[in
         return pa.table({**{n: pa.array([k.as_py()], t) for n, k, t in zip(("band", "bucket", "dim", "block"), key, (pa.int32(), pa.int64(), pa.int32(), pa.int32()))}, "rows": pa.array([pickle.dumps(block, 5)], pa.binary())})
 
     def compare(key: tuple, pair: pa.Table) -> pa.Table:
-        blocks = [pickle.loads(r).ready(threshold) for _, r in sorted(zip(pair["block"].to_pylist(), pair["rows"].to_pylist()))]
+        blocks = [pickle.loads(r) for _, r in sorted(zip(pair["block"].to_pylist(), pair["rows"].to_pylist()))]
         a, b = blocks[0], blocks[-1]
         i, j = links_between(a, b, threshold, key[0].as_py(), len(blocks) == 1)
         ids = np.concatenate([a.ids[i], b.ids[j]])
