@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, lookup, read
+from .common import WORD, cut, lookup, read, shielded
 
 #: Bits of the hash, and the shifts at which buckets are counted: 4096 buckets, then 2^24 in the boundary one, twice.
 HASH_BITS, SHIFTS = 60, (48, 24, 0)
@@ -112,12 +112,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, ro
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, rounds: int = 3, seed: str = "mix") -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes them, with docs' columns."""
-    names = docs.columns
-    docs = docs.select(*(F.col(c) for c in names)).drop("size", "skey", "h", "repeats", "source_size", "target", "whole", "steps")
+    docs, named = shielded(docs, "doc_id", "source", "text")
     rows = keyed(docs, seed)
     plan, n = budgets(cut(rows.select("skey", "size", "h")), weights, most, rounds)
     taken = take(rows, plan, n).filter("repeats > 0")
-    return taken.withColumn("repeats", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*(c for c in names if c in docs.columns))
+    return named(taken.withColumn("repeats", F.explode(F.sequence(F.lit(1), F.col("repeats")))))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
