@@ -1,6 +1,9 @@
 """A training corpus from documents: quality, near-duplicates, secrets, mix, tokens.
 
-Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents, extra ones included, whatever
+their names. Null and empty texts: score by the bias alone, link with nothing, hold no secrets, have size 0 and so end at
+the mix. Null ids stay in every stage (as near-duplicates of nothing). Repeated rows are judged each, and stay or go
+together. Empty tables give empty results. Whole texts count, however long.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, jaccard, mixing, quality, secrets
-from tessera.llm.common import cut, ensure_checkpoint_dir, lookup, read
+from tessera.llm.common import NARROW_ROWS, cut, ensure_checkpoint_dir, lookup, read, shielded
 
 #: The near-duplicates of the corpus: five words, a similarity of 0.8 or more.
 NEAR = jaccard.Join(words=5, num=80, den=100)
@@ -20,19 +23,20 @@ NEAR = jaccard.Join(words=5, num=80, den=100)
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     labels = read(spark, sf_dir, "labels").filter(~quality.is_held_out())
-    return quality.score(docs, quality.train(docs, labels, "quality")).filter("score >= 0.5").drop("score")
+    docs, named = shielded(docs, "doc_id", "text")
+    return named(quality.score(docs, quality.train(docs, labels, "quality")).filter("score >= 0.5"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id. Rows without an id stay."""
     gone = cut(jaccard.groups(docs, NEAR).filter("doc_id <> component_id").select("doc_id").distinct())
-    return lookup(docs, gone, ["doc_id"], gone.count(), "left_anti")
+    return lookup(docs, gone, ["doc_id"], gone.count(), "left_anti", most=NARROW_ROWS).select(docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; n_chars follows."""
-    out = secrets.redact(secrets.scan(docs))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    docs, named = shielded(docs, "text", "n_chars")
+    return named(secrets.redact(secrets.scan(docs)).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
