@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names, sequential
 from ..functions.numbers import content_hash, fingerprint, shard
 from ..operators import aggregates, joins, merge, sets, windows
+from . import chunking
 
 #: Application types of the one-letter column.
 PREFIX = {"N": "NDA", "A": "ANDA", "B": "BLA"}
@@ -92,8 +93,7 @@ def synchronised(manifest: DataFrame, done: DataFrame, fetched: Callable[[DataFr
     last = done.select("canonical_id", F.col("content_hash").alias("_last"))
     kind = F.when(F.col("_last").isNull(), "added").when(F.col("_last") == F.col("content_hash"), "unchanged").otherwise("revised")
     versions = pages.join(last, "canonical_id", "left").withColumn("kind", kind).drop("_last")
-    f = sequential.udfs()["chunk_pages"]
-    chunks = versions.filter("kind <> 'unchanged'").select("canonical_id", "content_hash", F.explode(f("pages")).alias("c")).select("canonical_id", "content_hash", "c.*")
+    chunks = chunking.chunked(versions.filter("kind <> 'unchanged'"), keys=("canonical_id", "content_hash"))
     return versions.select("canonical_id", "content_hash", "kind", F.lit(processing).alias("processing")), chunks
 
 

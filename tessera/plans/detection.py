@@ -4,13 +4,12 @@ A document is a row: doc_id, filename, toc, pages: array<struct<page_number, hei
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import squeeze
 from ..functions.numbers import collapse_near, inline_limit, limit, measured, satisfies
-from ..operators.sets import union_all
+from ..operators.sets import deduplicated_findings, union_all
 from ..operators.windows import carried
 
 BLOCK = "struct<text:string,role:string,page:int,reading_order:int,bbox:array<double>>"
@@ -138,7 +137,7 @@ def detected(docs: DataFrame, validation: DataFrame | None = None, more: DataFra
     if validation is not None:
         found.append(missing_validation(docs.join(validation.select("doc_id"), "doc_id", "left_semi")))
     rows = union_all(*found).withColumns({"section": F.lit(None).cast("string"), "precedents": F.array().cast("array<string>"), "position": F.monotonically_increasing_id()})
-    return tiered(rows if more is None else rows.unionByName(more, allowMissingColumns=True), docs)
+    return deduplicated_findings(tiered(rows if more is None else rows.unionByName(more, allowMissingColumns=True), docs))
 
 
 def _solid(c: Column) -> Column:
@@ -277,107 +276,102 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     return x.withColumn("_n", F.coalesce(new.cast("int"), F.lit(1))).withColumn("block", F.sum("_n").over(w) - 1).drop("_n", "_u", "_right")
 
 
-def _is_label(cell: str) -> bool:
-    import re
-
-    return bool(re.match(r"[A-Za-z][^:]{0,40}:", cell) or re.fullmatch(r"[A-Z][A-Za-z/]*(?: [A-Za-z/]+){1,4}", cell))
-
-
-def page_tables(regions: list[dict]) -> tuple[list[dict], list[str]]:
-    """Tables (key_value pairs or grid) and prose lines of one page of text regions with boxes."""
-    import re
-
-    rs = sorted((r for r in regions if (r["text"] or "").strip()), key=lambda r: ((r["y0"] + r["y1"]) / 2, r["x0"]))
-    if not rs:
-        return [], []
-    heights = sorted(r["y1"] - r["y0"] for r in rs)
-    unit = heights[len(heights) // 2]
-    lines: list[dict] = []
-    for r in rs:
-        last = lines[-1] if lines else None
-        low = min(r["y1"] - r["y0"], last["y1"] - last["y0"]) if last else 0
-        if last and low > 0 and (min(r["y1"], last["y1"]) - max(r["y0"], last["y0"])) / low >= LINE_OVERLAP:
-            last["r"].append(r)
-            last["y0"], last["y1"] = min(last["y0"], r["y0"]), max(last["y1"], r["y1"])
-        else:
-            lines.append({"y0": r["y0"], "y1": r["y1"], "r": [r]})
-    for x in lines:
-        x["r"].sort(key=lambda r: r["x0"])
-        x["c"] = [r["text"].strip() for r in x["r"]]
-        colons = sum(bool(re.match(r"[A-Za-z][^:]{0,40}:", c)) for c in x["c"])
-        x["kv"] = len(x["c"]) == 2 and _is_label(x["c"][0]) and not _is_label(x["c"][1]) or colons / len(x["c"]) >= 0.4
-
-    def pairs(seg):
-        out = []
-        for x in seg:
-            c, i = x["c"], 0
-            while i < len(c):
-                after = c[i + 1] if i + 1 < len(c) and not _is_label(c[i + 1]) else None
-                if re.match(r"[A-Za-z][^:]{0,40}:", c[i]):
-                    label, _, tail = c[i].partition(":")
-                    i += not tail.strip() and after is not None
-                    out.append({"label": label.strip(), "value": tail.strip() or after or ""})
-                elif _is_label(c[i]) and after is not None:
-                    out.append({"label": c[i], "value": after})
-                    i += 1
-                i += 1
-        return {"kind": "key_value", "title": None, "pairs": out, "headers": None, "rows": None} if len(out) >= 2 else None
-
-    def grid(seg):
-        centre = lambda r: (r["x0"] + r["x1"]) / 2
-        cs = sorted(centre(r) for x in seg for r in x["r"])
-        clusters = [[cs[0]]]
-        for c in cs[1:]:
-            clusters[-1].append(c) if c - clusters[-1][-1] <= COLUMN_GAP * unit else clusters.append([c])
-        mids = [sum(c) / len(c) for c in clusters]
-        table = []
-        for x in seg:
-            row = [""] * len(mids)
-            for r in x["r"]:
-                k = min(range(len(mids)), key=lambda i: abs(mids[i] - centre(r)))
-                row[k] = f"{row[k]} {r['text']}".strip()
-            table.append(row)
-        keep = [k for k in range(len(mids)) if any(row[k] for row in table)]
-        table = [[row[k] for k in keep] for row in table]
-        return {"kind": "grid", "title": None, "pairs": None, "headers": table[0], "rows": table[1:]} if len(keep) >= 3 else None
-
-    tables, prose, caption, i = [], [], "", 0
-    while i < len(lines):
-        j = i
-        while j < len(lines) and len(lines[j]["r"]) >= 2:
-            j += 1
-        if j == i:
-            caption = " ".join(lines[i]["c"])
-            prose.append(caption)
-            i += 1
-            continue
-        run, segments = lines[i:j], []
-        for k, x in enumerate(run):
-            if k and x["y0"] - run[k - 1]["y1"] <= SPLIT_GAP * unit and x["kv"] == run[k - 1]["kv"]:
-                segments[-1].append(x)
-            else:
-                segments.append([x])
-        for seg in segments if len(run) >= 2 else [run]:
-            made = None
-            if len(seg) >= 2:
-                kv = sum(x["kv"] for x in seg) * 2 >= len(seg)
-                made = (pairs(seg) or grid(seg)) if kv else (grid(seg) or pairs(seg))
-            if made:
-                if caption and len(caption) <= 200:
-                    made["title"], caption = caption, ""
-                tables.append(made)
-            else:
-                prose += [" ".join(x["c"]) for x in seg]
-        i = j
-    return tables, prose
+#: Labels with a colon, and short capitalised ones without; the least share of them in a key-value line.
+COLON_LABEL, PLAIN_LABEL, LABEL_SHARE = r"^[A-Za-z][^:]{0,40}:", r"^[A-Z][A-Za-z/]*(?: [A-Za-z/]+){1,4}$", 0.4
+#: Least columns of a grid, least pairs of a list of keys and values, longest caption.
+GRID_COLUMNS, KEY_PAIRS, CAPTION = 3, 2, 200
+MADE = "struct<kind:string,title:string,pairs:array<struct<label:string,value:string>>,headers:array<string>,rows:array<array<string>>>"
 
 
-def reconstructed(regions: DataFrame) -> DataFrame:
-    """regions: doc_id, page, text, x0, y0, x1, y1 -> doc_id, page, tables, prose. A page is one group."""
-    kinds = "doc_id long, page int, tables array<struct<kind:string,title:string,pairs:array<struct<label:string,value:string>>,headers:array<string>,rows:array<array<string>>>>, prose array<string>"
+def _is_label(c: Column) -> Column:
+    return c.rlike(COLON_LABEL) | c.rlike(PLAIN_LABEL)
+
+
+def text_lines(regions: DataFrame) -> DataFrame:
+    """regions: doc_id, page, text, x0, y0, x1, y1 -> a row per line of a page: line, y0, y1, cells (text and centre, from left
+    to right), unit (the page's median region height) and kv (whether it reads as keys and values). A region belongs to the
+    line above if they share LINE_OVERLAP of the lower one's height."""
+    box = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("mid"), *("x0", "y0", "x1", "y1", "text"))
+    page = regions.filter(F.trim(F.coalesce("text", F.lit(""))) != "").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(box)).alias("r"))
+    heights = F.array_sort(F.transform("r", lambda r: r["y1"] - r["y0"]))
+    page = page.withColumn("unit", heights[F.floor(F.size("r") / 2).cast("int")])
+    kind = "array<struct<y0:double,y1:double,r:array<struct<x0:double,x1:double,text:string>>>>"
+
+    def step(lines: Column, r: Column) -> Column:
+        last = F.try_element_at(lines, F.lit(-1))
+        shared = F.least(r["y1"], last["y1"]) - F.greatest(r["y0"], last["y0"])
+        low = F.least(r["y1"] - r["y0"], last["y1"] - last["y0"])
+        one = F.array(F.struct(r["x0"].alias("x0"), r["x1"].alias("x1"), r["text"].alias("text")))
+        grown = F.struct(F.least(last["y0"], r["y0"]).alias("y0"), F.greatest(last["y1"], r["y1"]).alias("y1"), F.concat(last["r"], one).alias("r"))
+        joins = last.isNotNull() & F.coalesce((low > 0) & (shared / F.when(low > 0, low) >= LINE_OVERLAP), F.lit(False))
+        return F.when(joins, F.concat(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(lines, F.array(F.struct(r["y0"].alias("y0"), r["y1"].alias("y1"), one.alias("r"))))).cast(kind)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tables, prose = page_tables(pdf.to_dict("records"))
-        return pd.DataFrame({"doc_id": [key[0]], "page": [key[1]], "tables": [tables], "prose": [prose]})
+    lines = page.select("doc_id", "page", "unit", F.posexplode(F.aggregate("r", F.array().cast(kind), step)).alias("line", "l"))
+    cells = F.transform(F.array_sort("l.r"), lambda r: F.struct(F.trim(r["text"]).alias("text"), ((r["x0"] + r["x1"]) / 2).alias("centre")))
+    lines = lines.select("doc_id", "page", "unit", "line", "l.y0", "l.y1", cells.alias("cells"))
+    first, second = F.col("cells")[0]["text"], F.try_element_at("cells", F.lit(2))["text"]
+    colons = F.size(F.filter("cells", lambda c: c["text"].rlike(COLON_LABEL)))
+    return lines.withColumn("kv", F.coalesce((F.size("cells") == 2) & _is_label(first) & ~_is_label(second), F.lit(False)) | (colons / F.size("cells") >= LABEL_SHARE))
 
-    return regions.groupBy("doc_id", "page").applyInPandas(run, kinds)
+
+def reconstructed(regions: DataFrame) -> DataFrame:
+    """regions: doc_id, page, text, x0, y0, x1, y1 -> doc_id, page, tables (key_value pairs or a grid), prose.
+
+    Runs of lines of several cells are islands between lines of one cell; a gap of SPLIT_GAP units or a change between
+    key-value and grid lines cuts them into segments. A segment becomes what most of its lines read as, else the other kind,
+    else prose. The columns of a grid are islands of centres at most COLUMN_GAP units apart. The line of one cell before a run
+    is the caption of its first table."""
+    where = ["doc_id", "page"]
+    by_line = Window.partitionBy(*where).orderBy("line")
+    x = text_lines(regions)
+    single = F.size("cells") < 2
+    x = x.withColumn("run", F.sum(single.cast("int")).over(by_line)).withColumn("single", single)
+    in_run = Window.partitionBy(*where, "run", "single")
+    cut = (F.col("y0") - F.lag("y1").over(in_run.orderBy("line")) > SPLIT_GAP * F.col("unit")) | (F.col("kv") != F.lag("kv").over(in_run.orderBy("line")))
+    x = x.withColumns({"segment": F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(in_run.orderBy("line"))})
+    many = x.filter("not single")
+    place = [*where, "run", "segment"]
+    # keys and values: a colon label takes its tail or the next cell, a plain one the next cell, if that is no label
+    said = F.transform("cells", lambda c: c["text"])
+
+    def pair(c: Column, i: Column) -> Column:
+        after = F.try_element_at(said, i + 2)
+        value = F.when(~_is_label(after), after)
+        tail = F.trim(F.regexp_replace(c, COLON_LABEL, ""))
+        made = lambda label, v: F.struct(label.alias("label"), v.alias("value"))
+        return F.when(c.rlike(COLON_LABEL), made(F.trim(F.substring_index(c, ":", 1)), F.coalesce(F.nullif(tail, F.lit("")), value, F.lit("")))).when(_is_label(c) & value.isNotNull(), made(c, value))
+
+    pairs = F.array_compact(F.transform(said, pair))
+    seg = many.groupBy(*place).agg(
+        F.min("line").alias("first"), F.count("*").alias("n"), (F.sum(F.col("kv").cast("int")) * 2 >= F.count("*")).alias("mostly_kv"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", pairs.alias("p")))), lambda v: v["p"])).alias("pairs"),
+        F.transform(F.array_sort(F.collect_list(F.struct("line", F.array_join(said, " ").alias("t")))), lambda v: v["t"]).alias("texts"),
+    )
+    # a grid: islands of centres, every cell in the column of the nearest mean
+    cell = many.select(*place, "line", "unit", F.posexplode("cells").alias("at", "c")).select(*place, "line", "unit", "at", "c.text", "c.centre")
+    across = Window.partitionBy(*place).orderBy("centre", "line", "at")
+    far = (F.col("centre") - F.lag("centre").over(across) > COLUMN_GAP * F.col("unit")).cast("int")
+    cell = cell.withColumn("far", F.coalesce(far, F.lit(0))).withColumn("column", F.sum("far").over(across))
+    mids = cell.groupBy(*place, "column").agg(F.avg("centre").alias("mid")).groupBy(*place).agg(F.transform(F.array_sort(F.collect_list(F.struct("column", "mid"))), lambda v: v["mid"]).alias("mids"))
+    nearest = F.array_min(F.transform("mids", lambda m, i: F.struct(F.abs(m - F.col("centre")).alias("d"), i.alias("i"))))["i"]
+    put = cell.join(mids, place).withColumn("column", nearest)
+    texts = put.groupBy(*place, "line", "column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda v: v["text"]), " ").alias("text"))
+    used = texts.groupBy(*place).agg(F.array_sort(F.collect_set("column")).alias("columns"))
+    row = texts.groupBy(*place, "line").agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("by_column"))
+    grid = row.join(used, place).groupBy(*place).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", F.transform("columns", lambda c: F.coalesce(F.col("by_column")[c], F.lit(""))).alias("row")))), lambda v: v["row"]).alias("grid"))
+    seg = seg.join(grid, place)
+    is_pairs, is_grid = F.size("pairs") >= KEY_PAIRS, F.size(F.col("grid")[0]) >= GRID_COLUMNS
+    kind = F.when(F.col("n") >= 2, F.when(F.col("mostly_kv"), F.when(is_pairs, "key_value").when(is_grid, "grid")).otherwise(F.when(is_grid, "grid").when(is_pairs, "key_value")))
+    seg = seg.withColumn("kind", kind)
+    # captions and prose go by the run, whose number is that of the line of one cell before it
+    captions = x.filter("single").select(*where, "run", "line", F.array_join(said, " ").alias("caption"))
+    order = F.row_number().over(Window.partitionBy(*where, "run").orderBy("first"))
+    tables = seg.filter("kind is not null").withColumn("nth", order).join(captions.drop("line"), [*where, "run"], "left")
+    title = F.when((F.col("nth") == 1) & (F.col("caption") != "") & (F.length("caption") <= CAPTION), F.col("caption"))
+    grids = F.col("kind") == "grid"
+    made = F.struct("kind", title.alias("title"), F.when(~grids, F.col("pairs")).alias("pairs"), F.when(grids, F.col("grid")[0]).alias("headers"), F.when(grids, F.slice("grid", 2, F.size("grid"))).alias("rows")).cast(MADE)
+    tables = tables.groupBy(*where).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", made.alias("t")))), lambda v: v["t"]).alias("tables"))
+    prose = captions.select(*where, "line", F.array("caption").alias("texts")).unionByName(seg.filter("kind is null").select(*where, F.col("first").alias("line"), "texts"))
+    prose = prose.groupBy(*where).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", "texts"))), lambda v: v["texts"])).alias("prose"))
+    out = x.select(*where).distinct().join(tables, where, "left").join(prose, where, "left")
+    return out.select(*where, F.coalesce("tables", F.array().cast(f"array<{MADE}>")).alias("tables"), F.coalesce("prose", F.array().cast("array<string>")).alias("prose"))

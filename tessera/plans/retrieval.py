@@ -15,6 +15,7 @@ from ..operators.filters import all_of, assert_mode, compile_filter, default_mod
 from ..operators.joins import latest
 from ..operators.ranking import best_occurrence, top_k
 from ..tables import small
+from . import chunking
 
 
 def folded(chunks: DataFrame, where: Mapping[str, Any], fields: Mapping[str, str]) -> dict[str, Any]:
@@ -131,14 +132,6 @@ def label_sections(pages: DataFrame, headings: Mapping[str, str], budget: int =
     return best_occurrence(rows, "version_id", "code")
 
 
-def rebuilt_documents(chunks: DataFrame) -> DataFrame:
-    """doc_id and blocks: array<struct<type, page, text>> in reading order."""
-    rows = chunks.groupBy("doc_id").agg(F.collect_list(F.struct(F.coalesce("page", F.lit(1)).alias("page"), F.coalesce("ordinal", F.lit(0)).alias("ordinal"), F.coalesce("text", F.lit("")).alias("text"))).alias("rows"))
-    blocks = sequential.lifted(lambda r: sequential.rebuilt([(x["page"], x["ordinal"], x["text"]) for x in r]), sequential.BLOCKS)
-    return rows.select("doc_id", blocks("rows").alias("blocks"))
-
-
 def chunked(documents: DataFrame, strip: bool = False) -> DataFrame:
     """documents: doc_id, pages (array) -> doc_id, chunk_id, page, section_path, ordinal, text."""
-    f = sequential.udfs()["chunk_guidance" if strip else "chunk_pages"]
-    return documents.select("doc_id", F.explode(f("pages")).alias("c")).select("doc_id", F.concat_ws("-", "doc_id", "c.ordinal").alias("chunk_id"), "c.page", "c.section_path", "c.ordinal", "c.text")
+    return chunking.chunked(documents, strip).select("doc_id", F.concat_ws("-", "doc_id", "ordinal").alias("chunk_id"), "page", "section_path", "ordinal", "text")
