@@ -1,5 +1,5 @@
 """Writes: upserts, insert-if-absent, replaced partitions. Plain Parquet folders; a new version is written beside the old one
-and then swapped in, so that nothing is overwritten while it is read, and a failed job leaves the old version."""
+and then swapped in, so that nothing is overwritten while it is read, and a failed write leaves the old version."""
 
 from __future__ import annotations
 
@@ -45,8 +45,10 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def swap_in(rows: DataFrame, path: str) -> None:
-    """Writes rows as path's new content: beside it first, then by renaming."""
+    """Writes rows as path's new content: beside it first, then by renaming. A driver that dies between the two renames leaves
+    the old version beside the path; recovered(), which this calls first, puts it back."""
     spark: SparkSession = rows.sparkSession
+    recovered(spark, path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     new, old = f"{path}.new-{uuid.uuid4()}", f"{path}.old-{uuid.uuid4()}"
     rows.write.parquet(new)
@@ -57,6 +59,17 @@ def swap_in(rows: DataFrame, path: str) -> None:
     fs.delete(hadoop(old), True)
 
 
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Whether path was missing and its old version, left beside it by an interrupted swap, was put back."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    home = hadoop(path)
+    fs = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(home) or not fs.exists(home.getParent()):
+        return False
+    left = [s.getPath() for s in fs.listStatus(home.getParent()) if s.getPath().getName().startswith(f"{home.getName()}.old-")]
+    return bool(left) and fs.rename(left[0], home)
+
+
 def write_digest(rows: DataFrame, folder: str, day: str) -> str:
     """JSON lines of a day; written also when empty, since an empty digest says that nothing happened."""
     path = f"{folder}/day={day}"

@@ -13,9 +13,9 @@ from ..tables import small
 
 
 def top_k(rows: DataFrame, query: list[float], k: int, where: Column | None = None, id_: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """The k rows nearest by cosine, ties by id, with distance and score; k under 1 gives none. The filter goes first (Catalyst
+    """The k rows nearest by cosine, ties by id, with distance and score; k under 1 gives none, as does an empty query. The filter goes first (Catalyst
     pushes it into the scan), null vectors and those of another length have no distance and are left out."""
-    if k <= 0:
+    if k <= 0 or not query:
         return rows.limit(0).withColumns({"distance": F.lit(0.0), "score": F.lit(0.0)})
     if where is not None:
         rows = rows.filter(where)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def losers(rows: DataFrame, keys: list[str], id_: str, *newest: str) -> DataFrame:
-    """Duplicates of a key but for the newest one, each with keeper, the newest one's id."""
-    w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in newest))
-    return rows.withColumns({"_n": F.row_number().over(w), "keeper": F.first(id_).over(w)}).filter("_n > 1").drop("_n")
+    """Duplicates of a key but for the newest one (ids are distinct), each with keeper, the newest one's id. The newest ones are
+    aggregated before they are joined back, so that a key of very many copies isn't one task."""
+    top = rows.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.max_by(id_, F.struct(*newest)).alias("keeper"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return rows.join(top, same).filter(F.col(id_) != F.col("keeper")).select(*rows.columns, "keeper")
 
 
 def elected(rows: DataFrame, key: str, *order: Column) -> DataFrame:

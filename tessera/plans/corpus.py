@@ -77,10 +77,10 @@ def discovered(*families: DataFrame) -> DataFrame:
 
 
 def manifest_identity(artifacts: DataFrame) -> DataFrame:
-    """One row: the manifest's digest (of sorted per-artifact fingerprints), rows, and counts by family."""
+    """One row: the manifest's digest (an order-free exact sum of its artifacts' fingerprints), rows, and counts by family."""
     each = artifacts.select("source_family", fingerprint(*(F.col(c) for c in sorted(artifacts.columns))).alias("f"))
-    counts = each.groupBy("source_family").agg(F.count("*").alias("n"), F.bit_xor(F.conv(F.substring("f", 1, 15), 16, 10).cast("long")).alias("x"))
-    return counts.agg(F.sum("n").alias("artifacts"), F.bit_xor("x").alias("digest"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("source_family", "n")))).alias("by_family"))
+    counts = each.groupBy("source_family").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring("f", 1, 15), 16, 10).cast("decimal(38,0)")).alias("x"))
+    return counts.agg(F.sum("n").alias("artifacts"), F.sum("x").cast("string").alias("digest"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("source_family", "n")))).alias("by_family"))
 
 
 def synchronised(manifest: DataFrame, done: DataFrame, fetched: Callable[[DataFrame], DataFrame], processing: str) -> tuple[DataFrame, DataFrame]:

@@ -27,7 +27,7 @@ def _r(c: str | Column, places: int = 6) -> Column:
 def _asked(vectors: DataFrame, vec_id: int = 0) -> list[float]:
     """One vector: a query, not a table."""
     row = vectors.filter(F.col("vec_id") == vec_id).select("embedding").first()
-    return [float(x) for x in row[0]]
+    return [float(x) for x in row[0]] if row and row[0] else []
 
 
 # --- retrieval ---------------------------------------------------------------------------------------------------------

@@ -38,16 +38,31 @@ def tilde(spark: SparkSession, path: str, columns: Mapping[str, str]) -> DataFra
     return raw.select(*(squeeze(F.col(f"`{names[h]}`")).alias(f) if h in names else F.lit(None).cast("string").alias(f) for f, h in columns.items()))
 
 
-def tab_separated(spark: SparkSession, path: str, required: set[str], encoding: str = "windows-1252") -> DataFrame:
-    """A TSV table: required columns must be there and headers distinct; values squeezed, ApplNo padded to six digits."""
-    raw = spark.read.options(sep="\t", header=False, quote="", encoding=encoding).text(path, wholetext=False).select(F.col("value"))
-    head = raw.first()
+#: The bytes in which Windows-1252 differs from Latin-1 (Spark reads only the latter), and their characters.
+_WINDOWS = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+_AS_LATIN, _AS_WINDOWS = "".join(map(chr, _WINDOWS)), bytes(_WINDOWS).decode("cp1252")
+
+
+def tab_separated(spark: SparkSession, path: str, required: set[str]) -> DataFrame:
+    """A TSV table in Windows-1252: required columns must be there and headers distinct; values squeezed, ApplNo padded to six
+    digits."""
+    options = {"sep": "\t", "quote": "", "encoding": "iso-8859-1"}
+    head = spark.read.options(**options, header=False).csv(path).first()
     if head is None:
         raise SourceError("the table is empty")
-    headers = [h.strip() for h in head[0].lstrip("﻿").split("\t")]
+    headers = [(h or "").lstrip("\ufeff").removeprefix("\xef\xbb\xbf").strip() for h in head]
     _check_headers(headers, required)
-    table = spark.read.options(sep="\t", header=True, quote="", encoding=encoding).csv(path).toDF(*headers)
-    return _padded(table.select(*(squeeze(F.col(f"`{c}`")).alias(c) for c in headers)))
+    table = spark.read.options(**options, header=True).csv(path).toDF(*headers)
+    return _padded(table.select(*(squeeze(F.translate(F.col(f"`{c}`"), _AS_LATIN, _AS_WINDOWS)).alias(c) for c in headers)))
+
+
+def table_set(spark: SparkSession, folder: str, required: dict[str, set[str]], suffix: str = ".txt") -> dict[str, DataFrame]:
+    """All tables of a snapshot (name -> required columns); one that is missing is an error before any is read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if lost := [n for n in required if not fs.exists(hadoop(f"{folder}/{n}{suffix}"))]:
+        raise SourceError(f"missing tables: {', '.join(sorted(lost))}")
+    return {n: tab_separated(spark, f"{folder}/{n}{suffix}", columns) for n, columns in required.items()}
 
 
 def _check_headers(headers: list[str], required: set[str]) -> None:

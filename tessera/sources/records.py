@@ -18,10 +18,13 @@ PATHS = {
     "drugs_at_fda": ("/drugs/drug-approvals-and-databases/drugsfda-data-files", "/media/89850/download", "/scripts/cder/daf/", "/drugsatfda_docs/", "/downloads/drugs/", "/drugs/drugsafety/", "/drugs/drug-safety-and-availability/", "/drugs/postmarket-drug-safety-information-patients-and-providers/", "/drugs/emergencypreparedness/", "/newsevents/newsroom/pressannouncements/", "/cder/drug/"),
     "action_package": ("/scripts/cder/daf/", "/drugsatfda_docs/"),
     "psg": ("/drugs/guidances-drugs/product-specific-guidances-generic-drug-development", "/scripts/cder/psg/", "/drugsatfda_docs/psg/"),
-    "fda_be_guidance": ("/regulatory-information/search-fda-guidance-documents/", "/media/163638/download", "/media/165049/download", "/media/183189/download", "/media/186703/download", "/media/192774/download"),
+    "fda_be_guidance": ("/regulatory-information/search-fda-guidance-documents/",),
     "orange_book": ("/drugs/drug-approvals-and-databases/orange-book-data-files", "/drugs/drug-approvals-and-databases/orange-book-", "/media/76860/download", "/scripts/cder/ob/", "/drugsatfda_docs/ob/"),
 }
 
+#: Paths that are allowed as they stand, but nothing below them.
+EXACT = {"fda_be_guidance": ("/media/163638/download", "/media/165049/download", "/media/183189/download", "/media/186703/download", "/media/192774/download")}
+
 
 def json_lines(spark: SparkSession, path: str, schema: str, required: Iterable[str] = ()) -> DataFrame:
     """JSON lines; blank lines and those that begin with # are skipped; a line without a required field is an error."""
@@ -108,10 +111,9 @@ def canonical_url(url: Column, family: str) -> Column:
     path = F.coalesce(F.nullif(F.try_parse_url(raw, F.lit("PATH")), F.lit("")), F.lit("/"))
     query = F.try_parse_url(raw, F.lit("QUERY"))
     low = F.lower(path)
-    stem = lambda p: p.rstrip("/")
-    inside = F.lit(False)
+    inside = low.isin(*EXACT.get(family, ()))
     for p in PATHS[family]:
-        inside = inside | (low == stem(p)) | low.startswith(f"{stem(p)}/") | (low.startswith(p) if p.endswith("/") else F.lit(False))
+        inside = inside | F.concat(low, F.lit("/")).startswith(f"{p.rstrip('/')}/")
     dotted = F.exists(F.split(F.replace(F.coalesce(F.try_url_decode(path), F.lit("..")), F.lit("\\"), F.lit("/")), "/"), lambda s: s.isin(".", ".."))
     plain = ((scheme == "https") & port.isin("", "443")) | ((scheme == "http") & port.isin("", "80"))
     good = host.isin(*HOSTS) & ~F.contains(authority, F.lit("@")) & plain & ~dotted & inside

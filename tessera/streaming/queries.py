@@ -58,8 +58,9 @@ def allowed_calls(times: list[float], recent: list[float], limit: int, window: f
 LIMITED = "event_id long, allowed boolean"
 
 
-def rate_limited(events: DataFrame, key: str, limit: int, seconds: float = 60.0, stamp: str = "ts", id_: str = "event_id") -> DataFrame:
-    """Exact limiter: on a stream the admitted times are state per key, on a table they are carried through the key's rows."""
+def rate_limited(events: DataFrame, key: str, limit: int, seconds: float = 60.0, stamp: str = "ts", id_: str = "event_id", late: str = "1 hour") -> DataFrame:
+    """Exact limiter: on a stream the admitted times are state per key, dropped once the watermark (late behind) has passed their
+    window; on a table they are carried through the key's rows."""
     rows = stamped(events, stamp).select(key, stamp, id_)
     if not events.isStreaming:
 
@@ -71,15 +72,19 @@ def rate_limited(events: DataFrame, key: str, limit: int, seconds: float = 60.0,
         return rows.groupBy(key).applyInPandas(once, LIMITED)
 
     def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = list(state.get[0]) if state.exists else []
         pdf = pd.concat(frames).sort_values([stamp, id_])
         ok, recent = allowed_calls([t.timestamp() for t in pdf[stamp]], recent, limit, seconds)
         state.update((recent,))
+        state.setTimeoutTimestamp(max(int((pdf[stamp].iloc[-1].timestamp() + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"event_id": pdf[id_], "allowed": ok})
 
     out = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("allowed", T.BooleanType())])
     kept = T.StructType([T.StructField("recent", T.ArrayType(T.DoubleType()))])
-    return rows.groupBy(key).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
+    return rows.withWatermark(stamp, late).groupBy(key).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def deduplicated(events: DataFrame, keys: list[str], late: str = "1 hour", stamp: str = "ts") -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from tessera import corpus_queries
 from tessera import queries as q
 from tessera.streaming import queries as streams
 from tessera.tables import read
@@ -16,6 +17,11 @@ def test_matches_sql(spark, same, name):
     same(q.QUERIES[name](spark, SF), q.SQL[name], SF)
 
 
+@pytest.mark.parametrize("name", sorted(corpus_queries.SQL))
+def test_corpus_query_matches_sql(spark, same, name):
+    same(corpus_queries.QUERIES[name](spark, SF), corpus_queries.SQL[name], SF)
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as e
 
