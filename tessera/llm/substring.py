@@ -99,20 +99,21 @@ def _merge(bucket: pa.Table, add: bool, compact: bool) -> list[tuple[int, bytes,
     return out
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, index: str | None = None, batch: int = 0, chunk_bytes: int = CHUNK_BYTES, add: bool = True, fanout: int = FANOUT) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, index: str | None = None, batch: int = 0, chunk_bytes: int = CHUNK_BYTES, add: bool = True, fanout: int = FANOUT, expected: int = 0) -> DataFrame:
     """docs: doc_id, text -> doc_id, n_words, n_removed, kept (the words left, joined by a space).
 
     index: a shared folder of runs of earlier batches, all of whose windows count as earlier; batch: the number of this
     batch, whose run is added (unless add is false: the last batch of all). Batches come in order of their numbers. The last
     can be written again, which replaces it; one before it only unchanged, which leaves the index as it is. One that is too
-    late, or whose history is already compacted with it, is an error; fanout: runs that are compacted. Without index, only the batch itself is compared."""
+    late, or whose history is already compacted with it, is an error; fanout: runs that are compacted; expected: bytes of text that a new index is laid out for (those of its first
+    batch if more). Without index, only the batch itself is compared."""
     spark = docs.sparkSession
     add = add and index is not None
     if index is not None:
         _check_turn(spark, index, batch)
     compact = add and len(_history(spark, index, batch)) + 1 >= fanout
     chunk_of, _, total = in_order(docs, chunk_bytes)
-    buckets = _buckets(spark, index, total, chunk_bytes)
+    buckets = _buckets(spark, index, max(total, expected), chunk_bytes)
     packed = pack(docs, chunk_of)
 
     def spread(key: tuple, blobs: pa.Table) -> pa.Table:
@@ -238,14 +239,14 @@ def in_batches(docs: DataFrame, starts: tuple[float, ...], window: int = WINDOW,
     """dedup() of docs that come in batches: ranges of doc_id that start at those shares of it (null ids come last). All but the
     last are added to a new index in the shared folder."""
     index = f"{ensure_checkpoint_dir(docs.sparkSession)}/substring-{uuid.uuid4()}"
-    lo, hi = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
+    lo, hi, size = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long"), F.sum(F.octet_length("text"))).first()
     lo, hi = lo or 0, hi or 0
     cuts = [lo + int((hi - lo + 1) * s) for s in starts[1:]]
     of = sum(((F.col("doc_id") >= c).cast("int") for c in cuts), F.lit(0))
     of = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(of)
     out = None
     for k in range(len(starts)):
-        part = dedup(docs.filter(of == k), window, index, k, add=k < len(cuts), fanout=fanout)
+        part = dedup(docs.filter(of == k), window, index, k, add=k < len(cuts), fanout=fanout, expected=size or 0)
         out = part if out is None else out.unionByName(part)
     return out
 
