@@ -2,7 +2,7 @@
 
 Texts are exploded into n-grams of every order, a chunk of documents at a time; each chunk sends its distinct n-grams
 with their counts, sorted, to the hash buckets; a bucket is a partition of the count tables: it sums the counts and
-returns them to the chunks, which look every n-gram up, subtract what the document itself contributed, and sum the log
+returns them to the chunks (through several exchanges where chunks are many), which look every n-gram up, subtract what the document itself contributed, and sum the log
 scores per document.
 
 Score of word i: for the longest context of up to order - 1 words with which it occurs in another document, the
@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from .packed import CHUNK_BYTES, by_hash, get, get_small, ids_out, pack, put, put_small, split_by_bucket, text_bytes, unpack
+from .packed import CHUNK_BYTES, FAN, by_hash, exchanged, get, get_small, ids_out, pack, put, put_small, split_by_bucket, text_bytes, unpack, widths
 from .words import WordHash, grams
 
 ORDER, ALPHA = 2, 0.4
+BLOCK, ANSWER = "bucket int, chunk int, keys binary, counts binary", "chunk int, bucket int, counts binary"
 _HASHES = WordHash()
 
 
@@ -37,37 +38,73 @@ def _exploded(blobs: pa.Table, order: int) -> tuple[np.ndarray, list[list[np.nda
     return ids, [[_grams(x, n) for n in range(1, order + 1)] for x in (_HASHES.hashes(t.split()) for t in bodies)]
 
 
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """docs: doc_id, text -> doc_id, n_words, log_score (sum of natural logarithms), mean_log_score."""
+def _blocks(keys: np.ndarray, counts: np.ndarray, words: int, buckets: int, width: int, chunk: int) -> pa.Table:
+    """A block per range of width buckets, and the number of words for the range -1."""
+    rows = [(b, put(keys[s:e]), put_small(counts[s:e])) for b, s, e in split_by_bucket(keys, buckets, width)]
+    if words is not None:
+        rows.append((-1, words.to_bytes(8, "little"), b""))
+    cols = list(zip(*rows)) or [(), (), ()]
+    return pa.table({"bucket": pa.array(cols[0], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "keys": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary())})
+
+
+def _summed(got: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of the blocks, their distinct n-grams with sums, and of every entry the n-gram's place."""
+    keys = [get(r) for r in got["keys"].to_pylist()]
+    own = [get_small(c, len(k)) for c, k in zip(got["counts"].to_pylist(), keys)]
+    distinct, entry = np.unique(np.concatenate(keys), return_inverse=True)
+    return [len(k) for k in keys], distinct, np.bincount(entry, np.concatenate(own).astype(float)).astype(np.uint64), entry
+
+
+def _words(raw: list[bytes]) -> int:
+    return sum(int.from_bytes(r, "little") for r in raw)
+
+
+def _answers(got: pa.Table, parts: list[bytes]) -> pa.Table:
+    """parts: what goes back for each block of got."""
+    return pa.table({"chunk": got["chunk"], "bucket": got["bucket"], "counts": pa.array(parts, pa.binary())})
+
+
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk_bytes: int = CHUNK_BYTES, fan: int = FAN) -> DataFrame:
+    """docs: doc_id, text -> doc_id, n_words, log_score (sum of natural logarithms), mean_log_score.
+
+    fan: blocks that a chunk sends and a bucket gets in one exchange."""
     _, total = text_bytes(docs)
     chunk_of, chunks = by_hash(total, chunk_bytes)
     buckets = max(16, chunks)
+    steps = widths(chunks, buckets, fan)
     packed = pack(docs, chunk_of)
 
     def count(key: tuple, blobs: pa.Table) -> pa.Table:
         _, by_doc = _exploded(blobs, order)
         flat = [g for d in by_doc for g in d]
         keys, counts = np.unique(np.concatenate(flat) if flat else np.empty(0, np.uint64), return_counts=True)
-        rows = [(b, put(keys[s:e]), put_small(counts[s:e])) for b, s, e in split_by_bucket(keys, buckets)]
-        words = sum(len(d[0]) for d in by_doc)
-        rows.append((-1, words.to_bytes(8, "little"), b""))  # the number of words goes to every chunk by a bucket of its own
-        cols = list(zip(*rows))
-        return pa.table({"bucket": pa.array(cols[0], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int32()), "keys": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary())})
-
-    def add(key: tuple, bucket: pa.Table) -> pa.Table:
-        chunk, raw = bucket["chunk"].to_pylist(), bucket["keys"].to_pylist()
+        return _blocks(keys, counts, sum(len(d[0]) for d in by_doc), buckets, steps[0], key[0].as_py())
+
+    def forward(width: int):
+        def run(key: tuple, got: pa.Table) -> pa.Table:
+            if key[0].as_py() < 0:
+                return _blocks(np.empty(0, np.uint64), np.empty(0, np.uint64), _words(got["keys"].to_pylist()), buckets, width, key[1].as_py())
+            _, keys, sums, _ = _summed(got)
+            return _blocks(keys, sums, None, buckets, width, key[1].as_py())
+
+        return run
+
+    def add(key: tuple, got: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
-            answers = [sum(int.from_bytes(r, "little") for r in raw).to_bytes(8, "little")] * len(chunk)
-        else:
-            keys = [get(r) for r in raw]
-            own = [get_small(c, len(k)) for c, k in zip(bucket["counts"].to_pylist(), keys)]
-            _, entry = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(entry, np.concatenate(own).astype(float)).astype(np.uint64)[entry]
-            answers, at = [], 0
-            for k in keys:
-                answers.append(put_small(sums[at : at + len(k)]))
-                at += len(k)
-        return pa.table({"chunk": pa.array(chunk, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(chunk), pa.int32()), "counts": pa.array(answers, pa.binary())})
+            return _answers(got, [_words(got["keys"].to_pylist()).to_bytes(8, "little")] * len(got))
+        lengths, _, sums, entry = _summed(got)
+        return _answers(got, [put_small(x) for x in np.split(sums[entry], np.cumsum(lengths)[:-1])])
+
+    def back(width: int):
+        def run(key: tuple, got: pa.Table, above: pa.Table) -> pa.Table:
+            answers = dict(zip(above["bucket"].to_pylist(), above["counts"].to_pylist()))
+            if -1 in answers:
+                return _answers(got, [answers[-1]] * len(got))
+            lengths, keys, _, entry = _summed(got)
+            sums = np.concatenate([get_small(answers[b], e - s) for b, s, e in split_by_bucket(keys, buckets, width)])
+            return _answers(got, [put_small(x) for x in np.split(sums[entry], np.cumsum(lengths)[:-1])])
+
+        return run
 
     def sum_up(key: tuple, blobs: pa.Table, answers: pa.Table) -> pa.Table:
         ids, by_doc = _exploded(blobs, order)
@@ -75,7 +112,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk_bytes
         keys = np.unique(np.concatenate(flat)) if flat else np.empty(0, np.uint64)
         got = dict(zip(answers["bucket"].to_pylist(), answers["counts"].to_pylist()))
         all_words = int.from_bytes(got[-1], "little") if got else 0
-        parts = [get_small(got[b], e - s) for b, s, e in split_by_bucket(keys, buckets)]
+        parts = [get_small(got[b], e - s) for b, s, e in split_by_bucket(keys, buckets, steps[0])]
         counts = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
         n_words, logs = [], []
         for d in by_doc:
@@ -98,8 +135,8 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk_bytes
         mean = [x / n if n else None for x, n in zip(logs, n_words)]
         return pa.table({"doc_id": ids_out(ids), "n_words": pa.array(n_words, pa.int64()), "log_score": pa.array(logs, pa.float64()), "mean_log_score": pa.array(mean, pa.float64())})
 
-    counted = packed.groupBy("chunk").applyInArrow(count, "bucket int, chunk int, keys binary, counts binary")
-    summed = counted.groupBy("bucket").applyInArrow(add, "chunk int, bucket int, counts binary")
+    counted = packed.groupBy("chunk").applyInArrow(count, BLOCK)
+    summed = exchanged(counted, steps, fan, forward, lambda sent: sent.groupBy("bucket").applyInArrow(add, ANSWER), back, BLOCK, ANSWER)
     return packed.groupBy("chunk").cogroup(summed.groupBy("chunk")).applyInArrow(sum_up, "doc_id long, n_words long, log_score double, mean_log_score double")
 
 

@@ -4,6 +4,10 @@ Documents are packed into chunks of bounded size (compressed blobs, so texts cro
 chunk sorts its hashes and sends one sorted, delta-coded block per hash bucket; a bucket merges the blocks of all
 chunks and answers with one value per entry; answers meet their chunk again. A hash that is frequent in a chunk is
 one entry there, so no key makes a bucket hot, and every task's memory is bounded by the chunk and bucket sizes.
+
+Where chunks or buckets are more than FAN, blocks pass through several exchanges: the first deals a chunk's hashes to FAN
+ranges of buckets, the next merges the blocks that FAN chunks sent to a range and deals them to FAN parts of it, and
+so on; answers return the same way. Each exchange has some chunks times FAN blocks, so that they stay large.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from .words import texts
 CHUNK_BYTES = 8 << 20
 #: Cut points that the driver holds at most when documents are dealt in order of their ids.
 CUT_POINTS = 8192
+#: Blocks that a chunk sends and a bucket gets in one exchange. More chunks or buckets take more exchanges.
+FAN = 256
 NULL_ID = 2**63 - 1
 
 
@@ -58,14 +64,40 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def split_by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of the buckets that sorted keys fall in."""
-    b = bucket_of(keys, buckets)
+def split_by_bucket(keys: np.ndarray, buckets: int, width: int = 1) -> list[tuple[int, int, int]]:
+    """(range, from, to) of the ranges of width buckets that sorted keys fall in."""
+    b = bucket_of(keys, buckets) // np.uint64(width)
     edges = np.flatnonzero(np.diff(b)) + 1
     starts = np.concatenate([[0], edges]) if len(keys) else edges
     return [(int(b[s]), int(s), int(e)) for s, e in zip(starts, [*edges, len(keys)])]
 
 
+def widths(chunks: int, buckets: int, fan: int = FAN) -> list[int]:
+    """Buckets in a range, by exchange: one in the last."""
+    n = 1
+    while fan**n < max(chunks, buckets):
+        n += 1
+    return [fan ** (n - 1 - k) for k in range(n)]
+
+
+def exchanged(first: DataFrame, widths: list[int], fan: int, forward: Callable, answer: Callable[[DataFrame], DataFrame], back: Callable, blocks: str, answers: str) -> DataFrame:
+    """The answers to a chunk's blocks, through as many exchanges as widths.
+
+    first: blocks (bucket: range of buckets, chunk: sender, and others) of the first exchange. forward(width) makes, of
+    the blocks that fan senders sent to a range, the merged blocks for its parts; answer makes the answers of the last
+    exchange; back(width) makes, of what a range got and the answers to what it forwarded, the answers to its senders. Answers
+    name the block: bucket, chunk."""
+    group = F.floor(F.col("chunk") / fan).cast("int").alias("group")
+    steps = [first]
+    for width in widths[1:]:
+        steps.append(steps[-1].groupBy("bucket", group).applyInArrow(forward(width), blocks))
+    got = answer(steps[-1])
+    for sent, width in reversed(list(zip(steps[:-1], widths[1:]))):
+        wide = F.floor(F.col("bucket") / fan).cast("int").alias("wide")
+        got = sent.groupBy("bucket", group).cogroup(got.groupBy(wide, "chunk")).applyInArrow(back(width), answers)
+    return got
+
+
 def text_bytes(docs: DataFrame) -> tuple[int, int]:
     """Rows and bytes of text."""
     r = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
@@ -75,30 +107,45 @@ def text_bytes(docs: DataFrame) -> tuple[int, int]:
 def in_order(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[Callable[[np.ndarray], np.ndarray], int, int]:
     """A function from ids to chunks that rises with the id, the number of chunks and the bytes of text.
 
-    Chunks are runs of bins between quantiles of the ids, merged up to chunk_bytes; rows of one id share a chunk."""
+    Chunks are runs of bins between quantiles of the ids, merged up to chunk_bytes. A bin of more than that (of more text than
+    CUT_POINTS chunks) is cut into parts of equal widths of ids. Rows of one id share a chunk."""
     rows, total = text_bytes(docs)
     want = max(1, min(CUT_POINTS, 8 * total // chunk_bytes, rows))
     q = docs.agg(F.percentile_approx("doc_id", [i / want for i in range(1, want)] or [0.5], 10_000)).first()[0] or []
     cuts = np.unique(np.array(q, np.int64)) if want > 1 else np.empty(0, np.int64)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = np.zeros(len(cuts) + 1, np.int64)
+        w, lo, hi = np.zeros(len(cuts) + 1, np.int64), np.full(len(cuts) + 1, NULL_ID), np.full(len(cuts) + 1, -NULL_ID - 1)
         for b in batches:
-            w += np.bincount(np.searchsorted(cuts, b.column(0).to_numpy(), side="left"), b.column(1).to_numpy(), len(w)).astype(np.int64)
+            ids, size = b.column(0).to_numpy(), b.column(1).to_numpy()
+            at = np.searchsorted(cuts, ids, side="left")
+            w += np.bincount(at, size, len(w)).astype(np.int64)
+            known = ids != NULL_ID
+            np.minimum.at(lo, at[known], ids[known])
+            np.maximum.at(hi, at[known], ids[known])
         at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.int64())], names=["bin", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (at, w[at], lo[at], hi[at])], names=["bin", "size", "lo", "hi"])
 
     sizes = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("double").alias("size"))
-    got = sizes.mapInArrow(weigh, "bin long, size long").groupBy("bin").agg(F.sum("size").alias("size")).collect()  # CUT_POINTS rows at most
-    weight = np.zeros(len(cuts) + 1, np.int64)
-    for r in got:
-        weight[r["bin"]] = r["size"]
-    chunk, run, of_bin = 0, 0, np.zeros(len(weight), np.int32)
-    for i, w in enumerate(weight.tolist()):
+    bins = sizes.mapInArrow(weigh, "bin long, size long, lo long, hi long").groupBy("bin").agg(F.sum("size").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    got = {r["bin"]: r for r in bins.collect()}  # CUT_POINTS rows at most
+    # per bin its first chunk, how many chunks it is cut into, its least id and the ids in each
+    chunk, run, deal = 0, 0, np.zeros((4, len(cuts) + 1), np.int64)
+    deal[1], deal[3] = 1, 1
+    for i in range(len(cuts) + 1):
+        w, lo, hi = (got[i]["size"], got[i]["lo"], got[i]["hi"]) if i in got else (0, 0, 0)
+        parts = min(-(-w // chunk_bytes), max(hi - lo + 1, 1)) if want == CUT_POINTS and w > chunk_bytes else 1
         if run and run + w > chunk_bytes:
             chunk, run = chunk + 1, 0
-        of_bin[i], run = chunk, run + w
-    return lambda ids: of_bin[np.searchsorted(cuts, ids, side="left")], chunk + 1, total
+        deal[:, i] = chunk, parts, min(lo, hi), -(-max(hi - lo + 1, 1) // parts)
+        chunk, run = chunk + parts - 1, run + w
+
+    def of(ids: np.ndarray) -> np.ndarray:
+        first, parts, lo, step = deal[:, np.searchsorted(cuts, ids, side="left")]
+        past = np.maximum(ids, lo).view(np.uint64) - lo.view(np.uint64)
+        return (first + np.minimum(past // step.view(np.uint64), (parts - 1).view(np.uint64)).view(np.int64)).astype(np.int32)
+
+    return of, chunk + 1, total
 
 
 def by_hash(total_bytes: int, chunk_bytes: int = CHUNK_BYTES) -> tuple[Callable[[np.ndarray], np.ndarray], int]:

@@ -10,8 +10,8 @@ FANOUT runs have gathered, the merged bucket is written as their compaction. Its
 so that batches since the one before can be repeated. Two different windows agree in fingerprint and check with a
 probability near 2^-72: of 10^13 windows some 10^4 pairs do.
 
-Every chunk sends a block to every bucket. Up to some 64 GB of text a block holds hundreds of entries; beyond that, ids are
-cut at CUT_POINTS places at most and chunks grow with the input, so raise chunk_bytes and the executors' memory with it.
+Where chunks are more than FAN, their blocks reach the buckets through several exchanges: FAN neighbouring chunks are merged
+by range of buckets, and what is new in the range goes on, so blocks stay large.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+; null texts have none; texts shorter than a window lose nothing; rows of
 one doc_id don't make each other's words repeats; null ids come last and never own a window against each other; empty
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, read
-from .packed import CHUNK_BYTES, get, ids_out, in_order, pack, put, split_by_bucket, unpack
+from .packed import CHUNK_BYTES, FAN, exchanged, get, ids_out, in_order, pack, put, split_by_bucket, unpack, widths
 from .words import WordHash, grams
 
 WINDOW, CHECK_BYTES, FANOUT = 13, 1, 4
@@ -68,70 +68,108 @@ class _Windows:
         return same & (earlier[self.entry] | (self.ids[self.doc] > self.ids[self.doc[self.owner]][self.entry]))
 
 
-def _merge(bucket: pa.Table, add: bool, compact: bool) -> list[tuple[int, bytes, bytes]]:
-    """Rows (chunk, keys, checks) of a bucket's blocks, historical runs (chunks below 0) first: the answers of each chunk, and
-    of the runs asked for NEW_RUN (what no earlier run has) and COMPACTED (all)."""
-    blocks = sorted(zip(bucket["chunk"].to_pylist(), bucket["keys"].to_pylist(), bucket["checks"].to_pylist()), key=lambda b: b[0])
-    keys = [get(k) for _, k, _ in blocks]
-    key, check = np.concatenate(keys), np.concatenate([np.frombuffer(c, np.uint8) for *_, c in blocks])
-    order = np.argsort(key, kind="stable")
-    k, c = key[order], check[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    group = np.cumsum(new) - 1
-    agrees = c == c[new][group]
-    if not agrees.all():  # equal fingerprints of different windows: the first of each (key, check) owns
-        odd = np.flatnonzero(np.isin(group, group[~agrees]))
-        by = odd[np.lexsort((odd, c[odd], k[odd]))]
-        new[by] = np.concatenate([[True], (k[by][1:] != k[by][:-1]) | (c[by][1:] != c[by][:-1])])
-    seen = np.empty(len(k), bool)
-    seen[order] = ~new
-    out, at, old = [], 0, 0
-    for (chunk, *_), values in zip(blocks, keys):
-        if chunk >= 0:
-            out.append((chunk, np.packbits(seen[at : at + len(values)]).tobytes(), b""))
-        else:
-            old += len(values)
-        at += len(values)
-    for wanted, run, which in ((add, NEW_RUN, new & (order >= old)), (compact, COMPACTED, new)):
-        if wanted:
-            out.append((run, put(k[which]), c[which].tobytes()))
-    return out
-
-
-def dedup(docs: DataFrame, window: int = WINDOW, index: str | None = None, batch: int = 0, chunk_bytes: int = CHUNK_BYTES, add: bool = True, fanout: int = FANOUT, expected: int = 0) -> DataFrame:
+def _sent(keys: np.ndarray, checks: np.ndarray, buckets: int, width: int, chunk: int) -> pa.Table:
+    """A block per range of width buckets."""
+    rows = [(b, chunk, put(keys[s:e]), checks[s:e].tobytes()) for b, s, e in split_by_bucket(keys, buckets, width)]
+    return _table(rows)
+
+
+def _table(rows: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
+    cols = list(zip(*rows)) or [()] * 4
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("bucket", "chunk", "keys", "checks"), cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))})
+
+
+class _Merged:
+    """Blocks in order of their chunks, historical runs (chunks below 0) first, merged by fingerprint."""
+
+    def __init__(self, got: pa.Table):
+        blocks = sorted(zip(got["bucket"].to_pylist(), got["chunk"].to_pylist(), got["keys"].to_pylist(), got["checks"].to_pylist()), key=lambda b: b[1])
+        self.bucket, self.chunks = [b[0] for b in blocks], [b[1] for b in blocks]
+        keys = [get(b[2]) for b in blocks]
+        self.lengths = [len(k) for k in keys]
+        key, check = np.concatenate(keys), np.concatenate([np.frombuffer(b[3], np.uint8) for b in blocks])
+        self.order = order = np.argsort(key, kind="stable")
+        self.k, self.c = k, c = key[order], check[order]
+        self.new = new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        group = np.cumsum(new) - 1
+        agrees = c == c[new][group]
+        self.by, self.by_first = np.empty(0, np.int64), np.empty(0, bool)
+        if not agrees.all():  # equal fingerprints of different windows: the first of each (key, check) owns
+            odd = np.flatnonzero(np.isin(group, group[~agrees]))
+            self.by = by = odd[np.lexsort((odd, c[odd], k[odd]))]
+            new[by] = self.by_first = np.concatenate([[True], (k[by][1:] != k[by][:-1]) | (c[by][1:] != c[by][:-1])])
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.k[self.new], self.c[self.new]
+
+    def place(self) -> np.ndarray:
+        """Of every entry in order of keys the place of its window in distinct()."""
+        at = np.cumsum(self.new) - 1
+        if len(self.by):
+            at[self.by] = at[self.by[self.by_first]][np.cumsum(self.by_first) - 1]
+        return at
+
+    def answers(self, earlier: np.ndarray | None = None) -> list[tuple[int, int, bytes, bytes]]:
+        """Rows of bits: which entries of a chunk's block an earlier block has, or are earlier (by entry in order of keys)."""
+        seen = np.empty(len(self.k), bool)
+        seen[self.order] = ~self.new if earlier is None else ~self.new | earlier
+        parts = np.split(seen, np.cumsum(self.lengths)[:-1])
+        return [(b, n, np.packbits(x).tobytes(), b"") for b, n, x in zip(self.bucket, self.chunks, parts) if n >= 0]
+
+    def runs(self, add: bool, compact: bool) -> list[tuple[int, int, bytes, bytes]]:
+        """The runs asked for: NEW_RUN (what no earlier run has) and COMPACTED (all)."""
+        old = sum(n for n, chunk in zip(self.lengths, self.chunks) if chunk < 0)
+        asked = ((add, NEW_RUN, self.new & (self.order >= old)), (compact, COMPACTED, self.new))
+        return [(self.bucket[0], run, put(self.k[which]), self.c[which].tobytes()) for wanted, run, which in asked if wanted]
+
+
+def _bits(answers: pa.Table, keys: np.ndarray, buckets: int, width: int) -> np.ndarray:
+    """The answers to the blocks of sorted keys, in their order."""
+    bits = dict(zip(answers["bucket"].to_pylist(), answers["keys"].to_pylist()))
+    parts = [np.unpackbits(np.frombuffer(bits[b], np.uint8), count=e - s) for b, s, e in split_by_bucket(keys, buckets, width)]
+    return np.concatenate(parts).astype(bool) if parts else np.empty(0, bool)
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, index: str | None = None, batch: int = 0, chunk_bytes: int = CHUNK_BYTES, add: bool = True, fanout: int = FANOUT, expected: int = 0, fan: int = FAN) -> DataFrame:
     """docs: doc_id, text -> doc_id, n_words, n_removed, kept (the words left, joined by a space).
 
     index: a shared folder of runs of earlier batches, all of whose windows count as earlier; batch: the number of this
     batch, whose run is added (unless add is false: the last batch of all). Batches come in order of their numbers. The last
     can be written again, which replaces it; one before it only unchanged, which leaves the index as it is. One that is too
     late, or whose history is already compacted with it, is an error; fanout: runs that are compacted; expected: bytes of text that a new index is laid out for (those of its first
-    batch if more). Without index, only the batch itself is compared."""
+    batch if more); fan: blocks that a chunk sends and a bucket gets of chunks in one exchange. Without index, only the batch itself is compared."""
     spark = docs.sparkSession
     add = add and index is not None
     if index is not None:
         _check_turn(spark, index, batch)
     compact = add and len(_history(spark, index, batch)) + 1 >= fanout
-    chunk_of, _, total = in_order(docs, chunk_bytes)
+    chunk_of, chunks, total = in_order(docs, chunk_bytes)
     buckets = _buckets(spark, index, max(total, expected), chunk_bytes)
+    steps = widths(chunks, buckets, fan)
     packed = pack(docs, chunk_of)
 
     def spread(key: tuple, blobs: pa.Table) -> pa.Table:
         w = _Windows(blobs, window, _HASHES)
-        rows = [(b, put(w.keys[s:e]), w.checks[s:e].tobytes()) for b, s, e in split_by_bucket(w.keys, buckets)]
-        cols = list(zip(*rows)) or [(), (), ()]
-        return pa.table({"bucket": pa.array(cols[0], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int32()), "keys": pa.array(cols[1], pa.binary()), "checks": pa.array(cols[2], pa.binary())})
+        return _sent(w.keys, w.checks, buckets, steps[0], key[0].as_py())
 
-    def join(key: tuple, bucket: pa.Table) -> pa.Table:
-        rows = [(key[0].as_py(), *r) for r in _merge(bucket, add, compact)]
-        cols = list(zip(*rows)) or [()] * 4
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("bucket", "chunk", "keys", "checks"), cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))})
+    def forward(width: int):
+        return lambda key, got: _sent(*_Merged(got).distinct(), buckets, width, key[1].as_py())
+
+    def join(key: tuple, got: pa.Table) -> pa.Table:
+        m = _Merged(got)
+        return _table(m.answers() + m.runs(add, compact))
+
+    def back(width: int):
+        def run(key: tuple, got: pa.Table, above: pa.Table) -> pa.Table:
+            m = _Merged(got)
+            return _table(m.answers(_bits(above, m.distinct()[0], buckets, width)[m.place()]))
+
+        return run
 
     def mark(key: tuple, blobs: pa.Table, answers: pa.Table) -> pa.Table:
         w = _Windows(blobs, window, _HASHES)
-        bits = dict(zip(answers["bucket"].to_pylist(), answers["keys"].to_pylist()))
-        earlier = [np.unpackbits(np.frombuffer(bits[b], np.uint8), count=e - s).astype(bool) for b, s, e in split_by_bucket(w.keys, buckets)]
-        hit = w.start[w.repeats(np.concatenate(earlier) if earlier else np.empty(0, bool))]
+        hit = w.start[w.repeats(_bits(answers, w.keys, buckets, steps[0]))]
         change = np.zeros(int(w.first[-1]) + 1, np.int32)
         change[hit] += 1
         change[hit + window] -= 1
@@ -144,18 +182,20 @@ def dedup(docs: DataFrame, window: int = WINDOW, index: str | None = None, batch
             removed.append(gone)
         return pa.table({"doc_id": ids_out(w.ids), "n_words": pa.array(np.diff(w.first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    blocks = packed.groupBy("chunk").applyInArrow(spread, BLOCK)
-    if index is not None:
-        blocks = blocks.unionByName(_runs(spark, index, batch))
-    merged = blocks.groupBy("bucket").applyInArrow(join, BLOCK)
-    if add:
-        made = f"{index}/batches/{batch:08d}-{uuid.uuid4()}"
-        kinds = F.when(F.col("chunk") == NEW_RUN, "new").when(F.col("chunk") == COMPACTED, "compacted").otherwise("answers")
-        merged.withColumn("kind", kinds).write.partitionBy("kind").parquet(made)
-        _settle(spark, index, batch, made, buckets, compact)
-        merged = _blocks(spark, f"{made}/kind=answers")  # the result reads it later
-    answers = merged.select("chunk", "bucket", "keys")
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(mark, "doc_id long, n_words long, n_removed long, kept string")
+    def joined(blocks: DataFrame) -> DataFrame:
+        if index is not None:
+            blocks = blocks.unionByName(_runs(spark, index, batch))
+        merged = blocks.groupBy("bucket").applyInArrow(join, BLOCK)
+        if add:
+            made = f"{index}/batches/{batch:08d}-{uuid.uuid4()}"
+            kinds = F.when(F.col("chunk") == NEW_RUN, "new").when(F.col("chunk") == COMPACTED, "compacted").otherwise("answers")
+            merged.withColumn("kind", kinds).write.partitionBy("kind").parquet(made)
+            _settle(spark, index, batch, made, buckets, compact)
+            merged = _blocks(spark, f"{made}/kind=answers")  # the result reads it later
+        return merged
+
+    answers = exchanged(packed.groupBy("chunk").applyInArrow(spread, BLOCK), steps, fan, forward, joined, back, BLOCK, BLOCK)
+    return packed.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "keys").groupBy("chunk")).applyInArrow(mark, "doc_id long, n_words long, n_removed long, kept string")
 
 
 _HASHES = WordHash()
