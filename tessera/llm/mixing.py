@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, lookup, read, shielded
 
-#: Bits of the hash, and the shifts at which buckets are counted: 4096 buckets, then 2^24 in the boundary one, twice.
-HASH_BITS, SHIFTS = 60, (48, 24, 0)
+#: Bits of the hash, and the shifts at which buckets are counted: 4096 buckets, 4096 in the boundary one, then its single hashes:
+#: one in 2^24 of a source's rows (some 6000 of 10^11).
+HASH_BITS, SHIFTS = 60, (48, 36, 0)
 TOP = 1 << HASH_BITS
 
 
@@ -33,23 +34,31 @@ def keyed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     })
 
 
+def running(rows: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """rows with the sum of a column over the rows before, by new name; order tells all rows apart. Rows are dealt to ranges of the
+    order: sums of the ranges before, plus sums within the range."""
+    dealt = cut(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    past = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = dealt.groupBy("range").agg(*(F.sum(c).alias(f"sum_{n}") for n, c in sums.items()))
+    over_ranges = Window.orderBy("range")  # as many rows as shuffle partitions
+    ranges = ranges.select("range", *(past(f"sum_{n}", over_ranges).alias(f"to_{n}") for n in sums))
+    within = Window.partitionBy("range").orderBy(*order)
+    out = dealt.join(F.broadcast(ranges), "range").withColumns({n: past(c, within) + F.col(f"to_{n}") for n, c in sums.items()})
+    return out.drop("range", *(f"to_{n}" for n in sums))
+
+
 def targets(base: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """skey, source_size, target: weights repeat over the sources in code-point order; a target stops at
     most * source_size and the excess goes to the others by weight (water filling, in closed form)."""
-    one = Window.partitionBy()  # over sources, not rows
-    src = base.groupBy("skey").agg(F.sum("size").alias("source_size"))
-    src = src.withColumn("rank", F.row_number().over(one.orderBy("skey")))
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") - 1) % len(weights) + 1)
-    src = src.withColumns({"w": w, "most": F.col("source_size") * most, "total": F.sum("source_size").over(one)})
-    src = src.withColumn("ratio", F.col("most") / F.col("w"))
-    up = one.orderBy("ratio", "rank")
-    src = src.withColumns({
-        "before": F.coalesce(F.sum("most").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "w_from": F.sum("w").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-    })
-    src = src.withColumn("level", (F.col("total") - F.col("before")) / F.col("w_from"))
-    src = src.withColumn("share", F.min_by(F.when(F.col("level") <= F.col("ratio"), F.col("level")), F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank"))).over(one))
-    return src.select("skey", "source_size", F.least(F.col("w") * F.col("share"), F.col("most").cast("double")).alias("target"))
+    src = running(base.groupBy("skey").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1)), ["skey"], {"rank": "one"})
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    src = src.withColumns({"w": w, "most": F.col("source_size") * most}).withColumn("ratio", F.col("most") / F.col("w"))
+    src = running(src, ["ratio", "rank"], {"before": "most", "w_before": "w"})
+    total, w_all = src.agg(F.sum("source_size"), F.sum("w")).first()
+    level = (F.lit(total or 0) - F.col("before")) / (F.lit(w_all or 0) - F.col("w_before"))
+    src = src.withColumn("level", level)
+    share = src.filter("level <= ratio").agg(F.min_by("level", F.struct("ratio", "rank"))).first()[0]
+    return src.select("skey", "source_size", F.least(F.col("w") * F.lit(share).cast("double"), F.col("most").cast("double")).alias("target"))
 
 
 def threshold(rows: DataFrame, budgets: DataFrame, n: int) -> DataFrame:
