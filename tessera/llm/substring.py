@@ -43,22 +43,22 @@ class _Windows:
     """The windows of a chunk's documents."""
 
     def __init__(self, blobs: pa.Table, window: int, hashes: WordHash):
-        self.ids, bodies = unpack(blobs)
-        self.words = [t.split() for t in bodies]
-        self.first = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
-        x = [hashes.hashes(w) for w in self.words]
+        self.ids, self.bodies = unpack(blobs)
+        x = [hashes.hashes(t.split()) for t in self.bodies]  # words are split again where they are needed: lists of them are large
+        self.first = np.concatenate([[0], np.cumsum([len(h) for h in x])]).astype(np.int64)
         keys = [grams(h, window) for h in x]
         checks = [grams(h, window, 1).astype(np.uint32) & np.uint32((1 << 8 * CHECK_BYTES) - 1) for h in x]
         self.key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         self.check = np.concatenate(checks).astype(np.uint8) if checks else np.empty(0, np.uint8)
         n = np.array([len(k) for k in keys], np.int64)
+        del x, keys, checks
         self.doc = np.repeat(np.arange(len(n)), n)
         self.start = np.arange(len(self.key)) - np.repeat(np.cumsum(n) - n, n) + self.first[self.doc]
         order = np.argsort(self.key, kind="stable")
         new = np.ones(len(order), bool)
         new[1:] = self.key[order][1:] != self.key[order][:-1]
         self.owner = order[new]  # per distinct key the first window, which is of the smallest id
-        self.entry = np.empty(len(order), np.int64)
+        self.entry = np.empty(len(order), np.int32)
         self.entry[order] = np.cumsum(new) - 1
         self.keys, self.checks = self.key[self.owner], self.check[self.owner]
 
@@ -175,7 +175,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, index: str | None = None, batch
         change[hit + window] -= 1
         stays = np.cumsum(change[:-1]) == 0
         kept, removed = [], []
-        for i, words in enumerate(w.words):
+        for i, words in enumerate(t.split() for t in w.bodies):
             s = stays[w.first[i] : w.first[i + 1]]
             gone = len(s) - int(s.sum())
             kept.append(b" ".join(compress(words, s.tolist()) if gone else words))
