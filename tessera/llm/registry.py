@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, lm, mixing, neardup, quality, secrets, substring, topk
+from . import bpe, chat, exact, jaccard, lm, mixing, neardup, quality, secrets, substring, topk
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_topk": topk.op9_topk,
     "op10_bpe": bpe.op10_bpe,
+    "op11_exact": exact.op11_exact,
 }
 
 SQL = {
@@ -27,4 +28,5 @@ SQL = {
     "op6_mixing": mixing.OP6_SQL,
     "op7_lm": lm.OP7_SQL,
     "op9_topk": topk.OP9_SQL,
+    "op11_exact": exact.OP11_SQL,
 }
