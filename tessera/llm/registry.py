@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact, jaccard, lm, mixing, neardup, quality, secrets, substring, topk
+from . import bpe, chat, exact, jaccard, lm, mixing, neardup, quality, secrets, substring, topk, whitening
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_topk": topk.op9_topk,
     "op10_bpe": bpe.op10_bpe,
     "op11_exact": exact.op11_exact,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 SQL = {
