@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact, jaccard, lm, mixing, neardup, quality, secrets, substring, topk, whitening
+from . import bpe, chat, exact, jaccard, lm, mixing, neardup, quality, repair, secrets, substring, topk, whitening
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
     "op11_exact": exact.op11_exact,
     "op12_whitening": whitening.op12_whitening,
+    "op13_repair": repair.op13_repair,
 }
 
 SQL = {
@@ -30,4 +31,5 @@ SQL = {
     "op7_lm": lm.OP7_SQL,
     "op9_topk": topk.OP9_SQL,
     "op11_exact": exact.OP11_SQL,
+    "op13_repair": repair.OP13_SQL,
 }
