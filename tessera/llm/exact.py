@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut, ensure_checkpoint_dir, read
 
-#: State settings of the stream: on disk, with a bound on RocksDB's memory per executor.
+#: State settings of the stream: on disk, with a bound on RocksDB's memory per executor, and closed between batches, so that
+#: an executor has open what its running tasks use, however many partitions the state has.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 #: Groups of more than this share of all rows are joined by broadcast (so they are fewer than its inverse), the others by a shuffle.
 HOT_SHARE = 1 / 10_000
