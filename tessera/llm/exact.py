@@ -90,7 +90,7 @@ def with_groups(rows: DataFrame, groups: DataFrame, n_groups: int, n_rows: int)
         return rows.join(F.broadcast(groups), "digest", "left")
     hot = groups.filter(F.col("n") > n_rows * HOT_SHARE).withColumnsRenamed({"n": "hot_n", "keep": "hot_keep"})
     cold = groups.filter(F.col("n") <= n_rows * HOT_SHARE).withColumnRenamed("digest", "key")
-    own = F.xxhash64("at").cast("binary")  # shorter than a digest: meets no group
+    own = F.encode(F.concat(F.lit("row "), F.xxhash64("at").cast("string")), "UTF-8")  # no digest: meets no group
     marked = rows.join(F.broadcast(hot), "digest", "left").withColumn("key", F.when(F.col("hot_n").isNull(), F.col("digest")).otherwise(own))
     found = marked.join(cold, "key", "left")
     return found.withColumns({"n": F.coalesce("n", "hot_n"), "keep": F.coalesce("keep", "hot_keep")}).drop("key", "hot_n", "hot_keep")

@@ -71,7 +71,7 @@ def added(rows: DataFrame, term: Callable[[np.ndarray], tuple], dim: int, scale:
 
     have = cut(rows.select("embedding").mapInArrow(sums, "part int, sums binary"))
     while have.count() > FAN:
-        have = cut(have.groupBy(F.floor(F.col("part") / FAN).cast("int").alias("part")).applyInArrow(merged, "part int, sums binary"))
+        have = cut(have.groupBy(F.floor(F.col("part") / FAN).cast("int").alias("group")).applyInArrow(merged, "part int, sums binary"))
     total = None
     for r in have.orderBy("part").toLocalIterator():
         t = pickle.loads(r["sums"])
