@@ -1,14 +1,16 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every row has a 60-bit hash of its id. Sizes are summed by source and hash bucket; a window over at most
+Every row has a 60-bit hash of its id, and one of its text and place. Sizes are summed by source and hash bucket; a window over at most
 a few thousand buckets of a source finds the bucket in which the running sum passes the budget; only that
 bucket is refined with the next bits, until a single hash value remains: the threshold. Rows are then kept
-by comparing hashes with thresholds; nothing is sorted by row. Where the row at the threshold is larger
+by comparing hashes with thresholds; nothing is sorted by row. Where several rows share the threshold (repeated or null ids),
+they are refined by their second hash in the same way. Where the row at the threshold is larger
 than what is left, a next round fills the rest from later hashes of rows that fit (nested thresholds).
 
 Defined results: null or empty texts have size 0 and are never taken; null sources form one source, ordered
-last; rows of one id share a hash and are taken or left together; an empty table gives an empty result;
-other columns are ignored.
+last; rows of one id follow each other in the order of their second hash, so a mix may take some of them; that hash has the place of
+a row among docs' rows, so docs must be read in a stable order (files, or a cut table) for reruns to agree; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ TOP = 1 << HASH_BITS
 
 
 def keyed(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """docs with size (words), skey (source with a place for null) and h (60-bit hash of the id)."""
+    """docs with size (words), skey (source with a place for null), h (60-bit hash of the id) and h2 (of text and place)."""
     digest = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")), 256)
     return docs.withColumns({
         "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
         "skey": F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("a"), "source")),
         "h": F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"),
+        "h2": F.shiftrightunsigned(F.xxhash64("text", F.monotonically_increasing_id()), 64 - HASH_BITS),
     })
 
 
@@ -61,53 +64,68 @@ def targets(base: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     return src.select("skey", "source_size", F.least(F.col("w") * F.lit(share).cast("double"), F.col("most").cast("double")).alias("target"))
 
 
-def threshold(rows: DataFrame, budgets: DataFrame, n: int) -> DataFrame:
-    """rows: skey, h, size. budgets: skey, budget. Returns skey, thr, left for each budget: the sizes of rows with
-    h < thr sum to budget - left, and with the rows at thr they would pass the budget (thr is TOP if all fit)."""
+def _narrowed(rows: DataFrame, budgets: DataFrame, n: int) -> DataFrame:
+    """rows: skey, h, size. budgets: skey, budget. Returns skey, thr, left, tied for each budget: the sizes of rows with
+    h < thr sum to budget - left, and with the tied rows at thr they would pass the budget (thr is TOP if all fit)."""
     state = budgets.select("skey", F.col("budget").alias("left"), F.lit(None).cast("long").alias("at"))
     first = None
     for k, shift in enumerate(SHIFTS):
         near = lookup(rows, state, ["skey"], n)
         if k:
             near = near.filter(F.shiftright("h", SHIFTS[k - 1]) == F.col("at"))
-        hist = near.groupBy("skey", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("w"), F.first("left").alias("left"))
+        hist = near.groupBy("skey", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("w"), F.first("left").alias("left"), F.count("*").alias("tied"))
         run = hist.withColumn("cum", F.sum("w").over(Window.partitionBy("skey").orderBy("b")))
         found = run.groupBy("skey").agg(
-            F.min(F.when(F.col("cum") > F.col("left"), F.struct("b", (F.col("left") - F.col("cum") + F.col("w")).alias("left")))).alias("m"),
+            F.min(F.when(F.col("cum") > F.col("left"), F.struct("b", (F.col("left") - F.col("cum") + F.col("w")).alias("left"), "tied"))).alias("m"),
             F.sum("w").alias("all"),
         )
         if not k:
             first = found = cut(found)
-        state = found.filter("m is not null").select("skey", F.col("m.left").alias("left"), F.col("m.b").alias("at"))
+        state = found.filter("m is not null").select("skey", F.col("m.left").alias("left"), F.col("m.b").alias("at"), F.col("m.tied").alias("tied"))
         if k:
             state = cut(state)
+        last, state = state, state.drop("tied")
     fits = first.filter("m is null").select("skey", F.col("all"))
-    out = budgets.join(state.select("skey", "at", "left"), "skey", "left").join(fits, "skey", "left")
-    return cut(out.select("skey", F.coalesce("at", F.lit(TOP)).alias("thr"), F.coalesce("left", F.col("budget") - F.coalesce("all", F.lit(0))).alias("left")))
+    out = budgets.join(last, "skey", "left").join(fits, "skey", "left")
+    left = F.coalesce("left", F.col("budget") - F.coalesce("all", F.lit(0)))
+    return cut(out.select("skey", F.coalesce("at", F.lit(TOP)).alias("thr"), left.alias("left"), F.coalesce("tied", F.lit(0)).alias("tied")))
+
+
+def threshold(rows: DataFrame, budgets: DataFrame, n: int) -> DataFrame:
+    """rows: skey, h, h2, size. budgets: skey, budget. Returns skey, thr, thr2, left for each budget: the sizes of rows with
+    h < thr, or h = thr and h2 < thr2, sum to budget - left."""
+    out = _narrowed(rows.select("skey", "h", "size"), budgets, n)
+    tied = out.filter("tied > 1")
+    m = tied.count()
+    if not m:
+        return out.select("skey", "thr", F.lit(0).cast("long").alias("thr2"), "left")
+    near = lookup(rows, tied.select("skey", "thr"), ["skey"], m).filter("h = thr").select("skey", F.col("h2").alias("h"), "size")
+    inner = _narrowed(near, tied.select("skey", F.col("left").alias("budget")), m).select("skey", F.col("thr").alias("thr2"), F.col("left").alias("left2"))
+    return cut(out.join(inner, "skey", "left").select("skey", "thr", F.coalesce("thr2", F.lit(0)).alias("thr2"), F.coalesce("left2", "left").alias("left")))
 
 
 def budgets(base: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, rounds: int = 3) -> tuple[DataFrame, int]:
-    """base: skey, size, h of all rows. Returns a row per source (target, whole repeats, thresholds) and their number."""
+    """base: skey, size, h, h2 of all rows. Returns a row per source (target, whole repeats, thresholds) and their number."""
     goal = cut(targets(base, weights, most))
     n = goal.count()
     whole = F.when(F.col("target") >= F.col("source_size") * most, most).when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = goal.withColumn("whole", whole).withColumn("budget", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     step = plan.select("skey", "budget")
     for k in range(rounds):
-        rows = base.filter("size > 0").select("skey", "h", "size")
+        rows = base.filter("size > 0").select("skey", "h", "h2", "size")
         if k:
-            prev = last.select("skey", F.col("thr").alias("from"), F.col("left").alias("fits"))
-            rows = lookup(rows, prev, ["skey"], n).filter("h >= `from` and size <= fits").select("skey", "h", "size")
+            prev = last.select("skey", F.col("thr").alias("from"), F.col("thr2").alias("from2"), F.col("left").alias("fits"))
+            rows = lookup(rows, prev, ["skey"], n).filter("(h > `from` or h = `from` and h2 >= from2) and size <= fits").select("skey", "h", "h2", "size")
         last = threshold(rows, step, n)
-        plan = plan.join(last.select("skey", F.col("thr").alias(f"thr{k}"), F.col("left").alias(f"left{k}")), "skey", "left")
+        plan = plan.join(last.select("skey", F.struct("thr", "thr2").alias(f"at{k}"), F.col("left").alias(f"left{k}")), "skey", "left")
         step = last.select("skey", F.col("left").alias("budget"))
-    took = [(F.col("thr0"), F.lit(TOP))] + [(F.col(f"thr{k}"), F.col(f"left{k - 1}")) for k in range(1, rounds)]
-    return cut(plan.select("skey", "source_size", "target", "whole", F.array(*(F.struct(t.alias("thr"), m.cast("long").alias("fits")) for t, m in took)).alias("steps"))), n
+    took = [(F.col("at0"), F.lit(TOP))] + [(F.col(f"at{k}"), F.col(f"left{k - 1}")) for k in range(1, rounds)]
+    return cut(plan.select("skey", "source_size", "target", "whole", F.array(*(F.struct(t.alias("at"), m.cast("long").alias("fits")) for t, m in took)).alias("steps"))), n
 
 
 def take(rows: DataFrame, plan: DataFrame, n: int) -> DataFrame:
-    """rows (skey, size, h and any others) with source_size, target and repeats: how often the mix takes the row."""
-    extra = F.exists("steps", lambda s: (F.col("h") < s["thr"]) & (F.col("size") <= s["fits"]))
+    """rows (skey, size, h, h2 and any others) with source_size, target and repeats: how often the mix takes the row."""
+    extra = F.exists("steps", lambda s: (F.struct(F.col("h").alias("thr"), F.col("h2").alias("thr2")) < s["at"]) & (F.col("size") <= s["fits"]))
     times = F.when(F.col("size") > 0, F.col("whole") + F.when(extra, 1).otherwise(0)).otherwise(0)
     return lookup(rows, plan, ["skey"], n).withColumn("repeats", times.cast("long")).drop("whole", "steps")
 
@@ -123,7 +141,7 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     """The rows of docs that the mix takes, each as often as it takes them, with docs' columns."""
     docs, named = shielded(docs, "doc_id", "source", "text")
     rows = keyed(docs, seed)
-    plan, n = budgets(cut(rows.select("skey", "size", "h")), weights, most, rounds)
+    plan, n = budgets(cut(rows.select("skey", "size", "h", "h2")), weights, most, rounds)
     taken = take(rows, plan, n).filter("repeats > 0")
     return named(taken.withColumn("repeats", F.explode(F.sequence(F.lit(1), F.col("repeats")))))
 

@@ -36,3 +36,19 @@ def test_running(spark):
     rows = [(i, rng.randrange(100)) for i in range(300)]
     got = {r["k"]: (r["n"], r["s"]) for r in mixing.running(spark.createDataFrame(rng.sample(rows, 300), "k long, v long").selectExpr("k", "v", "1 as one").repartition(5), ["k"], {"n": "one", "s": "v"}).collect()}
     assert got == {k: (k, sum(v for _, v in rows[:k])) for k, _ in rows}
+
+
+def test_repeated_and_null_ids_meet_their_targets(spark, tmp_path):
+    path = str(tmp_path / "docs.parquet")
+    rows = [(None, s, "w " * 5) for s in ("a", "b") for _ in range(50)] + [(7, "c", "v " * (1 + i % 3)) for i in range(100)] + [(None, "c", None), (7, None, ""), (8, None, "same words"), (8, None, "same words")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(path)
+    got = mixing.mix(spark.read.parquet(path)).collect()
+    assert len(got) == len(rows)
+    for source in ("a", "b", "c", None):
+        mine = [r for r in got if r["source"] == source]
+        # less than the smallest row is missing
+        assert 0 <= mine[0]["target"] - sum(r["taken"] for r in mine) < max(r["size"] for r in mine)
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, got)) == sorted(map(key, mixing.mix(spark.read.parquet(path)).collect()))
+    taken = sorted((str(r["doc_id"]), str(r["source"]), r["text"]) for r in mixing.mixed_rows(spark.read.parquet(path)).collect())
+    assert sum(len(t[2].split()) for t in taken) == sum(r["taken"] for r in got)
