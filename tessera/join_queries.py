@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import quotes
+from .operators import containment, joins, quotes
 from .tables import read
 
 
@@ -25,5 +25,71 @@ def quote_match_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("quote_id.item_id", "quote_id.form", F.col("page_id").alias("doc_id"), "exact", "distance")
 
 
-QUERIES = {"quote_match_fuzzy": quote_match_fuzzy}
-SQL: dict[str, str] = {}
+def name_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of part names and every benchmark passage, in every document, case ignored."""
+    words = read(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("needle"))
+    needles = words.union(read(spark, sf_dir, "benchmark").select(F.lower("text")))
+    found = containment.contained(needles, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text")))
+    return found.select("needle", F.col("text_id").alias("doc_id"))
+
+
+NAME_CONTAINMENT_SQL = """
+WITH n AS (SELECT unnest(string_split(lower(p_name), ' ')) AS needle FROM part UNION SELECT lower(text) FROM benchmark)
+SELECT needle, doc_id FROM n JOIN documents ON contains(lower(text), needle) WHERE needle <> ''
+"""
+
+
+def application_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as products, asked for by a word of the name, by a word of the type, and by both."""
+    part = read(spark, sf_dir, "part")
+    word = lambda c, k: F.lower(F.coalesce(F.get(F.split(c, " "), F.lit(k)), F.lit("")))
+    forms = F.array(*(F.struct(i.alias("ingredient"), b.alias("brand")) for i, b in ((word("p_name", 0), F.lit("")), (F.lit(""), word("p_type", 0)), (word("p_name", 1), word("p_type", 0)))))
+    asked = part.select(F.inline(forms)).distinct().select(F.concat_ws("/", "ingredient", "brand").alias("ask_id"), "ingredient", "brand")
+    products = part.select(F.col("p_partkey").cast("string").alias("appl_no"), F.col("p_name").alias("ingredient"), F.col("p_type").alias("brand"))
+    return joins.applications(asked, products).select("ask_id", F.col("appl_no").cast("long").alias("p_partkey"))
+
+
+APPLICATION_SEARCH_SQL = """
+WITH a AS (
+  SELECT lower(split_part(p_name, ' ', 1)) AS i, '' AS b FROM part UNION SELECT '', lower(split_part(p_type, ' ', 1)) FROM part
+  UNION SELECT lower(split_part(p_name, ' ', 2)), lower(split_part(p_type, ' ', 1)) FROM part)
+SELECT DISTINCT i || '/' || b AS ask_id, p_partkey FROM a JOIN part ON contains(lower(p_name), i) AND contains(lower(p_type), b) WHERE i <> '' OR b <> ''
+"""
+
+
+def word_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names with a letter missing, and what they may have meant."""
+    part = read(spark, sf_dir, "part")
+    at = (F.col("p_partkey") % F.length("p_name") + 1).cast("int")
+    asked = part.select(F.col("p_partkey").alias("question_id"), F.concat(F.substring("p_name", F.lit(1), at - 1), F.substring("p_name", at + 1, F.length("p_name"))).alias("question"))
+    return joins.suggestions(asked, part.select(F.col("p_name").alias("name"))).select("question_id", "name", "ratio", "rank")
+
+
+WORD_SUGGESTIONS_SQL = """
+WITH RECURSIVE q AS (
+  SELECT p_partkey AS question_id, unnest(regexp_split_to_array(lower(substr(p_name, 1, (p_partkey % len(p_name))::INT) || substr(p_name, (p_partkey % len(p_name))::INT + 2)), '[^a-z]+')) AS word FROM part),
+t AS (SELECT DISTINCT p_name AS name, lower(split_part(p_name, ' ', 1)) AS token FROM part),
+w AS (SELECT DISTINCT word FROM q WHERE len(word) >= 4),
+-- rows of the table of longest common subsequences, one more letter of the word at a time
+lcs AS (
+  SELECT word, token, 0 AS i, list_transform(range(0, len(token) + 1), lambda x: 0::BIGINT) AS r FROM w, (SELECT DISTINCT token FROM t)
+  UNION ALL
+  SELECT word, token, i + 1, list_transform(range(1, len(token) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k:
+    greatest(r[k], CASE WHEN k > 1 AND token[k - 1] = word[i + 1] THEN r[k - 1] + 1 ELSE 0 END)))) FROM lcs WHERE i < len(word)),
+s AS (SELECT word, token, 200.0::DOUBLE * r[-1] / (len(word) + len(token)) AS ratio FROM lcs WHERE i = len(word)),
+b AS (SELECT question_id, name, max(ratio) AS ratio FROM q JOIN s USING (word) JOIN t USING (token) WHERE ratio >= 82 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY ratio DESC, name)::INTEGER AS rank FROM b)
+SELECT * FROM k WHERE rank <= 3
+"""
+
+QUERIES = {
+    "quote_match_fuzzy": quote_match_fuzzy,
+    "name_containment": name_containment,
+    "application_search": application_search,
+    "word_suggestions": word_suggestions,
+}
+SQL = {
+    "name_containment": NAME_CONTAINMENT_SQL,
+    "application_search": APPLICATION_SEARCH_SQL,
+    "word_suggestions": WORD_SUGGESTIONS_SQL,
+}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, sequential, text
 from ..tables import small
+from . import containment, spelling
 
 
 def latest(rows: DataFrame, key: str | list[str], *order: str) -> DataFrame:
@@ -202,26 +203,22 @@ def resolve_products(questions: DataFrame, products: DataFrame) -> DataFrame:
 
 def suggestions(questions: DataFrame, products: DataFrame, floor: float = 82.0, k: int = 3) -> DataFrame:
     """question_id, name, ratio: up to k products whose primary token is nearest to a word of the question."""
-    ratio = sequential.udfs()["indel_ratio"]
     words = F.filter(F.array_distinct(F.split(F.lower("question"), "[^a-z]+")), lambda w: F.length(w) >= 4)
     q = questions.select("question_id", F.explode(words).alias("word"))
     p = products.select("name").distinct().select("name", F.explode(primary_tokens(F.col("name"))).alias("token"))
-    # words at an Indel ratio of 82 differ in length by at most 18 % of both together
-    tokens = p.select("token").distinct()
-    near = q.select("word").distinct().join(small(tokens, tokens.count()), F.abs(F.length("word") - F.length("token")) * 100 <= 18 * (F.length("word") + F.length("token")))
-    scored = near.withColumn("ratio", ratio("word", "token")).filter(F.col("ratio") >= floor)
+    scored = spelling.alike(q.select("word"), p.select("token"), floor)
     best = q.join(scored, "word").join(p, "token").groupBy("question_id", "name").agg(F.max("ratio").alias("ratio"))
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("ratio"), "name"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def named_elsewhere(questions: DataFrame, external: DataFrame, own: DataFrame, most: int = 100) -> DataFrame:
-    """question_id, name, covered: external names that share a word of four letters with the question (up to most in order
+    """question_id, name, covered: external names that contain a word of four letters of the question (up to most in order
     of name), and whether any of their words is one of our products' tokens."""
     words = F.filter(F.array_distinct(F.split(F.lower("question"), "[^a-z]+")), lambda w: F.length(w) >= 4)
-    q = questions.select("question_id", F.explode(words).alias("word"))
-    e = external.select("name", F.explode(F.array_distinct(F.split(F.lower("name"), "[^a-z]+"))).alias("word"))
-    hits = q.join(e, "word").select("question_id", "name").distinct()
+    q = questions.select("question_id", F.explode(words).alias("needle"))
+    e = external.select(F.col("name").alias("text_id"), F.lower("name").alias("text")).distinct()
+    hits = q.join(containment.contained(q, e), "needle").select("question_id", F.col("text_id").alias("name")).distinct()
     hits = hits.withColumn("_r", F.row_number().over(Window.partitionBy("question_id").orderBy("name"))).filter(F.col("_r") <= most).drop("_r")
     ours = own.select(F.explode(primary_tokens(F.col("name"))).alias("token")).distinct()
     in_ours = hits.select("name").distinct().select("name", F.explode(F.split(F.lower("name"), "[^a-z]+")).alias("token")).join(ours, "token", "left_semi").select("name").distinct().withColumn("covered", F.lit(True))
@@ -250,11 +247,18 @@ def guidance_matches(asked: DataFrame, guidances: DataFrame) -> DataFrame:
 
 def applications(asked: DataFrame, products: DataFrame) -> DataFrame:
     """asked: ask_id, ingredient, brand; products: appl_no, ingredient, brand. Distinct ask_id, appl_no whose canonical names
-    contain the asked ones (an empty one asks nothing; two empty ones match nothing). asked is a bounded set of requests."""
+    contain the asked ones (an empty one asks nothing; two empty ones match nothing)."""
     canon = lambda df, p: df.select(*[c for c in df.columns if c not in ("ingredient", "brand")], names.canonical_name(F.col("ingredient")).alias(f"{p}i"), names.canonical_name(F.col("brand")).alias(f"{p}b"))
-    a = canon(asked, "_a").filter("_ai <> '' or _ab <> ''")
-    holds = F.expr("(_ai = '' or instr(_pi, _ai) > 0) and (_ab = '' or instr(_pb, _ab) > 0)")
-    return canon(products, "_p").filter("appl_no is not null and appl_no <> ''").join(small(a, a.count()), holds).select("ask_id", "appl_no").distinct()
+    a, p = canon(asked, "_a"), canon(products, "_p").filter("appl_no is not null and appl_no <> ''")
+
+    def holding(rows: DataFrame, own: str, theirs: str) -> DataFrame:
+        texts = p.select(F.col(theirs).alias("text_id"), F.col(theirs).alias("text")).distinct()
+        found = containment.contained(rows.select(F.col(own).alias("needle")), texts).select(F.col("needle").alias(own), F.col("text_id").alias(theirs))
+        return rows.join(found, own).join(p, theirs)
+
+    by_both = holding(a.filter("_ai <> ''"), "_ai", "_pi").filter((F.col("_ab") == "") | F.contains("_pb", "_ab"))
+    by_brand = holding(a.filter("_ai = '' and _ab <> ''"), "_ab", "_pb")
+    return by_both.select("ask_id", "appl_no").union(by_brand.select("ask_id", "appl_no")).distinct()
 
 
 def missed_alerts(pairs: DataFrame, versions: DataFrame, alerts: DataFrame) -> DataFrame:

@@ -10,9 +10,7 @@ aligned. The outcome is that of sequential.quote_match on every pair; quotes too
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,51 +18,27 @@ from pyspark.sql import functions as F
 
 from ..functions.sequential import LEAST_FUZZY, budget_of, match_form, placed
 from ..tables import small
+from . import grams
 
 #: Lengths of seeds; shorter pieces belong to quotes that are looked up whole.
 SEEDS = (6, 10, 16, 24)
-#: Bits of the bitmap: 512 KB for every scanning task.
-BITS = 22
 #: Quotes whose places on one page are checked in one group.
 GROUP = 2000
-#: An odd number, and its inverse modulo 2^64, of which powers make the hash of a window.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 
-
-@lru_cache(64)
-def _powers(base: int, n: int) -> np.ndarray:
-    factors = np.full(n, base, np.uint64)
-    factors[:1] = 1
-    return np.cumprod(factors)
-
-
-def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of the width characters from each place."""
-    n = len(codes)
-    if n < width:
-        return np.empty(0, np.uint64)
-    room = 1 << max(n, 16).bit_length()  # few distinct lengths for the memory of powers
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(BASE, room)[:n])])
-    h = (sums[width:] - sums[:-width]) * _powers(INVERSE, room)[: n - width + 1] + np.uint64(width)
-    h ^= h >> np.uint64(32)
-    return h * np.uint64(0xD6E8FEB86659FD93)
-
-
-def codes_of(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def _hash(text: str) -> int:
+    return int(grams.signed(grams.window_hashes(grams.codes_of(text), len(text)))[0])
 
 
 def seeds_of(norm: str) -> list[tuple[int, int, int]]:
     """(width, place in the quote, hash) of the seeds of a normal form."""
     n = len(norm)
     if n < LEAST_FUZZY:
-        return [(n, 0, int(window_hashes(codes_of(norm), n)[0].view(np.int64)))] if n else []
+        return [(n, 0, _hash(norm))] if n else []
     pieces = budget_of(norm) + 1
     edges, out = [n * k // pieces for k in range(pieces + 1)], []
     for a, b in zip(edges, edges[1:]):
         width = max(w for w in SEEDS if w <= b - a)
-        out.append((width, a, int(window_hashes(codes_of(norm[a : a + width]), width)[0].view(np.int64))))
+        out.append((width, a, _hash(norm[a : a + width])))
     return out
 
 
@@ -80,43 +54,6 @@ def seed_table(quotes: DataFrame) -> DataFrame:
     return s.select("s.norm", "s.seeds").distinct().select("norm", F.inline("seeds"))
 
 
-def scanned(pages: DataFrame, bits: np.ndarray, widths: list[int]) -> DataFrame:
-    """pages: page_id, text -> gram, page_id, at: places of the windows whose hash is in the bitmap."""
-    kind = pages.schema["page_id"].dataType.simpleString()
-    shift = np.uint64(64 - BITS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = bits
-        for batch in batches:
-            rows, grams, places = [], [], []
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                codes = codes_of(match_form(text))
-                for width in widths:
-                    h = window_hashes(codes, width)
-                    bit = h >> shift
-                    hit = np.flatnonzero((packed[(bit >> np.uint64(3)).view(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
-                    found, first, count = np.unique(h[hit], return_index=True, return_counts=True)
-                    order = np.argsort(h[hit], kind="stable")
-                    at = np.split(hit[order], np.cumsum(count)[:-1]) if len(found) else []
-                    rows += [r] * len(found)
-                    grams.append(found.view(np.int64))
-                    places += [a[:1] if width < LEAST_FUZZY and width not in SEEDS else a for a in at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(grams) if grams else [], pa.int64()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["gram", "page_id", "at"]
-            )
-
-    return pages.select("page_id", "text").mapInArrow(run, f"gram long, page_id {kind}, at array<int>")
-
-
-def bitmap(seeds: DataFrame) -> np.ndarray:
-    """The bitmap of all seeds: at most 2^BITS numbers reach the driver."""
-    bit = F.shiftrightunsigned("gram", 64 - BITS).cast("int")
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in seeds.select(bit.alias("bit")).distinct().toLocalIterator():
-        out[r["bit"] >> 3] |= 1 << (r["bit"] & 7)
-    return out
-
-
 def quote_pairs(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """quotes: quote_id, quote; pages: page_id (unique), text. The pairs found: quote_id, page_id, exact, distance.
 
@@ -125,7 +62,8 @@ def quote_pairs(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     seeds = seed_table(quotes)
     widths = [r["width"] for r in seeds.select("width").distinct().collect()]  # 15 at most
     n = seeds.select("norm").distinct().count()
-    hits = scanned(pages, bitmap(seeds), sorted(widths))
+    # a quote that is looked up whole needs no places
+    hits = grams.scanned(pages.select("page_id", "text"), grams.bitmap(seeds), sorted(widths), match_form, lambda width: width < LEAST_FUZZY and width not in SEEDS)
     places = hits.join(small(seeds, 4 * n), "gram")
     part = F.pmod(F.xxhash64("norm"), F.lit(-(-n // GROUP) or 1))
     groups = places.groupBy("page_id", part.alias("part")).agg(F.collect_list(F.struct("norm", "place", "at")).alias("places"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 from tessera.functions.sequential import edits, match_form, nearest_window, quote_match
-from tessera.operators import quotes
+from tessera.operators import grams, quotes
 
 WORDS = "the fasting fed study dose 24 900 mL not without healthy subjects in vivo release dissolution ﬁeld “quoted” Ünder pro- tablets".split()
 
@@ -61,9 +61,9 @@ def test_nearest_window_is_the_least_edit_distance():
 
 
 def test_hashes_tell_windows_apart():
-    codes = quotes.codes_of(match_form("abcabcabd" * 50))
+    codes = grams.codes_of(match_form("abcabcabd" * 50))
     for width in (1, 3, 9):
-        h, want = quotes.window_hashes(codes, width), ["".join(map(chr, codes[i : i + width])) for i in range(len(codes) - width + 1)]
+        h, want = grams.window_hashes(codes, width), ["".join(map(chr, codes[i : i + width])) for i in range(len(codes) - width + 1)]
         assert len(set(zip(h.tolist(), want))) == len(set(want)) == len(set(h.tolist()))
 
 
