@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names, numbers, sequential, text
-from .operators import aggregates, filters, joins, merge, ranking, sets, windows
+from .operators import aggregates, filters, joins, merge, ranking, selection, sets, windows
 from .plans import corpus, detection
 from .streaming import queries as streams
 from .tables import read
@@ -439,7 +439,8 @@ def sorted_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with v as (select user_id, list_sort(list(value)) v from events group by 1)
 select user_id, v[round_even(0.5 * (len(v) - 1), 0)::int + 1] as rounded, v[floor(0.9 * (len(v) - 1))::int + 1] as truncated from v""")
 def index_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(aggregates.rounded_index("value", 0.5).alias("rounded"), aggregates.truncated_index("value", 0.9).alias("truncated"))
+    ranks = {"rounded": selection.rounded_index(0.5), "truncated": selection.truncated_index(0.9)}
+    return selection.order_statistics(read(spark, sf_dir, "events"), "value", ["user_id"], ranks)
 
 
 _SHARD = "(('0x' || substr(sha256(trim(doc_id::varchar)), 13, 4))::int % 512)::int"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percent, rate
+from . import selection
 
 
 def group_counts(rows: DataFrame, key: str, distinct: str, name: str = "documents", total: str = "chunks") -> DataFrame:
@@ -95,26 +96,16 @@ def digest(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.col(column).cast("string"))), ",")).alias("digest"))
 
 
-def nearest_rank(column: str, p: float) -> Column:
-    """The value at rank ceil(n * p); null without values."""
-    return F.expr(f"percentile_disc({p}) within group (order by {column})")
-
-
-def rounded_index(column: str, p: float) -> Column:
-    """The value at index round(p * (n - 1)), halves to even; 0 without values. For bounded groups: the values are gathered."""
-    values = F.sort_array(F.collect_list(column))
-    return F.coalesce(F.try_element_at(values, (F.bround(F.lit(p) * (F.size(values) - 1), 0) + 1).cast("int")), F.lit(0.0))
-
-
-def truncated_index(column: str, p: float) -> Column:
-    """The value at index int(p * (n - 1))."""
-    values = F.sort_array(F.collect_list(column))
-    return F.try_element_at(values, (F.floor(F.lit(p) * (F.size(values) - 1)) + 1).cast("int"))
-
-
 def distribution(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """n, n_scored, min, median and max, nulls left out of all but n."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count(value).alias("n_scored"), F.min(value).alias("min"), F.median(value).alias("median"), F.max(value).alias("max"))
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count(value).alias("n_scored"), F.min(value).alias("min"), F.max(value).alias("max"))
+    middle = selection.order_statistics(rows, value, list(keys), selection.MIDDLE)
+    return with_statistics(sums, middle, list(keys)).select(*keys, "n", "n_scored", "min", ((F.col("below") + F.col("above")) / 2).alias("median"), "max")
+
+
+def with_statistics(sums: DataFrame, statistics: DataFrame, keys: list[str]) -> DataFrame:
+    """Aggregates by keys with the order statistics of the same groups, null for groups without values."""
+    return selection.null_safe(sums, statistics, keys, "left") if keys else sums.join(F.broadcast(statistics), F.lit(True), "left")  # one row each
 
 
 def histogram(rows: DataFrame, key: str, domain: DataFrame | None = None) -> DataFrame:
@@ -186,7 +177,7 @@ def scorecard(details: DataFrame, *keys: str) -> DataFrame:
     scored = ~c("skipped") & ~c("errored")
     right = F.when(c("must_refuse"), c("withheld")).when(c("must_clarify"), c("clarified")).otherwise(~c("refused"))
     over = lambda value, rows: F.coalesce(F.sum(F.when(rows, F.coalesce(value, F.lit(0.0)))), F.lit(0.0)) / F.greatest(F.count_if(rows), F.lit(1))
-    return details.groupBy(*keys).agg(
+    sums = details.groupBy(*keys).agg(
         F.count("*").alias("n"),
         over(c("recall"), answerable).alias("recall_at_k"),
         over(c("reciprocal_rank"), answerable).alias("mrr"),
@@ -196,9 +187,9 @@ def scorecard(details: DataFrame, *keys: str) -> DataFrame:
         over(right.cast("double"), scored).alias("decision_accuracy"),
         F.count_if(c("errored")).alias("errored"),
         F.count_if(c("skipped")).alias("skipped"),
-        F.expr("percentile_disc(0.5) within group (order by latency_ms) filter (where not errored)").alias("latency_p50_ms"),
-        F.expr("percentile_disc(0.95) within group (order by latency_ms) filter (where not errored)").alias("latency_p95_ms"),
     )
+    ranks = {"latency_p50_ms": selection.nearest_rank(0.5), "latency_p95_ms": selection.nearest_rank(0.95)}
+    return with_statistics(sums, selection.order_statistics(details.filter("not errored"), "latency_ms", list(keys), ranks), list(keys))
 
 
 def by_category(details: DataFrame, category: str = "category") -> DataFrame:
@@ -241,12 +232,13 @@ def route_report(rows: DataFrame) -> DataFrame:
     a = F.col("attempted")
     n = F.count_if(a)
     agree = lambda c: rate(F.count_if(a & F.col(c)), F.count_if(a & F.col(c).isNotNull()))
-    return rows.agg(
+    sums = rows.agg(
         F.count("*").alias("total_rows"), n.alias("attempted"), rate(n - F.count_if(a & (F.col("outcome") == "success")), n).alias("failure_rate"), rate(F.count_if(a & (F.col("outcome") == "invalid")), n).alias("parse_failure_rate"),
         agree("agrees_with_mode").alias("mode_agreement"), agree("agrees_with_scope").alias("scope_agreement"),
-        F.expr("percentile_disc(0.5) within group (order by latency_ms) filter (where attempted)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by latency_ms) filter (where attempted)").alias("p95"),
         F.max(F.when(a, F.col("latency_ms"))).alias("latency_max"), F.coalesce(F.sum(F.when(a, F.col("cost_usd"))), F.lit(0.0)).alias("total_cost_usd"),
     )
+    ranks = {"p50": selection.nearest_rank(0.5), "p95": selection.nearest_rank(0.95)}
+    return with_statistics(sums, selection.order_statistics(rows.filter("attempted"), "latency_ms", [], ranks), [])
 
 
 def compare_arms(ranks: DataFrame, base: str, other: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names, numbers, sequential, text
-from .operators import aggregates, filters, joins, ranking, sets, windows
+from .operators import aggregates, filters, joins, ranking, selection, sets, windows
 from .sources import markup
 from .streaming import queries as streams
 from .tables import read
@@ -170,7 +170,9 @@ def named_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(aggregates.nearest_rank("value", 0.5).alias("p50"), aggregates.nearest_rank("value", 0.95).alias("p95"), _r(F.median("value")).alias("median"), F.max("value").alias("largest"))
+    ranks = {"p50": selection.nearest_rank(0.5), "p95": selection.nearest_rank(0.95), **selection.MIDDLE}
+    found = aggregates.with_statistics(e.groupBy("event_type").agg(F.max("value").alias("largest")), selection.order_statistics(e, "value", ["event_type"], ranks), ["event_type"])
+    return found.select("event_type", "p50", "p95", _r((F.col("below") + F.col("above")) / 2).alias("median"), "largest")
 
 
 def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
