@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import containment, joins, quotes
+from .operators import containment, joins, patience, quotes
 from .tables import read
 
 
@@ -82,14 +82,53 @@ k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY ratio DESC,
 SELECT * FROM k WHERE rank <= 3
 """
 
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an old version, and it with every ninth line gone, every ninth changed, every ninth repeated and some moved to the end."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
+    what = lambda i: (i * 7 + F.col("pair_id")) % 9
+    changed = F.flatten(F.transform("l", lambda x, i: F.when(what(i) == 0, F.array().cast("array<string>")).when(what(i) == 1, F.array(F.concat(x, F.lit(" anew")))).when(what(i) == 2, F.array(x, x)).when(what(i) == 3, F.array().cast("array<string>")).otherwise(F.array(x))))
+    moved = F.filter("l", lambda x, i: what(i) == 3)
+    return docs.select("pair_id", F.array(F.array_join("l", "\n")).alias("old"), F.array(F.array_join(changed, "\n"), F.array_join(moved, "\n")).alias("new"))
+
+
+def page_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of every document's two versions: kinds, lines, and the packet within its budgets."""
+    h = patience.hunks(_versions(spark, sf_dir))
+    sums = h.groupBy("pair_id").agg(F.count("*").alias("hunks"), F.count_if(F.col("kind") == "replace").alias("replaced"), F.sum(F.size("removed")).alias("removed"), F.sum(F.size("added")).alias("added"))
+    return sums.join(patience.packets(h).select("pair_id", F.md5("packet").alias("packet_md5"), F.length("packet").alias("packet_chars")), "pair_id")
+
+
+def diff_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that stand once in each of a document's two versions."""
+    table = patience.line_table(_versions(spark, sf_dir))
+    return patience.unique_on_both(table, "pair_id").select(F.col("pair_id").alias("doc_id"), "a", "b")
+
+
+DIFF_ANCHORS_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS i FROM d),
+w AS (SELECT *, (i * 7 + doc_id) % 9 AS what FROM e),
+v AS (
+  SELECT doc_id, 'a' AS side, 0 AS part, i, 0 AS k, x FROM w
+  UNION ALL SELECT doc_id, 'b', 0, i, k, CASE what WHEN 1 THEN x || ' anew' ELSE x END FROM w, (VALUES (0), (1)) r(k) WHERE what NOT IN (0, 3) AND (k = 0 OR what = 2)
+  UNION ALL SELECT doc_id, 'b', 1, i, 0, x FROM w WHERE what = 3),
+s AS (SELECT doc_id, side, part, i, k, unnest(range(0, len(parts))) AS j, unnest(parts) AS y FROM (SELECT *, regexp_split_to_array(x, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS parts FROM v)),
+t AS (SELECT *, lower(trim(regexp_replace(y, '[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS key FROM s),
+n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, side ORDER BY part, i, k, j) - 1)::INTEGER AS no FROM t WHERE key <> '')
+SELECT doc_id, min(no) FILTER (side = 'a') AS a, min(no) FILTER (side = 'b') AS b FROM n GROUP BY doc_id, key HAVING count(*) FILTER (side = 'a') = 1 AND count(*) FILTER (side = 'b') = 1
+"""
+
 QUERIES = {
     "quote_match_fuzzy": quote_match_fuzzy,
     "name_containment": name_containment,
     "application_search": application_search,
     "word_suggestions": word_suggestions,
+    "page_diffs": page_diffs,
+    "diff_anchors": diff_anchors,
 }
 SQL = {
     "name_containment": NAME_CONTAINMENT_SQL,
     "application_search": APPLICATION_SEARCH_SQL,
     "word_suggestions": WORD_SUGGESTIONS_SQL,
+    "diff_anchors": DIFF_ANCHORS_SQL,
 }
