@@ -9,8 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ListState, StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.merge import inserted
 
@@ -42,7 +41,7 @@ def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "
     return n.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def allowed_calls(times: list[float], recent: list[float], limit: int, window: float) -> tuple[list[bool], list[float]]:
+def allowed_calls(times: list[int], recent: list[int], limit: int, window: int) -> tuple[list[bool], list[int]]:
     """Which calls a limiter admits: fewer than limit admitted ones in the window before; denied calls aren't recorded; a limit
     of 0 or less admits all."""
     out = []
@@ -58,33 +57,79 @@ def allowed_calls(times: list[float], recent: list[float], limit: int, window: f
 LIMITED = "event_id long, allowed boolean"
 
 
-def rate_limited(events: DataFrame, key: str, limit: int, seconds: float = 60.0, stamp: str = "ts", id_: str = "event_id", late: str = "1 hour") -> DataFrame:
-    """Exact limiter: on a stream the admitted times are state per key, dropped once the watermark (late behind) has passed their
-    window; on a table they are carried through the key's rows."""
-    rows = stamped(events, stamp).select(key, stamp, id_)
+def _micros(stamps: pd.Series) -> list[int]:
+    return stamps.astype("datetime64[us]").astype("int64").tolist()
+
+
+class Limiter(StatefulProcessor):
+    """Admitted times of a key as list state, and, where decisions wait for the watermark, the calls that it hasn't passed.
+
+    A timer drops what no later call can depend on; expired keys leave nothing behind."""
+
+    def __init__(self, limit: int, seconds: float, wait: bool):
+        self.limit, self.window, self.wait = limit, round(seconds * 1_000_000), wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recent = handle.getListState("recent", "t long")
+        self.pending = handle.getListState("pending", "t long, id long")
+
+    def _decided(self, calls: list[tuple[int, int]]) -> Iterator[pd.DataFrame]:
+        calls.sort()
+        recent = [t for (t,) in self.recent.get()]
+        ok, recent = allowed_calls([t for t, _ in calls], recent, self.limit, self.window)
+        self._keep(self.recent, [(t,) for t in recent])
+        yield pd.DataFrame({"event_id": [i for _, i in calls], "allowed": ok})
+
+    def _keep(self, state: ListState, rows: list[tuple]) -> None:
+        state.put(rows) if rows else state.clear()
+
+    def _wake(self, micros: int, watermark: int) -> None:
+        self.handle.registerTimer(max(micros // 1000, watermark) + 1)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark, calls = timerValues.getCurrentWatermarkInMs(), []
+        for pdf in rows:
+            calls += zip(_micros(pdf["call_at"]), pdf["call_id"].tolist())
+        if self.wait:
+            self.pending.appendList(calls)
+            self._wake(min(calls)[0], watermark)
+            return
+        self._wake(max(calls)[0] + self.window, watermark)
+        yield from self._decided(calls)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if self.wait:
+            calls = [tuple(r) for r in self.pending.get()]
+            due, later = [c for c in calls if c[0] < watermark * 1000], [c for c in calls if c[0] >= watermark * 1000]
+            self._keep(self.pending, later)
+            if later:
+                self._wake(min(later)[0], watermark)
+            if due:
+                self._wake(max(due)[0] + self.window, watermark)
+                yield from self._decided(due)
+                return
+        self._keep(self.recent, [(t,) for (t,) in self.recent.get() if t + self.window > watermark * 1000])
+
+
+def rate_limited(events: DataFrame, key: str, limit: int, seconds: float = 60.0, stamp: str = "ts", id_: str = "event_id", late: str = "1 hour", wait: bool = False) -> DataFrame:
+    """event_id, allowed: an exact limiter. On a table the admitted times are carried through the key's rows in order of stamp, then id.
+
+    On a stream they are state per key (RocksDB state store). A call is decided when it arrives, among the calls that came
+    before; with wait, when the watermark (late behind) has passed it: then rows that came out of order are decided in
+    order, as on a table, and rows later than the watermark are left out."""
+    rows = stamped(events, stamp)
     if not events.isStreaming:
 
         def once(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values([stamp, id_])
-            ok, _ = allowed_calls([t.timestamp() for t in pdf[stamp]], [], limit, seconds)
+            ok, _ = allowed_calls(_micros(pdf[stamp]), [], limit, round(seconds * 1_000_000))
             return pd.DataFrame({"event_id": pdf[id_], "allowed": ok})
 
-        return rows.groupBy(key).applyInPandas(once, LIMITED)
-
-    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(frames).sort_values([stamp, id_])
-        ok, recent = allowed_calls([t.timestamp() for t in pdf[stamp]], recent, limit, seconds)
-        state.update((recent,))
-        state.setTimeoutTimestamp(max(int((pdf[stamp].iloc[-1].timestamp() + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"event_id": pdf[id_], "allowed": ok})
-
-    out = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("allowed", T.BooleanType())])
-    kept = T.StructType([T.StructField("recent", T.ArrayType(T.DoubleType()))])
-    return rows.withWatermark(stamp, late).groupBy(key).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+        return rows.select(key, stamp, id_).groupBy(key).applyInPandas(once, LIMITED)
+    rows = rows.select(F.col(key), F.col(stamp).alias("call_at"), F.col(id_).alias("call_id")).withWatermark("call_at", late)
+    return rows.groupBy(key).transformWithStateInPandas(Limiter(limit, seconds, wait), LIMITED, "append", "EventTime")
 
 
 def deduplicated(events: DataFrame, keys: list[str], late: str = "1 hour", stamp: str = "ts") -> DataFrame:
