@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import registered
 from .operators import containment, joins, patience, quotes
 from .tables import read
 
@@ -118,6 +119,37 @@ n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, side ORDER BY part, i,
 SELECT doc_id, min(no) FILTER (side = 'a') AS a, min(no) FILTER (side = 'b') AS b FROM n GROUP BY doc_id, key HAVING count(*) FILTER (side = 'a') = 1 AND count(*) FILTER (side = 'b') = 1
 """
 
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL-language functions in a SQL query over parts and their neighbours."""
+    registered.register(spark)
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    return spark.sql(
+        """SELECT p_partkey, canonical_name(concat(p_name, '; ', p_type, ' Sodium (', p_brand, ')')) AS canonical, stripped_name(concat(p_name, ' and ', p_type, ' sodium')) AS stripped,
+        app_no(concat(CASE p_partkey % 4 WHEN 0 THEN 'NDA ' WHEN 1 THEN 'a-' WHEN 2 THEN '' ELSE 'x' END, p_partkey)) AS app_no, shard_id(CAST(p_partkey AS STRING), 64) AS shard,
+        round(jaccard(token_set(p_name), token_set(concat(p_type, ' ', p_name))), 9) AS jaccard, round(cosine_score(array(1D, p_partkey), array(p_partkey, 1D)), 9) AS score FROM {rows}""",
+        rows=rows,
+    )
+
+
+SQL_FUNCTIONS_SQL = """
+SELECT p_partkey,
+  array_to_string(list_sort([lower(trim(p_name)), lower(trim(p_type)) || ' sodium']), '; ') AS canonical,
+  array_to_string(list_sort([lower(trim(p_name)), lower(trim(p_type))]), '; ') AS stripped,
+  CASE p_partkey % 4 WHEN 0 THEN 'NDA' WHEN 1 THEN 'ANDA' ELSE '' END || lpad(p_partkey::VARCHAR, 6, '0') AS app_no,
+  (('0x' || substr(sha256(p_partkey::VARCHAR), 13, 4))::INT % 64)::INT AS shard,
+  round(len(list_distinct(string_split(lower(p_name), ' '))) / len(list_distinct(string_split(lower(p_type || ' ' || p_name), ' '))), 9) AS jaccard,
+  round(greatest(0, least(1, 1 - (1 - 2.0::DOUBLE * p_partkey / (1 + p_partkey::DOUBLE * p_partkey)) / 2)), 9) AS score
+FROM part
+"""
+
+
+def sql_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a table argument of chunk_document: its chunks counted and measured."""
+    registered.register(spark)
+    pages = read(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    return spark.sql("SELECT doc_id, count(*) AS chunks, max(ordinal) + 1 AS numbered, sum(length(text)) AS chars, max(length(text)) AS longest FROM chunk_document(TABLE({pages})) GROUP BY doc_id", pages=pages)
+
+
 QUERIES = {
     "quote_match_fuzzy": quote_match_fuzzy,
     "name_containment": name_containment,
@@ -125,10 +157,13 @@ QUERIES = {
     "word_suggestions": word_suggestions,
     "page_diffs": page_diffs,
     "diff_anchors": diff_anchors,
+    "sql_functions": sql_functions,
+    "sql_chunks": sql_chunks,
 }
 SQL = {
     "name_containment": NAME_CONTAINMENT_SQL,
     "application_search": APPLICATION_SEARCH_SQL,
     "word_suggestions": WORD_SUGGESTIONS_SQL,
     "diff_anchors": DIFF_ANCHORS_SQL,
+    "sql_functions": SQL_FUNCTIONS_SQL,
 }

@@ -127,6 +127,31 @@ def windows(body: str, size: int = WINDOW, overlap: int = OVERLAP) -> list[str]:
     return [*out, body[at:]]
 
 
+_HEADER = re.compile(HEADER.removeprefix("(?mdU)"), re.MULTILINE)
+
+
+def page_chunks(text: str | None, path: str | None) -> tuple[list[tuple[str | None, str]], str | None]:
+    """((path, text) of one page's chunks, the path that goes on) after pages that left path: chunks() for pages that come one by one."""
+    if not (text or "").strip():
+        return [], path
+    marks = list(_HEADER.finditer(text))
+    starts = [0, *(m.start() for m in marks), len(text)]
+    own = [None, *(f"{m[1].rstrip('.')} {m[2].strip()}"[:PATH] for m in marks)]
+    parts = [(p, body.strip()) for p, a, b in zip(own, starts, starts[1:]) if (body := text[a:b]).strip()] if marks else [(None, text)]
+    joined: list[tuple[str | None, str]] = []
+    held = None
+    for p, body in ((p or path, body) for p, body in parts):
+        if held:
+            spoken = held[0] is not None and len(held[1].partition("\n")[2].strip()) >= CARRIED
+            p, body = held[0] if spoken or p is None else p, f"{held[1]}\n{body}"
+        held = (p, body) if len(body) < SMALL else None
+        if not held:
+            joined.append((p, body))
+    if held:
+        joined[-1:] = [(joined[-1][0], f"{joined[-1][1]}\n{held[1]}")] if joined else [held]
+    return [(p, w.strip()) for p, body in joined for w in windows(body) if w.strip()], parts[-1][0] or path
+
+
 def chunks(pages: Column, strip: bool = False) -> Column:
     """array<struct<page, section_path, text>> of an array of pages. A section's path goes on over page breaks, a chunk never
     does; blank pages and null pages hold nothing."""
