@@ -12,6 +12,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, Par
 
 from . import sequential
 from .names import APPLICATION_TYPES, ONE_LETTER, SALTS, SEPARATOR
+from .text import ABBREVIATIONS
 
 
 def _quoted(text: str) -> str:
@@ -25,6 +26,7 @@ _SALT_FREE = f"array_join(filter(split({_PLAIN}, ' '), t -> t <> '' AND NOT arra
 _KIND = f"regexp_extract(upper(regexp_replace(raw, '[^A-Za-z0-9]', '')), '^({'|'.join(APPLICATION_TYPES)}|[{''.join(ONE_LETTER)}])0*([0-9]{{1,6}})$', "
 _DIGITS = "regexp_replace(raw, '[^0-9]', '')"
 _LONG = " ".join(f"WHEN '{letter}' THEN '{name}'" for letter, name in ONE_LETTER.items())
+_WORD = r"lower(regexp_extract(try_element_at(a, -1), '([A-Za-z][A-Za-z.]*)\\.$', 1))"
 
 #: Name, parameters, type and body of the SQL-language functions.
 SQL_FUNCTIONS = {
@@ -36,6 +38,12 @@ SQL_FUNCTIONS = {
         f"WHEN {_DIGITS} = '' OR length(ltrim('0', {_DIGITS})) > 6 THEN NULL WHEN length({_DIGITS}) < 6 THEN lpad({_DIGITS}, 6, '0') ELSE {_DIGITS} END",
     ),
     "token_set": ("body STRING", "ARRAY<STRING>", r"filter(array_distinct(split(lower(coalesce(body, '')), '(?U)[^\\p{L}\\p{N}]+')), t -> t <> '')"),
+    "split_sentences": (
+        "body STRING", "ARRAY<STRING>",
+        rf"aggregate(filter(split(coalesce(body, ''), '(?U)(?<=[.!?])\\s+'), p -> p RLIKE '(?U)\\S'), CAST(array() AS ARRAY<STRING>), (a, b) -> CASE WHEN coalesce(CASE {_WORD} "
+        rf"WHEN 'ph' THEN startswith(lower(ltrim(b)), 'eur') ELSE contains({_WORD}, '.') OR array_contains(array({', '.join(map(_quoted, ABBREVIATIONS))}), {_WORD}) END, false) "
+        r"THEN concat(slice(a, 1, size(a) - 1), array(concat_ws(' ', element_at(a, -1), b))) ELSE concat(a, array(b)) END)",
+    ),
     "jaccard": ("a ARRAY<STRING>, b ARRAY<STRING>", "DOUBLE", "CASE WHEN size(a) = 0 OR size(b) = 0 THEN 0D ELSE size(array_intersect(a, b)) / size(array_union(a, b)) END"),
     "shard_id": ("id STRING, shards INT", "INT", "CAST(conv(substring(sha2(trim(id), 256), 13, 4), 16, 10) AS INT) % shards"),
     "cosine_score": (

@@ -147,6 +147,26 @@ def marker_numbers(c: Column, most: Column) -> Column:
     return F.transform(F.filter(F.array_distinct(found), lambda n: (n >= 1) & (n <= most)), lambda n: n - 1)
 
 
+#: Abbreviations that don't end a sentence.
+ABBREVIATIONS = ("e.g", "i.e", "cf", "vs", "approx", "no", "fig", "figs", "sec", "secs", "tbl", "ref", "refs", "eq", "ca", "dr", "mr", "mrs", "ms", "prof")
+
+
+def sentences(c: Column) -> Column:
+    """array<string>: text cut behind stops, and joined again where the stop was an abbreviation's. Null has none."""
+    parts = F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)(?<=[.!?])\s+"), lambda p: p.rlike(r"(?U)\S"))
+    joins = lambda a, b: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat_ws(" ", F.element_at(a, -1), b)))
+
+    def goes_on(left: Column, right: Column) -> Column:
+        word = F.lower(F.regexp_extract(left, r"([A-Za-z][A-Za-z.]*)\.$", 1))
+        # "Ph. Eur." goes on, "... at this pH." doesn't
+        return F.when(word == "ph", F.lower(F.ltrim(right)).startswith("eur")).otherwise(F.contains(word, F.lit(".")) | word.isin(*ABBREVIATIONS))
+
+    def step(a: Column, b: Column) -> Column:
+        return F.when(F.coalesce(goes_on(F.try_element_at(a, F.lit(-1)), b), F.lit(False)), joins(a, b)).otherwise(F.concat(a, F.array(b)))
+
+    return F.aggregate(parts, F.array().cast("array<string>"), step)
+
+
 def json_part(c: Column) -> Column:
     """The JSON inside noisy text: a fenced block, else from the first brace (or bracket) to the last, else all."""
     text = F.trim(c)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import variants
 from ..functions.numbers import percent, rate
 from . import selection
 
@@ -116,7 +117,7 @@ def histogram(rows: DataFrame, key: str, domain: DataFrame | None = None) -> Dat
 
 def counters(log: DataFrame, payload: str, path: str, *keys: str) -> DataFrame:
     """Counts by keys and a JSON path of the payload."""
-    return log.groupBy(*keys, F.get_json_object(payload, path).alias("value")).agg(F.count("*").alias("n"))
+    return log.groupBy(*keys, variants.at(variants.parsed(F.col(payload)), path).alias("value")).agg(F.count("*").alias("n"))
 
 
 def named_counters(log: DataFrame, **conditions: Column) -> DataFrame:

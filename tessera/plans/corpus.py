@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import names, sequential
+from ..functions import names, sequential, variants
 from ..functions.numbers import content_hash, fingerprint, shard
 from ..operators import aggregates, joins, merge, sets, windows
 from . import chunking
@@ -253,7 +253,7 @@ def checklist(requirements: DataFrame) -> DataFrame:
 
 def unpivoted(requirements: DataFrame, labels: DataFrame, payload: str = "fields_json") -> DataFrame:
     """doc_id, field, label, value of a JSON object's fields; blanks and fields without a label are left out."""
-    each = requirements.select("doc_id", F.explode(F.from_json(payload, "map<string,string>")).alias("field", "value"))
+    each = variants.fields(requirements.select("doc_id", variants.parsed(F.col(payload)).alias("_v")), "_v").select("doc_id", F.col("key").alias("field"), variants.at(F.col("value"), "$").alias("value"))
     return each.filter("trim(value) <> ''").join(labels, "field").select("doc_id", "field", "label", "value")
 
 

@@ -245,8 +245,7 @@ def graph_follows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sequential.udfs()["sentences"]
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(s("text")).alias("sentence"))
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(text.sentences(F.col("text"))).alias("sentence"))
     return c.groupBy("conv_id", "turn").agg(F.count("*").alias("sentences"), F.max(F.length("sentence")).alias("longest"))
 
 
@@ -276,8 +275,14 @@ def app_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unpivot_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of parts as JSON objects, some of them malformed, through the operator that reads requirements."""
+    from .plans import corpus
+
     p = read(spark, sf_dir, "part")
-    return p.unpivot("p_partkey", ["p_name", "p_brand", "p_type"], "field", "value").filter("value <> ''")
+    payload = F.to_json(F.struct("p_name", "p_brand", "p_type", F.lit(" ").alias("blank"), F.lit("x").alias("unlabelled")))
+    rows = p.select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_partkey") % 10 == 9, F.concat(F.lit("x"), payload)).otherwise(payload).alias("fields_json"))
+    labels = spark.createDataFrame([(f, f.removeprefix("p_").title()) for f in ("p_name", "p_brand", "p_type", "blank")], "field string, label string")
+    return corpus.unpivoted(rows, labels).select(F.col("doc_id").alias("p_partkey"), "field", "label", "value")
 
 
 def entity_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,6 +407,16 @@ _DISTANCE = "1 - list_cosine_similarity(embedding::double[], (select embedding::
 _SCORE = "round(greatest(least(1 - d / 2, 1), 0), 6) as score"
 _STRIPPED = f"list_transform({_PLAIN_SQL}, lambda p: array_to_string(list_filter(string_split(p, ' '), lambda w: w not in ('sodium', 'hydrochloride', 'sulfate')), ' '))"
 
+SENTENCES_SQL = r"""
+with p as (select conv_id, turn, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '\S')) as ps from conversations),
+e as (select conv_id, turn, unnest(range(1, len(ps) + 1)) as i, ps from p),
+w as (select conv_id, turn, i, ps[i] as s, lower(regexp_extract(ps[i - 1], '([A-Za-z][A-Za-z.]*)\.$', 1)) as w from e),
+c as (select *, i > 1 and case when w = 'ph' then starts_with(lower(s), 'eur') else contains(w, '.') or w in
+  ('e.g', 'i.e', 'cf', 'vs', 'approx', 'no', 'fig', 'figs', 'sec', 'secs', 'tbl', 'ref', 'refs', 'eq', 'ca', 'dr', 'mr', 'mrs', 'ms', 'prof') end as goes_on from w),
+g as (select *, sum(case when goes_on then 0 else 1 end) over (partition by conv_id, turn order by i) as g from c),
+n as (select conv_id, turn, g, sum(len(s)) + count(*) - 1 as chars from g group by 1, 2, 3)
+select conv_id, turn, count(*) as sentences, max(chars)::int as longest from n group by 1, 2"""
+
 #: Queries without SQL here are sequential algorithms; tests hold them against plain Python.
 SQL = {
     "vector_topk_exact": f"select vec_id, round(d, 6) as distance, {_SCORE} from (select vec_id, {_DISTANCE} d from embeddings) order by d, vec_id limit 8",
@@ -432,7 +447,8 @@ SQL = {
     "canonical_names": f"select p_partkey, array_to_string(list_sort({_PLAIN_SQL}), '; ') as canonical from ({_SALTED_SQL})",
     "stripped_names": f"select p_partkey, array_to_string(list_sort({_STRIPPED}), '; ') as stripped from ({_SALTED_SQL})",
     "app_numbers": "select s_suppkey, ['NDA', 'ANDA', 'BLA', ''][(s_suppkey % 4 + 1)::int] || lpad(s_suppkey::varchar, 6, '0') as number from supplier",
-    "unpivot_fields": "select p_partkey, field, value from (unpivot (select p_partkey, p_name, p_brand, p_type from part) on p_name, p_brand, p_type into name field value value) where value <> ''",
+    "sentence_stats": SENTENCES_SQL,
+    "unpivot_fields": "select p_partkey, field, upper(field[3]) || field[4:] as label, value from (unpivot (select p_partkey, p_name, p_brand, p_type from part) on p_name, p_brand, p_type into name field value value) where value <> '' and p_partkey % 10 <> 9",
     "entity_cascade": CASCADE_SQL,
     "redundancy_max": REDUNDANCY_SQL,
     "repeated_lines": "select md5(line) as line_md5, count(*) as documents from (select distinct doc_id, unnest(string_split(text, chr(10))) as line from documents) where line <> '' group by line having count(*) > 1",

@@ -115,6 +115,6 @@ def test_limiter_as_a_stream(spark, tmp_path):
 
 
 def test_registered_functions(spark):
-    assert {"quote_match", "sentences", "markdown_rows"} <= set(registered.register(spark))
-    assert spark.sql("select token_sort_ratio('a b', 'b a') r, quote_match('two words', 'has two  words here').exact e, size(sentences('One. Two.')) n").first() == (100.0, True, 2)
+    assert {"quote_match", "split_sentences", "markdown_rows"} <= set(registered.register(spark))
+    assert spark.sql("select token_sort_ratio('a b', 'b a') r, quote_match('two words', 'has two  words here').exact e, size(split_sentences('One. Two.')) n").first() == (100.0, True, 2)
     assert [tuple(r) for r in spark.sql("select kind, text from markdown_rows('# Head\n- one\n- two')").collect()] == [("heading", "Head"), ("bullet", "one"), ("bullet", "two")]
