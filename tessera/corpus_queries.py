@@ -66,9 +66,9 @@ def delete_other_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id from documents where lang = 'en' and source is not null and n_chars % 3 = 0 and n_chars < 3000")
 def filter_dsl(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
-    known = [r[0] for r in d.select("source").filter("source is not null").distinct().orderBy("source").limit(1000).collect()]  # sources are few
-    where = {"$and": [{"lang": {"$eq": "en"}}, filters.without_blanks({"source": known, "lang": "", "n_chars": None})], "n_chars": {"$in": [*range(0, 1500, 3), *map(str, range(1500, 3000, 3)), True, "x"]}}
-    return d.filter(filters.compile_filter(where, {"lang": "text", "source": "text", "n_chars": "int"})).select("doc_id")
+    where = {"$and": [{"lang": {"$eq": "en"}}, filters.without_blanks({"lang": "en", "source": [], "n_chars": None})], "n_chars": {"$in": [*range(0, 1500, 3), *map(str, range(1500, 3000, 3)), True, "x"]}}
+    kept = d.filter(filters.compile_filter(where, {"lang": "text", "source": "text", "n_chars": "int"}))
+    return filters.in_stored(kept, "source", d.select("source")).select("doc_id")
 
 
 @query("select doc_id, source as stored from documents where source is not null")

@@ -25,10 +25,10 @@ def violations(rows: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     return rows.agg(F.count_if(F.col(column).isNull() | ~F.col(column).isin(*allowed)).alias("violations"))
 
 
-def coverage(rows: DataFrame, done: DataFrame, key: str, bad: int = 0) -> DataFrame:
-    """expected, embedded, pending, percent and complete: one join, one aggregation, both sides under rows' own filter."""
-    joined = rows.select(key).join(done.select(key, F.lit(1).alias("_d")).distinct(), key, "left")
-    out = joined.agg(F.count("*").alias("expected"), F.count("_d").alias("embedded")).withColumn("pending", F.greatest(F.col("expected") - F.col("embedded"), F.lit(0)))
+def coverage(rows: DataFrame, done: DataFrame, key: str, *by: str, bad: int = 0) -> DataFrame:
+    """expected, embedded, pending, percent and complete, over all or by groups: one join, one aggregation, both sides under rows' own filter."""
+    joined = rows.select(key, *by).join(done.select(key, F.lit(1).alias("_d")).distinct(), key, "left")
+    out = joined.groupBy(*by).agg(F.count("*").alias("expected"), F.count("_d").alias("embedded")).withColumn("pending", F.greatest(F.col("expected") - F.col("embedded"), F.lit(0)))
     return out.withColumns({"percent": percent(F.col("embedded"), F.col("expected")), "complete": (F.col("expected") > 0) & (F.col("pending") == 0) & F.lit(bad == 0)})
 
 
@@ -92,9 +92,10 @@ def manifest_readiness(shards: DataFrame, most_issues: int = 100) -> DataFrame:
     return shards.agg(*sums, F.slice(F.array_sort(F.flatten(F.collect_list("issues"))), 1, most_issues).alias("issues")).withColumn("ready", (F.size("issues") == 0) & (F.col("expected") > 0))
 
 
-def digest(rows: DataFrame, column: str) -> DataFrame:
-    """md5 of all values in byte order, joined by commas: the identity of a (bounded) set of ids."""
-    return rows.agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.col(column).cast("string"))), ",")).alias("digest"))
+def digest(rows: DataFrame, column: str, *by: str) -> DataFrame:
+    """md5 of all values in byte order, joined by commas: the identity of a bounded set of ids, or of each of the groups that they are dealt
+    to. Without groups it is the digest of a whole set, which one task holds; a large set takes groups (shards) and their digests."""
+    return rows.groupBy(*by).agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.col(column).cast("string"))), ",")).alias("digest"))
 
 
 def distribution(rows: DataFrame, value: str, *keys: str) -> DataFrame:

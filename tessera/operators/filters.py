@@ -76,6 +76,11 @@ def stored_casing(values: DataFrame, column: str, wanted: DataFrame) -> DataFram
     return wanted.join(one, F.lower(F.col("value")) == F.col("_key"), "left").select(*wanted.columns, F.coalesce("_one", "value").alias("stored"))
 
 
+def in_stored(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """rows whose value is one of those stored in values (one column): $in for lists of any length, as a semi-join."""
+    return rows.join(values.toDF("_in").filter("_in is not null").distinct(), F.col(column) == F.col("_in"), "left_semi")
+
+
 def in_namespaces(column: str, allowed: Iterable[str], or_null: bool = True) -> Column:
     inside = F.col(column).isin(*allowed)
     return inside | F.col(column).isNull() if or_null else inside

@@ -4,7 +4,7 @@ Each applies an operator to whole tables that stand in for the corpus's own ones
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names, numbers, sequential, text
@@ -90,9 +90,7 @@ select count(*) as n, round(avg(case when first_rank is null then 0.0 else 1.0 e
 
 
 def coverage_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("_d")).distinct()
-    n = docs.select("doc_id", "source").join(labels, "doc_id", "left").groupBy("source").agg(F.count("*").alias("expected"), F.count("_d").alias("embedded"))
-    return n.select("source", "expected", "embedded", (F.col("expected") - F.col("embedded")).alias("pending"), numbers.percent(F.col("embedded"), F.col("expected")).alias("percent"))
+    return aggregates.coverage(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "doc_id", "source").drop("complete")
 
 
 def coverage_total(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +147,7 @@ def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One digest per shard, so that no task gathers all ids."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"))
     d = d.withColumn("shard", numbers.shard(F.col("id")))
-    return d.groupBy("shard").agg(F.md5(F.array_join(F.array_sort(F.collect_list("id")), ",")).alias("digest"))
+    return aggregates.digest(d, "id", "shard")
 
 
 def _shard_sql(c: str) -> str:
@@ -323,17 +321,17 @@ case when p_partkey % 2 = 0 then 'canonical' else 'stripped' end as rationale fr
 
 
 def redundancy_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The content words that a turn shares with the turn before it."""
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", text.content_tokens(F.col("text")).alias("t"))
-    j = c.withColumn("_b", F.lag("t").over(Window.partitionBy("conv_id").orderBy("turn")))
-    return j.filter("_b is not null").groupBy("conv_id").agg(_r(F.max(text.jaccard(F.col("t"), F.col("_b")))).alias("redundancy"))
+    """The largest overlap of two turns of a conversation."""
+    from .plans import retrieval
+
+    return retrieval.redundancy(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn").withColumn("redundancy", _r("redundancy"))
 
 
 REDUNDANCY_SQL = """
 with w as (select conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: length(x) > 2)) t from conversations),
-p as (select *, lag(t) over (partition by conv_id order by turn) b from w)
-select conv_id, round(max(case when len(t) = 0 or len(b) = 0 then 0.0 else len(list_intersect(t, b)) / (len(t) + len(b) - len(list_intersect(t, b))) end), 6) as redundancy
-from p where b is not null group by conv_id"""
+p as (select a.conv_id, case when len(a.t) = 0 or len(b.t) = 0 then 0.0 else len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) end as j
+  from w a join w b on a.conv_id = b.conv_id and a.turn < b.turn)
+select conv_id, round(coalesce(max(j), 0.0), 6) as redundancy, coalesce(max(j), 0.0) >= 0.6 as redundant from (select distinct conv_id from conversations) left join p using (conv_id) group by conv_id"""
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
