@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, sequential, variants
 from ..functions.numbers import content_hash, fingerprint, shard
-from ..operators import aggregates, joins, merge, sets, windows
+from ..operators import aggregates, joins, merge, publish, sets, windows
 from . import chunking
 
 #: Application types of the one-letter column.
@@ -151,6 +151,17 @@ def finalised(shards: DataFrame, active: DataFrame, manifest: DataFrame) -> tupl
     return aggregates.manifest_readiness(shards), sets.retired(active, manifest, "canonical_id")
 
 
+def published_manifest(table: publish.Table, shards: DataFrame, active: DataFrame, manifest: DataFrame, run: dict) -> tuple[bool, int | None]:
+    """Finalises a manifest once: where all shards are ready, publishes it less what is to retire, with run and its counts as the version's
+    run row. Returns whether they were ready, and the version; the same manifest again makes no version."""
+    readiness, gone = finalised(shards, active, manifest)
+    state = readiness.first()
+    if not state["ready"]:
+        return False, None
+    counts = {c: state[c] for c in ("expected", "chunked", "terminal", "embedded_documents", "chunks", "embedded_chunks")} | {"retired": gone.count()}
+    return True, table.publish(lambda _: manifest, run | counts)
+
+
 def lifecycle_backfill(versions: DataFrame, chunks: DataFrame, embedded: DataFrame, states: DataFrame) -> DataFrame:
     """Embedding states of all versions upserted over the stored ones."""
     return merge.upserted(states, embedding_states(versions, chunks, embedded), ["version_id"])
