@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import registered
-from .operators import containment, joins, patience, quotes
+from .operators import containment, joins, patience, quotes, ranking
+from .queries import TOPK_BATCH_SQL
 from .tables import read
 
 
@@ -150,6 +151,24 @@ def sql_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT doc_id, count(*) AS chunks, max(ordinal) + 1 AS numbered, sum(length(text)) AS chars, max(length(text)) AS longest FROM chunk_document(TABLE({pages})) GROUP BY doc_id", pages=pages)
 
 
+def _embedding_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = read(spark, sf_dir, "embeddings")
+    return rows, rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def vector_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted file with all cells probed: exact."""
+    rows, asked = _embedding_queries(spark, sf_dir)
+    found = ranking.approximate(rows, asked, 8, "vec_id", probes=2**31 - 1)
+    return found.select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def vector_topk_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted file at a recall of 0.95."""
+    rows, asked = _embedding_queries(spark, sf_dir)
+    return ranking.approximate(rows, asked, 8, "vec_id")
+
+
 QUERIES = {
     "quote_match_fuzzy": quote_match_fuzzy,
     "name_containment": name_containment,
@@ -159,6 +178,8 @@ QUERIES = {
     "diff_anchors": diff_anchors,
     "sql_functions": sql_functions,
     "sql_chunks": sql_chunks,
+    "vector_topk_cells": vector_topk_cells,
+    "vector_topk_probed": vector_topk_probed,
 }
 SQL = {
     "name_containment": NAME_CONTAINMENT_SQL,
@@ -166,4 +187,5 @@ SQL = {
     "word_suggestions": WORD_SUGGESTIONS_SQL,
     "diff_anchors": DIFF_ANCHORS_SQL,
     "sql_functions": SQL_FUNCTIONS_SQL,
+    "vector_topk_cells": TOPK_BATCH_SQL,
 }

@@ -10,6 +10,7 @@ from ..functions import names
 from ..functions.numbers import cosine_distance, score
 from ..functions.sequential import mmr
 from ..tables import small
+from . import cells
 
 
 def top_k(rows: DataFrame, query: list[float], k: int, where: Column | None = None, id_: str = "chunk_id", vector: str = "embedding") -> DataFrame:
@@ -33,23 +34,12 @@ def top_k_each(rows: DataFrame, queries: DataFrame, k: int, id_: str = "chunk_id
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", id_, "rank", "distance", score(F.col("distance")).alias("score"))
 
 
-def approximate_candidates(rows: DataFrame, queries: DataFrame, k: int, id_: str = "chunk_id", vector: str = "embedding", planes: int = 8, seed: int = 7) -> DataFrame:
-    """max(4 k, 50) candidates per query from equal signs of random hyperplanes, then ranked exactly. Off unless asked for."""
-    import numpy as np
-
-    dim = queries.select(F.size("query")).first()[0]
-    normals = np.random.default_rng(seed).standard_normal((planes, dim)).tolist()
-
-    def key(v: Column) -> Column:
-        from ..functions.numbers import dot
-
-        return F.concat(*(F.when(dot(v, F.array(*map(F.lit, p))) > 0, "1").otherwise("0") for p in normals))
-
-    met = rows.withColumn("_b", key(F.col(vector))).join(queries.withColumn("_b", key(F.col("query"))), "_b")
-    met = met.withColumn("distance", cosine_distance(F.col(vector), F.col("query")))
-    order = Window.partitionBy("query_id").orderBy("distance", id_)
-    near = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(4 * k, 50))
-    return near.filter(F.col("rank") <= k).select("query_id", id_, "rank", "distance", score(F.col("distance")).alias("score"))
+def approximate(rows: DataFrame, queries: DataFrame, k: int, id_: str = "chunk_id", vector: str = "embedding", recall: float = 0.95, probes: int | None = None) -> DataFrame:
+    """The k nearest of each query by an inverted file, candidates ranked exactly. Off unless asked for."""
+    found = cells.index(rows, id_=id_, vector=vector)
+    if found is None:
+        return top_k_each(rows.limit(0), queries, k, id_, vector)
+    return cells.nearest(found, queries, k, probes, recall)
 
 
 def diverse(passages: DataFrame, k: int, weight: float = 0.7, query: str = "query_id", order: str = "position") -> DataFrame:
