@@ -13,7 +13,7 @@ from conftest import SF
 
 from tessera.llm.registry import QUERIES, SQL
 
-BY_TABLE = {"documents": ["op1_substring", "op3_jaccard", "op4_quality", "op6_mixing", "op7_lm", "op8_secrets", "op10_bpe"], "conversations": ["op2_chat"], "embeddings": ["op5_neardup", "op9_topk"]}
+BY_TABLE = {"documents": ["op1_substring", "op3_jaccard", "op4_quality", "op6_mixing", "op7_lm", "op8_secrets", "op10_bpe", "op11_exact"], "conversations": ["op2_chat", "op13_repair"], "embeddings": ["op5_neardup", "op9_topk"]}
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(4_000))
 PASSAGE = " ".join(f"shared{i}" for i in range(20))
 TEXTS = [
@@ -49,7 +49,7 @@ def test_small_tables_match_sql(spark, same, name):
     same(QUERIES[name](spark, SF), SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", ["op1_substring", "op2_chat", "op3_jaccard", "op5_neardup", "op6_mixing", "op7_lm", "op9_topk"])
+@pytest.mark.parametrize("name", ["op1_substring", "op2_chat", "op3_jaccard", "op5_neardup", "op6_mixing", "op7_lm", "op9_topk", "op11_exact", "op13_repair"])
 def test_hard_rows_match_sql(spark, same, hard, name):
     sql = re.sub(r"\b(from|join) (documents|embeddings|conversations|labels)\b", rf"\1 read_parquet('{hard}/\2.parquet/*.parquet')", SQL[name], flags=re.I)
     same(QUERIES[name](spark, hard), sql, hard + "/none")
