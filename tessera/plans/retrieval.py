@@ -62,9 +62,15 @@ def form_combinations(documents: DataFrame, versions: DataFrame) -> DataFrame:
     return have.filter("dosage_form <> '' and route <> ''").select("normalized_name", "dosage_form", "route").distinct().orderBy("normalized_name", "dosage_form", "route")
 
 
-def policy_scope(documents: DataFrame, versions: DataFrame, part: str = "inhal", most: int = 64) -> DataFrame:
+#: Documents that a policy covers at most, and that any setting may allow.
+POLICY_MOST, SCOPE_MOST = 64, 512
+
+
+def policy_scope(documents: DataFrame, versions: DataFrame, part: str = "inhal", most: int = POLICY_MOST, hard: int = SCOPE_MOST) -> DataFrame:
     """Documents whose route contains part, each with its latest version; it fails closed: a missing number or version, a hash
     that differs, or more than most documents is an error when read."""
+    if not 0 < most <= hard:
+        raise ValueError(f"a policy covers 1 to {hard} documents")
     hit = documents.filter(F.contains(F.lower(F.coalesce("route", F.lit(""))), F.lit(part)))
     last = latest(versions.select("doc_id", "version_id", "captured_at", F.col("content_hash").alias("version_hash")), "doc_id", "captured_at", "version_id")
     j = hit.join(last, "doc_id", "left")
