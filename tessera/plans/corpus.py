@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, sequential, variants
 from ..functions.numbers import content_hash, fingerprint, shard
-from ..operators import aggregates, joins, merge, publish, sets, windows
+from ..operators import aggregates, containment, joins, merge, publish, selection, sets, windows
 from . import chunking
 
 #: Application types of the one-letter column.
@@ -279,21 +279,6 @@ def dossier(asked: DataFrame, documents: DataFrame, versions: DataFrame, require
     return hit.join(v, "doc_id", "left").join(r, "doc_id", "left")
 
 
-def flag_cell(products: DataFrame, column: str, present: bool = True) -> DataFrame:
-    """number and status, value of a yes/no column over an application's products: any yes is populated, none is verified absent;
-    a table that wasn't in the snapshot is no evidence of absence."""
-    yes = F.upper(F.trim(column)).isin("YES", "Y", "RLD", "RS", "TBD")
-    n = products.groupBy("number").agg(F.bool_or(F.coalesce(yes, F.lit(False))).alias("_any"))
-    status = F.when(F.lit(not present), "analyst_input_required").when(F.col("_any"), "populated").otherwise("verified_absent")
-    return n.select("number", status.alias("status"), F.when(F.lit(present) & F.col("_any"), "Yes").alias("value"))
-
-
-def distinct_cell(products: DataFrame, value: Column) -> DataFrame:
-    """number, status, value: the distinct values in order, joined."""
-    v = products.select("number", names.squeeze(value).alias("v")).groupBy("number").agg(F.array_sort(F.collect_set(F.nullif("v", F.lit("")))).alias("vs"))
-    return v.select("number", F.when(F.size("vs") > 0, "populated").otherwise("analyst_input_required").alias("status"), F.nullif(F.array_join("vs", "; "), F.lit("")).alias("value"))
-
-
 #: Cells of the white paper with mode, and the extractor's kind here.
 CELLS = {
     "product_name": "auto", "dosage_form": "auto", "route": "auto", "strengths": "auto", "rd_center": "manual", "priority_status": "manual", "patents": "manual",
@@ -307,34 +292,95 @@ CELLS = {
 }
 
 
-def white_paper(products: DataFrame, patents: DataFrame, exclusivities: DataFrame, guidances: DataFrame, sections: DataFrame) -> DataFrame:
+#: Label sections of the cells that quote one, those that make the PLR and the PLLR format, and how many of the former suffice.
+QUOTED = {"indication": ("34067-9",), "packaging": ("34069-5",), "epc": ("34090-1",), "dea_classification": ("34085-1", "42227-9")}
+PLR, PLR_LEAST, PLLR = ("43683-2", "34067-9", "34068-7", "43678-2", "34070-3", "34071-1", "34084-4"), 4, ("42228-7", "77290-5", "77291-3")
+REGISTRY = r"(?i)[^.]*pregnancy (?:exposure )?registry[^.]*\.?"
+YES = ("YES", "Y", "RLD", "RS", "TBD")
+POPULATED, ABSENT, ANALYST = "populated", "verified_absent", "analyst_input_required"
+
+
+def _cell(status: Column | str, value: Column | None = None, evidence: Column | None = None) -> Column:
+    kind = "struct<status:string,value:string,evidence:array<string>>"
+    parts = (F.lit(status) if isinstance(status, str) else status, F.lit(None) if value is None else value, F.lit(None) if evidence is None else evidence)
+    return F.struct(*(x.alias(n) for x, n in zip(parts, ("status", "value", "evidence")))).cast(kind)
+
+
+def _values(column: Column) -> Column:
+    """Distinct filled values of a group, in order; a product has few."""
+    return F.array_sort(F.collect_set(F.nullif(names.squeeze(column), F.lit(""))))
+
+
+def _listed(values: Column) -> Column:
+    return _cell(F.when(F.size(values) > 0, POPULATED).otherwise(ANALYST), F.nullif(F.array_join(values, "; "), F.lit("")))
+
+
+def _programs(products: DataFrame, programs: DataFrame) -> DataFrame:
+    """number, confirmed, alike: whether a safety program names the application, and programs whose names hold its ingredient or trade name."""
+    own = products.select("number", F.explode(F.array_distinct(F.array(*(F.lower(names.squeeze(c)) for c in ("ingredient", "trade_name"))))).alias("needle")).filter("needle <> ''").distinct()
+    texts = programs.select(F.col("name").alias("text_id"), F.lower("name").alias("text")).distinct()
+    met = own.join(containment.contained(own, texts), "needle").select("number", F.col("text_id").alias("name")).distinct().join(programs.select("name", F.col("number").alias("_n")), "name")
+    return met.groupBy("number").agg(F.bool_or(F.coalesce(names.application_number(F.col("_n")) == names.application_number(F.col("number")), F.lit(False))).alias("confirmed"), F.array_sort(F.collect_set("name")).alias("alike"))
+
+
+def white_paper(
+    products: DataFrame, patents: DataFrame, exclusivities: DataFrame, guidances: DataFrame, sections: DataFrame,
+    shortages: DataFrame | None = None, programs: DataFrame | None = None, media: DataFrame | None = None, requirements: DataFrame | None = None,
+) -> DataFrame:
     """A row per application (number) and cell: status, value, evidence. products: number, ingredient, df_route, trade_name,
     strength, applicant, rld, rs; patents: number, patent_no; exclusivities: number, code; guidances: number; sections: number,
-    code, text (label sections by code)."""
-    base = products.select("number").distinct()
-    df = lambda n: F.split_part("df_route", F.lit(";"), F.lit(n))
+    code, text (label sections by code); shortages: number, status; programs (safety programs): name, number or null; media (label
+    pages): number, page; requirements (of guidances): number, text.
+
+    Every source is aggregated once by application and the cells are one array. A source that wasn't in the snapshot is no
+    evidence of absence: its cells go to the analyst, as do programs that share only a name."""
+    p = products.groupBy("number").agg(
+        *(_values(F.col(c)).alias(c) for c in ("ingredient", "strength", "trade_name", "applicant")), _values(F.split_part("df_route", F.lit(";"), F.lit(1))).alias("form"), _values(F.split_part("df_route", F.lit(";"), F.lit(2))).alias("route"),
+        *(F.bool_or(F.coalesce(F.upper(F.trim(c)).isin(*YES), F.lit(False))).alias(c) for c in ("rld", "rs")),
+    )
+    coded = lambda codes: F.when(F.col("code").isin(*codes), F.col("code"))
+    s = sections.groupBy("number").agg(
+        *(F.max_by("text", F.when(F.col("code").isin(*codes), F.length("text"))).alias(cell) for cell, codes in QUOTED.items()), F.count_distinct(coded(PLR)).alias("plr"), F.count_distinct(coded(PLLR)).alias("pllr"),
+        F.max(F.nullif(F.regexp_extract(F.when(F.col("code") == "42228-7", F.col("text")), REGISTRY, 0), F.lit(""))).alias("registry"),
+    )
+    every = [s, patents.groupBy("number").agg(_values(F.col("patent_no")).alias("patents")), exclusivities.groupBy("number").agg(_values(F.col("code")).alias("codes")), guidances.select("number", F.lit(True).alias("guided")).distinct()]
+    if shortages is not None:
+        every.append(shortages.groupBy("number").agg(_values(F.col("status")).alias("shortage"), F.lit(True).alias("short")))
+    if programs is not None:
+        every.append(_programs(products, programs))
+        known = not programs.isEmpty()
+    if media is not None:
+        every.append(media.groupBy("number").agg(F.transform(F.array_sort(F.collect_set("page")), lambda x: F.concat(F.lit("page "), x.cast("string"))).alias("images")))
+    if requirements is not None:
+        every.append(requirements.groupBy("number").agg(F.array_sort(F.collect_set(F.nullif(F.trim("text"), F.lit("")))).alias("required")))
+    for other in every:
+        p = selection.null_safe(p, other, ["number"], "left")
+    c = F.col
+    flag = lambda x: _cell(F.when(c(x), POPULATED).otherwise(ABSENT), F.when(c(x), "Yes"))
+    told = lambda ok, value: _cell(F.when(ok, POPULATED).otherwise(ANALYST), F.when(ok, value))
     cells = {
-        "product_name": distinct_cell(products, F.col("ingredient")), "dosage_form": distinct_cell(products, df(1)), "route": distinct_cell(products, df(2)),
-        "strengths": distinct_cell(products, F.col("strength")), "rld_strength": distinct_cell(products, F.col("strength")), "proprietary_name": distinct_cell(products, F.col("trade_name")),
-        "nda_holder": distinct_cell(products, F.col("applicant")), "nda_number": distinct_cell(products, F.col("number")), "rld": flag_cell(products, "rld"), "rs": flag_cell(products, "rs"),
-        "be_guidance_available": base.join(guidances.select("number", F.lit(True).alias("_g")).distinct(), "number", "left").select("number", F.when(F.col("_g"), "populated").otherwise("verified_absent").alias("status"), F.when(F.col("_g"), "Yes").alias("value")),
-    }
-    text = lambda *codes: sections.filter(F.col("code").isin(*codes)).groupBy("number").agg(F.max_by("text", F.length("text")).alias("value")).select("number", F.lit("populated").alias("status"), "value")
-    cells |= {"indication": text("34067-9"), "packaging": text("34069-5"), "epc": text("34090-1"), "dea_classification": text("34085-1", "42227-9")}
-    plr = ("43683-2", "34067-9", "34068-7", "43678-2", "34070-3", "34071-1", "34084-4")
-    n = sections.groupBy("number").agg(F.count_distinct(F.when(F.col("code").isin(*plr), F.col("code"))).alias("p"), F.count_distinct(F.when(F.col("code").isin("42228-7", "77290-5", "77291-3"), F.col("code"))).alias("l"))
-    cells |= {"plr_format": n.filter("p >= 4").select("number", F.lit("populated").alias("status"), F.lit("PLR format").alias("value")), "pllr_format": n.filter("l = 3").select("number", F.lit("populated").alias("status"), F.lit("PLLR format").alias("value"))}
-    registry = sections.filter((F.col("code") == "42228-7") & F.col("text").rlike("(?i)pregnancy (?:exposure )?registry")).select("number", F.lit("populated").alias("status"), F.regexp_extract("text", r"(?i)[^.]*pregnancy (?:exposure )?registry[^.]*\.?", 0).alias("value"))
-    cells["pregnancy_registry"] = registry
-    evidence = {"patents": patents.groupBy("number").agg(F.array_sort(F.collect_set("patent_no")).alias("evidence"))} | dict.fromkeys(("first_to_market", "eftf", "priority_status"), exclusivities.groupBy("number").agg(F.array_sort(F.collect_set("code")).alias("evidence")))
-    out = None
-    for cell, mode in CELLS.items():
-        one = base.withColumns({"cell_id": F.lit(cell), "mode": F.lit(mode)})
-        one = one.join(cells[cell], "number", "left") if cell in cells else one.withColumns({"status": F.lit(None).cast("string"), "value": F.lit(None).cast("string")})
-        one = one.join(evidence[cell], "number", "left") if cell in evidence else one.withColumn("evidence", F.lit(None).cast("array<string>"))
-        one = one.select("number", "cell_id", "mode", F.coalesce("status", F.lit("analyst_input_required")).alias("status"), F.when(F.lit(mode != "manual"), F.col("value")).alias("value"), "evidence")
-        out = one if out is None else out.unionByName(one)
-    return out
+        "product_name": _listed(c("ingredient")), "dosage_form": _listed(c("form")), "route": _listed(c("route")), "strengths": _listed(c("strength")), "rld_strength": _listed(c("strength")),
+        "proprietary_name": _listed(c("trade_name")), "nda_holder": _listed(c("applicant")), "nda_number": told(c("number") != "", c("number")), "rld": flag("rld"), "rs": flag("rs"),
+        "be_guidance_available": _cell(F.when(c("guided"), POPULATED).otherwise(ABSENT), F.when(c("guided"), "Yes")),
+        "plr_format": told(F.coalesce(c("plr"), F.lit(0)) >= PLR_LEAST, F.lit("PLR format")), "pllr_format": told(F.coalesce(c("pllr"), F.lit(0)) == len(PLLR), F.lit("PLLR format")),
+        "pregnancy_registry": told(c("registry").isNotNull(), c("registry")), "patents": _cell(ANALYST, None, c("patents")),
+    } | {cell: told(c(cell).isNotNull(), c(cell)) for cell in QUOTED} | {cell: _cell(ANALYST, None, c("codes")) for cell in ("first_to_market", "eftf", "priority_status")}
+    if shortages is not None:
+        listed = F.array_join("shortage", "; ")
+        over = (F.size("shortage") > 0) & F.forall("shortage", lambda x: F.contains(F.lower(x), F.lit("resolved")))
+        value = F.when(over, F.concat(listed, F.lit(" — historical shortage record(s); no current shortage status returned."))).when(F.size("shortage") > 0, F.concat(F.lit("Yes — "), listed)).otherwise("Yes")
+        cells["drug_shortage"] = _cell(F.when(c("short"), POPULATED).otherwise(ABSENT), F.when(c("short"), value), c("shortage"))
+    if programs is not None:
+        named = (F.size("ingredient") > 0) | (F.size("trade_name") > 0)
+        cells["rems"] = _cell(F.when(~named | ~F.lit(known), ANALYST).when(c("confirmed"), POPULATED).when(c("alike").isNotNull(), ANALYST).otherwise(ABSENT), F.when(named & c("confirmed"), "Yes"), c("alike"))
+    if media is not None:
+        cells["labeling_images"] = _cell(F.when(c("images").isNotNull(), POPULATED).otherwise(ANALYST), F.when(c("images").isNotNull(), F.concat(F.size("images").cast("string"), F.lit(" label pages"))), c("images"))
+    if requirements is not None:
+        some = F.coalesce(F.size("required") > 0, F.lit(False))
+        cells["requirements"] = _cell(F.when(some, POPULATED).otherwise(ANALYST), F.when(some, F.array_join("required", "\n")), c("required"))
+    rows = F.array(*(F.struct(F.lit(cell).alias("cell_id"), F.lit(mode).alias("mode"), cells.get(cell, _cell(ANALYST)).alias("c")) for cell, mode in CELLS.items()))
+    out = p.select("number", F.explode(rows).alias("r"))
+    return out.select("number", "r.cell_id", "r.mode", "r.c.status", F.when(F.col("r.mode") != "manual", F.col("r.c.value")).alias("value"), "r.c.evidence")
 
 
 def reviews_of(products: DataFrame, documents: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
