@@ -78,12 +78,15 @@ def shard_readiness(expected: DataFrame, versions: DataFrame, minimum_attempts:
         .otherwise(F.array_compact(F.array(F.when(~chunked, "chunk lifecycle incomplete"), F.when(~embedded, "embeddings incomplete"))))
     )
     j = j.select("canonical_id", "shard", "resolution", "chunks", "embedded", issues.alias("issues"), (live & terminal & (F.size(off) == 0)).alias("t"), (live & ~terminal & chunked).alias("c"), (live & ~terminal & embedded).alias("e"), live.alias("live"))
-    said = F.transform("issues", lambda i: F.concat(F.col("canonical_id"), F.lit(": "), i))
-    return j.groupBy("shard").agg(
+    sums = j.groupBy("shard").agg(
         F.count("*").alias("expected"), F.count_if("c").alias("chunked"), F.count_if("t").alias("terminal"), F.count_if(F.col("t") & (F.col("resolution") == "missing_at_source")).alias("missing_at_source"),
         F.count_if("e").alias("embedded_documents"), F.coalesce(F.sum(F.when(F.col("live"), F.col("chunks"))), F.lit(0)).alias("chunks"), F.coalesce(F.sum(F.when(F.col("live"), F.col("embedded"))), F.lit(0)).alias("embedded_chunks"),
-        F.slice(F.array_sort(F.flatten(F.collect_list(said))), 1, most_issues).alias("issues"),
     )
+    # a limit within the window, so that tasks drop what is beyond it before the shuffle
+    said = j.select("shard", F.explode("issues").alias("issue"), "canonical_id").select("shard", F.concat("canonical_id", F.lit(": "), "issue").alias("issue"))
+    first = said.withColumn("_r", F.row_number().over(Window.partitionBy("shard").orderBy("issue"))).filter(F.col("_r") <= most_issues)
+    issues = first.groupBy("shard").agg(F.array_sort(F.collect_list("issue")).alias("issues"))
+    return selection.null_safe(sums, issues, ["shard"], "left").withColumn("issues", F.coalesce("issues", F.array().cast("array<string>")))
 
 
 def manifest_readiness(shards: DataFrame, most_issues: int = 100) -> DataFrame:

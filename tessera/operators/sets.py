@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import canonical_name, ingredients, squeeze
@@ -15,9 +15,9 @@ def union_all(*tables: DataFrame) -> DataFrame:
 
 
 def first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key, in order."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The first row of each key in order, rows without an order before all: an aggregate, so a hot key is reduced before the shuffle."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(F.col(order).isNotNull(), order))
+    return rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(first.alias("_r")).select("_r.*")
 
 
 def retired(active: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
