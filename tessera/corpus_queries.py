@@ -276,9 +276,9 @@ def unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- ranking -------------------------------------------------------------------------------------------------------------
 
 
-@query("select doc_id, lang from documents order by coalesce(lang, 'zzz'), doc_id limit 20 offset 10")
+@query("select doc_id, lang, (select count(*) from documents) as total from documents order by coalesce(lang, 'zzz'), doc_id limit 20 offset 10")
 def listing_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.page(read(spark, sf_dir, "documents").select("doc_id", "lang"), [F.coalesce("lang", F.lit("zzz")), F.col("doc_id")], 20, 10)
+    return ranking.counted_page(read(spark, sf_dir, "documents").select("doc_id", "lang"), [F.coalesce("lang", F.lit("zzz")), F.col("doc_id")], 20, 10)
 
 
 @query("select doc_id, source from documents where doc_id > 40 order by doc_id limit 25")

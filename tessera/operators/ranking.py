@@ -68,6 +68,12 @@ def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> D
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def counted_page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """A page of a total order, each row with total, the number of all rows; a page behind the last row has none."""
+    total = rows.agg(F.count("*").alias("total"))
+    return page(rows, order, limit, offset).crossJoin(small(total, 1)).orderBy(*order)
+
+
 def keyset_page(rows: DataFrame, key: str, after, limit: int) -> DataFrame:
     return (rows if after is None else rows.filter(F.col(key) > after)).orderBy(key).limit(limit)
 

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import names, sequential, variants
+from ..functions import names, providers, sequential, variants
 from ..functions.numbers import content_hash, fingerprint, shard
-from ..operators import aggregates, containment, joins, merge, publish, selection, sets, windows
+from ..operators import aggregates, containment, joins, merge, publish, ranking, selection, sets, windows
 from . import chunking
 
 #: Application types of the one-letter column.
@@ -127,11 +127,13 @@ def embedding_states(versions: DataFrame, chunks: DataFrame, embedded: DataFrame
     return j.select("version_id", F.col("chunk_count").alias("expected"), "embedded", F.when((F.col("chunk_count") > 0) & (F.col("embedded") == F.col("chunk_count")), "complete").otherwise("running").alias("status"))
 
 
-def backfilled(chunks: DataFrame, embedded: DataFrame, embed=None, dim: int = 1536) -> DataFrame:
-    """Embeddings of chunks that lack a valid one: chunk_id, content_hash, embedding. One is valid while its hash is the text's, so
-    changed texts are done again and a repeated run does nothing."""
+def backfilled(chunks: DataFrame, embedded: DataFrame, embed=None, dim: int = 1536, provider: providers.Provider | None = None) -> DataFrame:
+    """Embeddings of chunks that lack a valid one: chunk_id, content_hash, embedding (and error, from a provider). One is valid while its hash
+    is the text's, so changed texts are done again and a repeated run does nothing."""
     texts = chunks.select("chunk_id", "text", content_hash(F.col("text")).alias("content_hash"))
     todo = texts.join(embedded.select("chunk_id", "content_hash"), ["chunk_id", "content_hash"], "left_anti")
+    if provider is not None:
+        return providers.embedded(todo, provider, dim)
     f = embed or sequential.lifted(lambda t: sequential.hash_embedding(t, dim), "array<double>")
     return todo.select("chunk_id", "content_hash", f("text").alias("embedding"))
 
@@ -243,10 +245,11 @@ def sponsor_aliases(applications: DataFrame, root: str) -> DataFrame:
 
 
 def recent_digest(alerts_: DataFrame, versions: DataFrame, since: str | None, limit: int, offset: int = 0) -> DataFrame:
-    """Alerts newest first, since inclusive and before the limit, with change_kind: new for a document's first version."""
+    """Alerts newest first, since inclusive and before the limit, with change_kind: new for a document's first version, and
+    total: how many there are since."""
     first = versions.groupBy("doc_id").agg(F.min("version_id").alias("_first"))
     rows = alerts_ if since is None else alerts_.filter(F.to_timestamp("captured_at") >= F.to_timestamp(F.lit(since)))
-    rows = rows.orderBy(F.desc(F.to_timestamp("captured_at")), F.desc("alert_id")).offset(offset).limit(limit)
+    rows = ranking.counted_page(rows, [F.desc(F.to_timestamp("captured_at")), F.desc("alert_id")], limit, offset)
     return rows.join(first, "doc_id", "left").withColumn("change_kind", F.when(F.col("version_id") == F.col("_first"), "new").otherwise("revised")).drop("_first")
 
 
