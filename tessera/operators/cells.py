@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,25 @@ def units(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return at[good], v[good] / size[good, None]
 
 
+#: Distances that rounding in a matrix product may turn round.
+NOISE = 1e-9
+
+
+def candidates(q: np.ndarray, v: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in q, places in v) that hold the k nearest of each query, ties by id: of equal vectors the k smallest ids, and all that
+    are as near as the k-th but for rounding."""
+    order = pc.sort_indices(ids).to_numpy(zero_copy_only=False)
+    _, same = np.unique(np.ascontiguousarray(v[order]).view(np.dtype((np.void, v.shape[1] * v.itemsize))).reshape(-1), return_inverse=True)
+    by_vector = np.argsort(same, kind="stable")
+    first = np.concatenate([[0], np.flatnonzero(np.diff(same[by_vector])) + 1])
+    nth = np.arange(len(same)) - np.repeat(first, np.diff([*first, len(same)]))
+    kept = order[by_vector[nth < k]]
+    far = 1 - q @ v[kept].T
+    last = min(k, len(kept)) - 1
+    asked, at = np.nonzero(far <= np.partition(far, last, axis=1)[:, last : last + 1] + NOISE)
+    return asked, kept[at]
+
+
 @dataclass
 class Index:
     """Centres (unit rows) and the indexed rows: cell, part, id, vector (unit)."""
@@ -124,7 +144,6 @@ def nearest(found: Index, queries: DataFrame, k: int, probes: int | None = None,
         probes = found.probes_for(max(k, 1), recall, units(some, dim)[1] if len(some) else np.zeros((0, dim)))
     probes = min(len(centres), probes)
     kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), id_: found.rows.schema[id_].dataType.simpleString()}
-    wide = max(4 * k, 50)  # candidates of a cell's part
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,12 +158,11 @@ def nearest(found: Index, queries: DataFrame, k: int, probes: int | None = None,
     def met(key: tuple, rows: pa.Table, asked: pa.Table) -> pa.Table:
         out = {"query_id": [], id_: [], "distance": []}
         if rows.num_rows and asked.num_rows and k > 0:
-            order = rows.sort_by(id_).combine_chunks()
-            v, q = (np.asarray(t[c].combine_chunks().flatten()).reshape(t.num_rows, dim) for t, c in ((order, "vector"), (asked, "query")))
-            far = 1 - q @ v.T
-            best = np.argsort(far, axis=1, kind="stable")[:, :wide]
-            rows_at, asked_at = pa.array(best.reshape(-1)), pa.array(np.repeat(np.arange(len(q)), best.shape[1]))
-            out = {"query_id": asked["query_id"].combine_chunks().take(asked_at), id_: order[id_].combine_chunks().take(rows_at), "distance": pa.array(np.take_along_axis(far, best, axis=1).reshape(-1))}
+            v, q = (np.asarray(t[c].combine_chunks().flatten()).reshape(t.num_rows, dim) for t, c in ((rows, "vector"), (asked, "query")))
+            ids = rows[id_].combine_chunks()
+            asked_at, rows_at = candidates(q, v, ids, k)
+            # summed in one order whatever the block, so that equal vectors are equally far
+            out = {"query_id": asked["query_id"].combine_chunks().take(pa.array(asked_at)), id_: ids.take(pa.array(rows_at)), "distance": pa.array(1 - np.einsum("ij,ij->i", q[asked_at], v[rows_at]))}
         return pa.table(out, schema=pa.schema([("query_id", asked.schema.field("query_id").type), (id_, rows.schema.field(id_).type), ("distance", pa.float64())]))
 
     n = queries.count()

@@ -74,3 +74,17 @@ def test_nothing_to_index(spark, data):
     assert ranking.approximate(empty, data[3], 3).count() == 0
     assert cells.nearest(cells.index(data[2]), data[3], 0).count() == 0
     assert ranking.approximate(data[2].limit(3), data[3].limit(2), 8).count() == 6
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_exact_neighbours_of_many_queries(spark, data, monkeypatch, block):
+    vectors, queries, df, asked = data
+    monkeypatch.setattr(ranking, "BLOCK", block)
+    monkeypatch.setattr(ranking, "PACK", 700)
+    assert got(ranking.top_k_each(df, asked, 8)) == exact(vectors, queries, 8)
+    # equal vectors: the smaller id first; a vector of another length meets rows of its own length only
+    ties = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(1999, -1, -1)] + [(5000, [3.0]), (5001, None)], SCHEMA).coalesce(1)
+    few = spark.createDataFrame([(q, [2.0, 4.0]) for q in range(9)] + [(20, [5.0]), (21, None), (22, [0.0])], "query_id long, query array<double>")
+    assert got(ranking.top_k_each(ties, few, 3)) == {q: [0, 1, 2] for q in range(9)} | {20: [5000]}
+    assert ranking.top_k_each(ties, few, 0).count() == 0 and ranking.top_k_each(ties.limit(0), few, 3).count() == 0
+    assert got(cells.nearest(cells.index(ties), few, 3, probes=99)) == {q: [0, 1, 2] for q in range(9)}
