@@ -1,15 +1,17 @@
 """Documents to page-anchored chunks and back to typed blocks.
 
-A document is a row with an array of pages (or of its chunks); all that happens inside it is array expressions, so nothing
-is shuffled. Only the cutting of long bodies and the joining of overlapping texts are Python, behind Arrow UDFs."""
+A document is a row with an array of pages (or of its chunks), so nothing is shuffled. Furniture, blocks and types are array
+expressions; the cutting of pages and the joining of overlapping texts are small helpers in Python over Arrow batches."""
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from functools import reduce
 from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -172,7 +174,31 @@ def chunks(pages: Column, strip: bool = False) -> Column:
 
 
 def chunked(documents: DataFrame, strip: bool = False, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """documents: keys, pages (array) -> keys, page, section_path, ordinal, text."""
+    """documents: keys, pages (array) -> keys, page, section_path, ordinal, text. Pages are cut one after another by page_chunks(), in the
+    partitions where they are; what it gives are chunked_by_columns()' rows in half the time."""
+    pages = F.transform(F.coalesce("pages", F.array().cast("array<string>")), lambda p: F.coalesce(p, F.lit("")))
+    rows = documents.select(*keys, (without_furniture(pages) if strip else pages).alias("pages"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for row, texts in enumerate(batch.column(len(keys)).to_pylist()):
+                path, before = None, len(found)
+                for number, page in enumerate(texts, 1):
+                    made, path = page_chunks(page, path)
+                    found += [(number, p, len(found) - before + i, t) for i, (p, t) in enumerate(made)]
+                at += [row] * (len(found) - before)
+            columns = list(zip(*found)) if found else [()] * 4
+            own = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(keys))]
+            made = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*own, *made], names=[*keys, "page", "section_path", "ordinal", "text"])
+
+    return rows.mapInArrow(run, f"{kinds}, page int, section_path string, ordinal int, text string")
+
+
+def chunked_by_columns(documents: DataFrame, strip: bool = False, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """chunked() by array expressions, but for the windows of long bodies."""
     cut = lifted(lambda bodies: [windows(b) for b in bodies], "array<array<string>>")
     rows = documents.select(*keys, chunks(F.col("pages"), strip).alias("_s"))
     rows = rows.withColumn("_w", cut(F.transform("_s", lambda s: s["body"])))

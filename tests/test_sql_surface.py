@@ -44,17 +44,20 @@ PAGES = [
 def test_chunk_document_is_the_array_expression(spark):
     registered.register(spark)
     docs = spark.createDataFrame([(1, PAGES), (2, PAGES[::-1]), (3, ["only"]), (4, [])], "doc_id long, pages array<string>")
-    want = sorted(map(tuple, chunking.chunked(docs).select("doc_id", "ordinal", "page", "section_path", "text").collect()))
+    want = sorted(map(tuple, chunking.chunked_by_columns(docs).select("doc_id", "ordinal", "page", "section_path", "text").collect()))
     pages = docs.select("doc_id", F.posexplode("pages").alias("page", "text")).withColumn("page", F.col("page") + 1).withColumn("other", F.lit("x")).repartition(5)
     got = sorted(map(tuple, spark.sql("select doc_id, ordinal, page, section_path, text from chunk_document(TABLE({p}))", p=pages).collect()))
     assert got == want and len(got) > 10
+    stripped = lambda f: sorted(map(tuple, f(docs, strip=True).select("doc_id", "ordinal", "page", "section_path", "text").collect()))
+    assert stripped(chunking.chunked) == stripped(chunking.chunked_by_columns)
+    assert sorted(map(tuple, chunking.chunked(docs).select("doc_id", "ordinal", "page", "section_path", "text").collect())) == want
 
 
 def test_documents_in_sql(spark):
     registered.register(spark)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.lit(1).alias("page"), "text")
     got = spark.sql("select doc_id, ordinal, text from chunk_document(TABLE({p}))", p=docs)
-    want = chunking.chunked(docs.select("doc_id", F.array(F.coalesce("text", F.lit(""))).alias("pages"))).select("doc_id", "ordinal", "text")
+    want = chunking.chunked_by_columns(docs.select("doc_id", F.array(F.coalesce("text", F.lit(""))).alias("pages"))).select("doc_id", "ordinal", "text")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
