@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 #: The same for tables of an id and at most another number and a flag: some 30 MB.
 NARROW_ROWS = 500_000
+#: Rows of whole texts that Spark hands to a Python worker at once, where an operator runs its jobs itself.
+TEXT_ROWS = 1_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +43,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings while jobs run or a stream starts, which keeps its own copy."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """Batches of TEXT_ROWS rows at most, or of the session's fewer, for the jobs that run meanwhile."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    return settings(spark, {key: str(min(now, TEXT_ROWS) if now > 0 else TEXT_ROWS)})
+
+
 def lookup(rows: DataFrame, small: DataFrame, on: list[str], small_rows: int, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """rows joined with a table of known size: broadcast up to most rows, shuffled beyond (AQE splits hot keys)."""
     return rows.join(F.broadcast(small) if small_rows <= most else small, on, how)

@@ -33,10 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NARROW_ROWS, cut, lookup, read
+from .common import NARROW_ROWS, cut, lookup, read, small_batches
 from .components import components
 from .packed import CHUNK_BYTES, get, get_small, put, put_small, split_by_bucket, text_bytes
-from .words import WordHash, grams, mix64, texts
+from .words import WordHash, grams, mix64, portions
 
 #: Lists of up to so many sets give all pairs at once; of a longer one, so many sets are a block.
 SHORT, BLOCK = 6, 2048
@@ -47,6 +47,8 @@ SCAN_COST = 8
 #: Least and most bits of a parity sketch; in between two to four per member, so that unlike sets of any size differ in it.
 SKETCH_BITS = (256, 1 << 16)
 TRIES = 8
+#: Signatures that a task gathers before it sorts and sends them, and pairs whose sets it holds as Python objects.
+SENT, HELD = 1 << 19, 512
 _HASHES = WordHash()
 
 
@@ -231,31 +233,51 @@ def _few(sig: np.ndarray, who: np.ndarray, n: int) -> list[bytes]:
     return [kept[s:e] for s, e in zip(edges[:-1], edges[1:])]
 
 
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, HELD) for batch in batches for at in range(0, batch.num_rows, HELD))
+
+
+def listed(batch: pa.RecordBatch, join: Join, buckets: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, root -> blocks of the documents' signatures by bucket. Sets are held a portion at a time."""
+    ids, roots = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for at, body in portions(batch.column(1)):
+        sig, who = signatures([shingles(t, join.words) for t in body], join)
+        parts.append((sig, at + who))
+        if at + len(body) < len(ids) and sum(len(s) for s, _ in parts) < SENT:
+            continue
+        sig, who = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        order = np.argsort(sig)
+        sig, who = sig[order], who[order]
+        rows = [(b, put(sig[s:e]), put_small(ids[who[s:e]].astype(np.uint64)), _roots_out(ids[who[s:e]], roots[who[s:e]])) for b, s, e in split_by_bucket(sig, buckets)]
+        cols = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.binary()] * 3))], names=["bucket", "keys", "ids", "roots"])
+
+
 def groups(docs: DataFrame, join: Join = Join(), chunk_bytes: int = CHUNK_BYTES, block: int = BLOCK) -> DataFrame:
-    """docs: doc_id, text -> doc_id, n_shingles, component_id (the smallest id reachable by links)."""
+    """docs: doc_id, text -> doc_id, n_shingles, component_id (the smallest id reachable by links).
+
+    Every step in Python runs before this returns, in small batches, so that a worker never holds thousands of texts."""
+    with small_batches(docs.sparkSession):
+        return _groups(docs, join, chunk_bytes, block)
+
+
+def _groups(docs: DataFrame, join: Join, chunk_bytes: int, block: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = max(16, -(-text_bytes(docs)[1] // chunk_bytes))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                sets = [shingles(t, join.words) for t in texts(batch.column(1))]
+        for batch in batches:
+            for at, body in portions(batch.column(1)):
+                sets = [shingles(t, join.words) for t in body]
                 digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 few = _few(*signatures(sets, join, alike=True), len(sets))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(few, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "sketch", "few"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(few, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "sketch", "few"])
 
     def list_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, roots = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            sets = [shingles(t, join.words) for t in texts(batch.column(1))]
-            for at in range(0, len(ids), 4096):
-                sig, who = signatures(sets[at : at + 4096], join)
-                order = np.argsort(sig)
-                sig, who = sig[order], at + who[order]
-                rows = [(b, put(sig[s:e]), put_small(ids[who[s:e]].astype(np.uint64)), _roots_out(ids[who[s:e]], roots[who[s:e]])) for b, s, e in split_by_bucket(sig, buckets)]
-                cols = list(zip(*rows)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.binary()] * 3))], names=["bucket", "keys", "ids", "roots"])
+            yield from listed(batch, join, buckets)
 
     def scan(key: tuple, bucket: pa.Table) -> pa.Table:
         a, b, long = _pairs(bucket)
@@ -285,7 +307,7 @@ def groups(docs: DataFrame, join: Join = Join(), chunk_bytes: int = CHUNK_BYTES,
         return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             near = []
             for a, n, b, m in zip(*(batch[c].to_pylist() for c in ("xa", "na", "xb", "nb"))):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -295,11 +317,12 @@ def groups(docs: DataFrame, join: Join = Join(), chunk_bytes: int = CHUNK_BYTES,
 
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, join.words) for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([put(s) for s in sets], pa.binary())], names=["doc_id", "n", "members"])
+            for at, body in portions(batch.column(1)):
+                sets = [shingles(t, join.words) for t in body]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([put(s) for s in sets], pa.binary())], names=["doc_id", "n", "members"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             good = [_linked(get(x), n, get(y), m, join) for x, n, y, m in zip(*(batch[c].to_pylist() for c in ("sa", "na", "sb", "nb")))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import read
-from .words import WordHash, grams, mix64, texts
+from .words import WordHash, grams, mix64, portions, texts
 
 #: Weights: 2^18, of which the last is the bias.
 DIMENSIONS = 1 << 18
@@ -97,9 +97,9 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, w = Features(), shared.value
         for batch in batches:
-            at_text = texts(batch.column(names.index("text")))
-            margin = np.array([w[at] @ v for at, v in map(features.of, at_text)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-margin)), pa.float64())], names=[*names, "score"])
+            for start, body in portions(batch.column(names.index("text"))):
+                margin = np.array([w[at] @ v for at, v in map(features.of, body)])
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(body)).columns, pa.array(1 / (1 + np.exp(-margin)), pa.float64())], names=[*names, "score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-#: Words remembered per Python worker before the memory starts anew.
-REMEMBERED = 200_000
+#: Words remembered per Python worker before the memory starts anew, some 150 bytes each.
+REMEMBERED = 50_000
+#: Bytes of text whose Python objects and arrays a worker holds at once; a batch has thousands of rows, whatever their length.
+PORTION_BYTES = 2 << 20
 
 
 class WordHash(dict):
@@ -35,6 +38,15 @@ def texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def portions(column: pa.Array, most: int = PORTION_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(position of the first, texts) of consecutive runs of at most so many bytes, and a text that passes them."""
+    past = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+    edges = [0, *(np.flatnonzero(np.diff(past)) + 1).tolist(), len(column)]
+    for start, end in zip(edges, edges[1:]):
+        if end > start:
+            yield start, texts(column.slice(start, end - start))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
