@@ -32,10 +32,28 @@ def _grams(words: np.ndarray, order: int) -> np.ndarray:
     return words if order == 1 else grams(words, order, 7)
 
 
-def _exploded(blobs: pa.Table, order: int) -> tuple[np.ndarray, list[list[np.ndarray]]]:
-    """Ids, and per document its n-grams' hashes of orders 1 to order."""
+def _exploded(blobs: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Ids, words of each document; and of orders 1 to order, document by document: the n-grams' hashes and the places of
+    their first words among all words."""
     ids, bodies = unpack(blobs)
-    return ids, [[_grams(x, n) for n in range(1, order + 1)] for x in (_HASHES.hashes(t.split()) for t in bodies)]
+    words = [_HASHES.hashes(t.split()) for t in bodies]
+    lengths = np.array([len(w) for w in words], np.int64)
+    flat = np.concatenate(words) if words else np.empty(0, np.uint64)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat))
+    places = [np.flatnonzero(left >= n) for n in range(1, order + 1)]
+    return ids, lengths, [_grams(flat, n)[at] for n, at in enumerate(places, 1)], places
+
+
+def _elsewhere(own: np.ndarray, document: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each n-gram of a chunk (its document, rising), the occurrences in other documents. keys, counts: sorted, of all."""
+    order = np.argsort(own, kind="stable")  # documents of an n-gram stay in order
+    key, doc = own[order], document[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    start = np.flatnonzero(new | np.concatenate([[True], doc[1:] != doc[:-1]])[: len(key)])
+    here = np.diff(np.append(start, len(key)))
+    out = np.empty(len(key), np.int64)
+    out[order] = np.repeat(counts[np.searchsorted(keys, key[start])] - here, here)
+    return out.astype(float)
 
 
 def _blocks(keys: np.ndarray, counts: np.ndarray, words: int, buckets: int, width: int, chunk: int) -> pa.Table:
@@ -75,10 +93,9 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk_bytes
     packed = pack(docs, chunk_of)
 
     def count(key: tuple, blobs: pa.Table) -> pa.Table:
-        _, by_doc = _exploded(blobs, order)
-        flat = [g for d in by_doc for g in d]
-        keys, counts = np.unique(np.concatenate(flat) if flat else np.empty(0, np.uint64), return_counts=True)
-        return _blocks(keys, counts, sum(len(d[0]) for d in by_doc), buckets, steps[0], key[0].as_py())
+        _, lengths, all_grams, _ = _exploded(blobs, order)
+        keys, counts = np.unique(np.concatenate(all_grams), return_counts=True)
+        return _blocks(keys, counts, int(lengths.sum()), buckets, steps[0], key[0].as_py())
 
     def forward(width: int):
         def run(key: tuple, got: pa.Table) -> pa.Table:
@@ -107,31 +124,28 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk_bytes
         return run
 
     def sum_up(key: tuple, blobs: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, by_doc = _exploded(blobs, order)
-        flat = [g for d in by_doc for g in d]
-        keys = np.unique(np.concatenate(flat)) if flat else np.empty(0, np.uint64)
+        ids, lengths, all_grams, places = _exploded(blobs, order)
+        keys = np.unique(np.concatenate(all_grams))
         got = dict(zip(answers["bucket"].to_pylist(), answers["counts"].to_pylist()))
         all_words = int.from_bytes(got[-1], "little") if got else 0
         parts = [get_small(got[b], e - s) for b, s, e in split_by_bucket(keys, buckets, steps[0])]
         counts = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
-        n_words, logs = [], []
-        for d in by_doc:
-            n = len(d[0])
-            others = max(all_words - n, 1)
-            elsewhere = []
-            for g in d:
-                _, back, own = np.unique(g, return_inverse=True, return_counts=True)
-                elsewhere.append((counts[np.searchsorted(keys, g)] - own[back]).astype(float))
-            logp = np.log(np.where(elsewhere[0] > 0, elsewhere[0] / others * alpha ** (order - 1), alpha**order / others)) if n else np.empty(0)
-            for k in range(2, order + 1):  # the k-gram that ends at word i starts at i - k + 1, as does its context
-                num, den = elsewhere[k - 1], elsewhere[k - 2][: len(elsewhere[k - 1])]
-                found = num > 0
-                logp[k - 1 :][found] = np.log(num[found] / den[found] * alpha ** (order - k))
-            # the first words of a text have shorter contexts: no penalty for orders that they can't have
-            short = np.minimum(np.arange(n), order - 1)
-            logp -= np.log(alpha) * (order - 1 - short)
-            n_words.append(n)
-            logs.append(float(logp.sum()))
+        document = np.repeat(np.arange(len(lengths)), lengths)
+        others = np.maximum(all_words - lengths, 1)[document]
+        first = np.cumsum(lengths) - lengths
+        shorter = one = _elsewhere(all_grams[0], document, keys, counts)
+        logp = np.log(np.where(one > 0, one / others * alpha ** (order - 1), alpha**order / others))
+        for k in range(2, order + 1):  # the k-gram that ends at word i starts at i - k + 1, as does its context
+            num = _elsewhere(all_grams[k - 1], document[places[k - 1]], keys, counts)
+            den = shorter[np.searchsorted(places[k - 2], places[k - 1])]
+            found = num > 0
+            logp[places[k - 1][found] + k - 1] = np.log(num[found] / den[found] * alpha ** (order - k))
+            shorter = num
+        # the first words of a text have shorter contexts: no penalty for orders that they can't have
+        short = np.minimum(np.arange(len(document)) - first[document], order - 1)
+        logp -= np.log(alpha) * (order - 1 - short)
+        n_words = lengths.tolist()
+        logs = [float(logp[s : s + n].sum()) for s, n in zip(first.tolist(), n_words)]
         mean = [x / n if n else None for x, n in zip(logs, n_words)]
         return pa.table({"doc_id": ids_out(ids), "n_words": pa.array(n_words, pa.int64()), "log_score": pa.array(logs, pa.float64()), "mean_log_score": pa.array(mean, pa.float64())})
 

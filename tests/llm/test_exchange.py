@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -73,3 +76,41 @@ def test_merged(blocks):
     for (*_, raw, _), b in zip(m.answers(), blocks):
         assert np.unpackbits(np.frombuffer(raw, np.uint8), count=len(b)).astype(bool).tolist() == [e in known for e in b]
         known |= set(b)
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_is_the_plain_model(spark, docs, order):
+    """Document by document, against counts of word tuples."""
+    from collections import Counter
+    from math import log
+
+    rows = docs.collect() + [("x", "a a a b")]
+    rows = [(i, (r[1] or "").split()) for i, r in enumerate(rows)]
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"), order=order, chunk_bytes=700).collect()}
+    count = lambda w: Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    everything = sum((count(w) for _, w in rows), Counter())
+    total = sum(len(w) for _, w in rows)
+    for i, w in rows:
+        own, others, want = count(w), max(total - len(w), 1), 0.0
+        for at in range(len(w)):
+            most = min(at + 1, order)
+            for n in range(most, 0, -1):
+                gram = tuple(w[at - n + 1 : at + 1])
+                if num := everything[gram] - own[gram]:
+                    want += log(num / (everything[gram[:-1]] - own[gram[:-1]] if n > 1 else others) * lm.ALPHA ** (most - n))
+                    break
+            else:
+                want += log(lm.ALPHA**most / others)
+        assert got[i]["n_words"] == len(w) and abs(got[i]["log_score"] - want) < 1e-9
+
+
+def test_lm_works_on_a_chunk_at_once(monkeypatch):
+    """Hashing and counting n-grams took calls for each document."""
+    calls = []
+    monkeypatch.setattr(lm, "_grams", lambda words, order, grams=lm._grams: (calls.append(order), grams(words, order))[1])
+    texts = ["a b c", "", "d", "a b a b", "c"]
+    blob = zstandard.ZstdCompressor().compress(pickle.dumps((np.arange(5), [t.encode() for t in texts]), 5))
+    ids, lengths, by_order, places = lm._exploded(pa.table({"blob": [blob]}), 2)
+    assert calls == [1, 2] and lengths.tolist() == [3, 0, 1, 4, 1] and ids.tolist() == list(range(5))
+    want = [lm._HASHES.hashes(t.encode().split()) for t in texts]
+    for n in (1, 2):
+        assert by_order[n - 1].tolist() == [g for w in want for g in (w if n == 1 else lm.grams(w, n, 7)).tolist()]
+    assert places[1].tolist() == [0, 1, 4, 5, 6]
