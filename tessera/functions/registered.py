@@ -48,9 +48,10 @@ SQL_FUNCTIONS = {
     "shard_id": ("id STRING, shards INT", "INT", "CAST(conv(substring(sha2(trim(id), 256), 13, 4), 16, 10) AS INT) % shards"),
     "cosine_score": (
         "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE",
-        "CASE WHEN size(a) = size(b) THEN transform(array(try_divide(aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x), "
-        "sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)))), "
-        "c -> CASE WHEN c IS NOT NULL THEN greatest(0D, least(1D, (1 + c) / 2)) END)[0] END",
+        # vectors of one length are divided by its square, which no root has rounded; the score is 1 - distance / 2 as in numbers.score
+        "CASE WHEN size(a) = size(b) THEN transform(transform(array(struct(aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x) AS d, "
+        "aggregate(a, 0D, (s, x) -> s + x * x) AS m, aggregate(b, 0D, (s, x) -> s + x * x) AS n)), t -> try_divide(t.d, CASE WHEN t.m = t.n THEN t.m ELSE sqrt(t.m) * sqrt(t.n) END)), "
+        "c -> CASE WHEN c IS NOT NULL THEN greatest(0D, least(1D, 1 - (1 - c) / 2)) END)[0] END",
     ),
 }
 
