@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, sequential, text
-from ..tables import small
+from ..tables import cut, small
 from . import containment, spelling
 
 
@@ -102,19 +102,21 @@ def cascade(listings: DataFrame, products: DataFrame, fuzzy: bool = True) -> Dat
     Returns listing_id, product_id, confidence, rationale.
 
     Stages: canonical, stripped, component of a combination, fuzzy. A stage ends the search of a listing only if it gave a
-    match that form and route allow. The exact stages are three equi joins; only listings that none of them matched meet
-    the product table in the fuzzy one."""
-    products = products.select("product_id", "name", F.col("route").alias("_route"), F.col("dosage_form").alias("_form"))
-    keys = _keys(products)
-    kinds = [
-        (1, "canonical", F.array(names.canonical_name(F.col("name")))),
-        (2, "stripped", F.array(names.stripped_name(F.col("name")))),
-        (3, "combo_component", F.when(names.is_combination(F.col("name")), names.component_keys(F.col("name"))).otherwise(F.array().cast("array<string>"))),
-    ]
-    stages = None
-    for stage, rationale, own in kinds:
-        asked = listings.select("listing_id", "route", "dosage_form", F.lit(stage).alias("stage"), F.lit(rationale).alias("rationale"), F.explode(own).alias("key"))
-        stages = asked if stages is None else stages.unionByName(asked)
+    match that form and route allow. The exact stages are one equi join; only listings that none of them matched meet
+    the product table in the fuzzy one. With it, what several stages read is written once: else every one of them works
+    the names out again."""
+    once = cut if fuzzy else lambda df: df
+    products = once(products.select("product_id", "name", F.col("route").alias("_route"), F.col("dosage_form").alias("_form")))
+    keys = once(_keys(products))
+    name = F.col("name")
+    asked = once(listings.select(
+        "listing_id", "route", "dosage_form", names.canonical_name(name).alias("_canon"), names.stripped_name(name).alias("_own"),
+        F.when(names.is_combination(name), names.component_keys(name)).otherwise(F.array().cast("array<string>")).alias("_parts"),
+    ))
+    kinds = [(1, "canonical", F.array("_canon")), (2, "stripped", F.array("_own")), (3, "combo_component", F.col("_parts"))]
+    staged = lambda stage, why, own: F.transform(own, lambda k: F.struct(F.lit(stage).alias("stage"), F.lit(why).alias("rationale"), k.alias("key")))
+    stages = F.explode(F.flatten(F.array(*(staged(*kind) for kind in kinds))))
+    stages = asked.select("listing_id", "route", "dosage_form", stages.alias("_s")).select("listing_id", "route", "dosage_form", "_s.*")
     hits = stages.filter("key <> ''").join(keys, "key")
     # a hit on the product's stripped key dropped salt words on that side, so it isn't canonical
     why = F.when((F.col("stage") == 1) & (F.col("kind") == "stripped"), "stripped").otherwise(F.col("rationale"))
@@ -124,10 +126,10 @@ def cascade(listings: DataFrame, products: DataFrame, fuzzy: bool = True) -> Dat
     fits = lambda df: df.join(products, "product_id").filter(names.attributes_compatible(F.col("route"), F.col("_route")) & names.attributes_compatible(F.col("dosage_form"), F.col("_form")))
     hits = fits(hits)
     first = hits.withColumn("_first", F.min("stage").over(Window.partitionBy("listing_id"))).filter("stage = _first")
-    out = first.select("listing_id", "product_id", "confidence", "rationale")
+    out = once(first.select("listing_id", "product_id", "confidence", "rationale"))
     if not fuzzy:
         return out
-    rest = listings.join(first.select("listing_id").distinct(), "listing_id", "left_anti").withColumn("_own", names.stripped_name(F.col("name"))).filter("_own <> ''").select("listing_id", "route", "dosage_form", "_own")
+    rest = cut(asked.join(out.select("listing_id").distinct(), "listing_id", "left_anti").filter("_own <> ''").select("listing_id", "route", "dosage_form", "_own"))
     near = similar(rest.select(F.col("_own").alias("text")), keys.select(F.col("key").alias("text")))
     scored = rest.join(near, F.col("_own") == F.col("left")).join(keys, F.col("right") == F.col("key"))
     best = scored.groupBy("listing_id", "product_id", "route", "dosage_form").agg(F.max("ratio").alias("ratio"))
@@ -151,7 +153,7 @@ def similar(left: DataFrame, right: DataFrame) -> DataFrame:
         numbered = F.transform("cuts", lambda g, i: F.concat(g, F.size(F.filter(F.slice("cuts", 1, i), lambda x: x == g)).cast("string")))
         return df.filter("text <> ''").distinct().select("text", (F.length(padded) - 4).alias("n"), cuts.alias("cuts")).filter("n > 0").select("text", "n", numbered.alias("grams"))
 
-    a, b = texts(left), texts(right)
+    a, b = cut(texts(left)), cut(texts(right))
     seen = b.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("seen"))
 
     def rarest(df: DataFrame, side: str) -> DataFrame:
@@ -164,7 +166,7 @@ def similar(left: DataFrame, right: DataFrame) -> DataFrame:
     left_over = lambda m, n: F.expr(f"{m} + 2 - 3 * ({m} - (46 * (l_n + r_n) + 99) div 100) - 2 * ({n} - (46 * (l_n + r_n) + 99) div 100)")
     met = met.filter(F.size(F.array_intersect("l_grams", "r_grams")) >= F.greatest(left_over("l_n", "r_n"), left_over("r_n", "l_n")))
     pairs = met.select(F.col("l_text").alias("left"), F.col("r_text").alias("right")).distinct()
-    return pairs.withColumn("ratio", ratio("left", "right")).filter(F.col("ratio") >= FUZZY_FLOOR)
+    return cut(pairs.withColumn("ratio", ratio("left", "right"))).filter(F.col("ratio") >= FUZZY_FLOOR)
 
 
 def primary_tokens(name: Column) -> Column:
