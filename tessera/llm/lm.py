@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from .packed import CHUNK_BYTES, FAN, by_hash, exchanged, get, get_small, ids_out, pack, put, put_small, split_by_bucket, text_bytes, unpack, widths
+from .packed import CHUNK_BYTES, FAN, by_hash, evened, exchanged, get, get_small, ids_out, pack, put, put_small, split_by_bucket, text_bytes, unpack, widths
 from .words import WordHash, grams
 
 ORDER, ALPHA = 2, 0.4
@@ -89,6 +89,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk_bytes
     _, total = text_bytes(docs)
     chunk_of, chunks = by_hash(total, chunk_bytes)
     buckets = max(16, chunks)
+    fan = evened(chunks, buckets, fan)
     steps = widths(chunks, buckets, fan)
     packed = pack(docs, chunk_of)
 

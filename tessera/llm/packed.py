@@ -7,7 +7,8 @@ one entry there, so no key makes a bucket hot, and every task's memory is bounde
 
 Where chunks or buckets are more than FAN, blocks pass through several exchanges: the first deals a chunk's hashes to FAN
 ranges of buckets, the next merges the blocks that FAN chunks sent to a range and deals them to FAN parts of it, and
-so on; answers return the same way. Each exchange has some chunks times FAN blocks, so that they stay large.
+so on; answers return the same way. FAN is then lowered as far as the same number of exchanges allows: a range gets FAN
+blocks of a FANth of a chunk's hashes each, about what one chunk has. Each exchange has some chunks times FAN blocks.
 """
 
 from __future__ import annotations
@@ -80,6 +81,15 @@ def widths(chunks: int, buckets: int, fan: int = FAN) -> list[int]:
     return [fan ** (n - 1 - k) for k in range(n)]
 
 
+def evened(chunks: int, buckets: int, fan: int = FAN) -> int:
+    """The least fan that needs no more exchanges. With a larger one the first exchange has few ranges, and each gets the
+    blocks of many senders: at 768 chunks and a fan of 256 a third of 256 chunks at once."""
+    n, even = len(widths(chunks, buckets, fan)), 2
+    while even**n < max(chunks, buckets):
+        even += 1
+    return even if n > 1 else fan
+
+
 def exchanged(first: DataFrame, widths: list[int], fan: int, forward: Callable, answer: Callable[[DataFrame], DataFrame], back: Callable, blocks: str, answers: str) -> DataFrame:
     """The answers to a chunk's blocks, through as many exchanges as widths.
 
