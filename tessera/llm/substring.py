@@ -10,8 +10,8 @@ FANOUT runs have gathered, the merged bucket is written as their compaction. Its
 so that batches since the one before can be repeated. Two different windows agree in fingerprint and check with a
 probability near 2^-72: of 10^13 windows some 10^4 pairs do.
 
-Where chunks are more than FAN, their blocks reach the buckets through several exchanges: FAN neighbouring chunks are merged
-by range of buckets, and what is new in the range goes on, so blocks stay large.
+Where chunks are more than FAN, their blocks reach the buckets through several exchanges: as many neighbouring chunks as
+there are ranges (FAN at most) are merged by range of buckets, and what is new in the range goes on, so blocks stay large.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+; null texts have none; texts shorter than a window lose nothing; rows of
 one doc_id don't make each other's words repeats; null ids come last and never own a window against each other; empty
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, read
-from .packed import CHUNK_BYTES, FAN, exchanged, get, ids_out, in_order, pack, put, split_by_bucket, unpack, widths
+from .packed import CHUNK_BYTES, FAN, evened, exchanged, get, ids_out, in_order, pack, put, split_by_bucket, unpack, widths
 from .words import WordHash, grams
 
 WINDOW, CHECK_BYTES, FANOUT = 13, 1, 4
@@ -146,6 +146,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, index: str | None = None, batch
     compact = add and len(_history(spark, index, batch)) + 1 >= fanout
     chunk_of, chunks, total = in_order(docs, chunk_bytes)
     buckets = _buckets(spark, index, max(total, expected), chunk_bytes)
+    fan = evened(chunks, buckets, fan)
     steps = widths(chunks, buckets, fan)
     packed = pack(docs, chunk_of)
 
